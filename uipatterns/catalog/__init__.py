@@ -1,0 +1,6 @@
+"""Registered queries and their equivalent SQL."""
+
+from uipatterns.catalog import q_pages  # noqa: F401
+from uipatterns.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
