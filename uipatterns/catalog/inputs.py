@@ -78,6 +78,26 @@ microcopy AS (SELECT p_partkey * 100 + i AS row_id, i AS template_id, label, lan
   template, p_partkey, p_size, p_retailprice, p_name, p_type
   FROM part JOIN bank ON p_partkey % 32 = i)"""
 
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as product listings: one HTML page per 32 parts, one card per part."""
+    rows = microcopy(spark, sf_dir)
+    k = F.col("p_partkey").cast("string")
+    clock = F.format_string("09:%02d", F.col("p_size") % 60)
+    card = F.concat(
+        F.lit('<li class="card item-'), k, F.lit('"><a href="/p/'), k, F.lit('"><b>'), "p_name", F.lit(" "), "p_type", F.lit(" no "), k,
+        F.lit('</b></a><s>Rs. '), F.floor("p_retailprice").cast("string"), F.lit('</s><div class="'), F.translate("role", "_", "-"),
+        F.lit('"><span>'), "text", F.lit("</span></div><time>Ends in<span>"), clock, F.lit("</span></time></li>"))
+    page = F.floor(F.col("p_partkey") / 32)
+    # At most 32 cards make a page.
+    return rows.groupBy(page.alias("page_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("card")))), lambda x: x["card"]), "")
+        .alias("cards")
+    ).select(
+        "page_id", F.concat(F.lit("https://shop.example/checkout/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><title>Shop</title></head><body><h1>Our offers</h1><ul>'), "cards",
+                 F.lit("</ul></body></html>")).alias("html"))
+
+
 _CHUNK = "<(h1|li|p|a|b)[^>]*>([^<]{3,200})<"
 
 

@@ -12,6 +12,7 @@ from uipatterns.operators import fields as FD
 from uipatterns.operators import groups as G
 from uipatterns.operators import nodes as N
 from uipatterns.operators import roles as RO
+from uipatterns.session import cut_lineage
 
 _SCHEME_HOST = r"^[a-z]+://(?:[^@/?#]*@)?([^:/?#]+)"
 # Pages without comments, scripts and styles; the last form also without their head.
@@ -141,10 +142,18 @@ def x14(spark, sf):
     return C.dedupe_occurrences(rows)
 
 
-@query("x15_collapse_nested")
+# Texts whose card shows them in a wrapper and a span: the span alone must stay.
+_SHOWN = "SELECT p_partkey // 32 AS page_id, text, count(*) AS n FROM microcopy GROUP BY ALL"
+
+
+@query("x15_collapse_nested",
+       f"""SELECT page_id, text, n, 'span' AS tags FROM ({_SHOWN})""", I.SQL_MICROCOPY)
 def x15(spark, sf):
-    cands = C.dedupe_occurrences(C.extract_candidates(N.explode_nodes(I.pages(spark, sf), candidate_texts=True)))
-    return C.collapse_nested(cands).select("page_id", "node_no", "tag", "text", "role")
+    cands = C.dedupe_occurrences(C.extract_candidates(N.explode_nodes(I.shop_pages(spark, sf), candidate_texts=True)))
+    kept = C.collapse_nested(cands)
+    shown = I.microcopy(spark, sf).select(F.floor(F.col("p_partkey") / 32).alias("page_id"), "text").distinct()
+    return kept.join(shown, ["page_id", "text"], "left_semi").groupBy("page_id", "text").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
 
 
 @query("x16_cap_per_page", "SELECT page_id, n, tag, text FROM chunks QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n) <= 12", I.SQL_CHUNKS)
@@ -233,15 +242,16 @@ def f07(spark, sf):
     return I.table(spark, sf, "documents").select("doc_id", FD.is_prose(F.col("text"), role).alias("prose"))
 
 
-@query("f08_is_struck")
+@query("f08_is_struck", "SELECT p_partkey // 32 AS page_id, count(*) AS struck FROM part WHERE length('Rs. ' || floor(p_retailprice)) >= 3 GROUP BY ALL")
 def f08(spark, sf):
-    cands = C.extract_candidates(N.explode_nodes(I.pages(spark, sf), candidate_texts=True))
-    return cands.select("page_id", "node_no", "struck")
+    cands = C.extract_candidates(N.explode_nodes(I.shop_pages(spark, sf), candidate_texts=True))
+    return cands.filter("struck").groupBy("page_id").agg(F.count(F.lit(1)).alias("struck"))
 
 
-@query("f09_card_nodes")
+@query("f09_card_nodes", "SELECT p_partkey // 32 AS page_id, count(*) AS cards FROM part GROUP BY ALL HAVING count(*) > 1")
 def f09(spark, sf):
-    return FD.card_nodes(N.prune(N.explode_nodes(I.pages(spark, sf))))
+    nodes = N.prune(N.explode_nodes(I.shop_pages(spark, sf)))
+    return nodes.filter("is_card and tag = 'li'").groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"))
 
 
 _TOK = lambda c: f"list_sort(list_distinct(list_filter(regexp_split_to_array(trim({c}), ' +'), lambda t: t <> '' AND NOT regexp_matches(t, '[0-9]{{3}}'))))"
@@ -276,10 +286,12 @@ def f11(spark, sf):
     return FD.refine_titles(rows).select("page_id", "node_no", "field")
 
 
-@query("f12_propose_groups")
+@query("f12_propose_groups",
+       """SELECT p_partkey // 32 AS page_id, 'Ends in 09:' || lpad((p_size % 60)::VARCHAR, 2, '0') AS text, 'timer_label_value' AS type,
+          2 AS members, true AS reconstructed FROM part""")
 def f12(spark, sf):
-    groups = G.propose_groups(C.page_candidates(I.pages(spark, sf)))
-    return groups.select("page_id", "node_no", "text", "type", F.size("member_ids").alias("members"), "reconstructed")
+    groups = G.propose_groups(C.page_candidates(I.shop_pages(spark, sf))).filter(F.col("type") == "timer_label_value")
+    return groups.select("page_id", "text", "type", F.size("member_ids").alias("members"), "reconstructed")
 
 
 @query("f13_churn_key", "SELECT row_id, 'p' || template_id || '|' || regexp_replace(text, '[0-9]+', '#', 'g') AS churn FROM microcopy", I.SQL_MICROCOPY)
@@ -289,20 +301,20 @@ def f13(spark, sf):
 
 @query("f14_neighbour_context")
 def f14(spark, sf):
-    cands = C.page_candidates(I.pages(spark, sf))
+    cands = cut_lineage(C.page_candidates(I.shop_pages(spark, sf)))
     return G.neighbour_context(cands, cands).select("page_id", "target_id", F.size("context").alias("neighbours"))
 
 
 @query("f15_resolve_snapshot")
 def f15(spark, sf):
-    pages = I.pages(spark, sf)
-    found = C.page_candidates(pages).select("page_id", "cand_id", "tag", "text", "selector")
-    # The later snapshot: the same pages without their first paragraph's bold text.
-    later = pages.withColumn("html", F.regexp_replace("html", "<p><b>", "<p><b>NEW "))
+    pages = I.shop_pages(spark, sf)
+    found = cut_lineage(C.page_candidates(pages).select("page_id", "cand_id", "tag", "text", "selector"))
+    # The later snapshot: a line above every list, and another headline.
+    later = pages.withColumn("html", F.replace("html", F.lit("<h1>Our offers</h1>"), F.lit("<p>New</p><h1>Our offers today</h1>")))
     nodes = N.prune(N.explode_nodes(later, text_content=True, candidate_texts=True))
     nodes = nodes.withColumn("selector", N.stable_selector()).withColumn(
         "cand_id", ids.occurrence_id(F.col("lang"), F.col("selector"), F.col("text")))
-    return G.resolve_snapshot(found, nodes)
+    return G.resolve_snapshot(found, cut_lineage(nodes.select("page_id", "node_no", "cand_id", "tag", "selector", "text_content")))
 
 
 @query("h01_occurrence_id", "SELECT row_id, sha1(lang || chr(0) || tag || chr(0) || text) AS id FROM microcopy", I.SQL_MICROCOPY)

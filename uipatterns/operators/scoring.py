@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,11 +118,8 @@ def score_with(
 ) -> DataFrame:
     """Score with a caller's model.  ``load`` runs once per Python worker and
     returns a function from a batch of texts to one probability row each."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for module in {__name__, load.__module__} - {"__main__"}:
+        cloudpickle.register_pickle_by_value(sys.modules[module])
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()

@@ -65,16 +65,16 @@ def scan_pages(
     asked = to_score(cands).select("page_id", "cand_id", "model_input")
     scored = decide(score_distinct(asked, scorer, row_id=["page_id", "cand_id"]), thresholds)
     both = cands.join(scored.select("page_id", "cand_id", F.col("findings").alias("model")), ["page_id", "cand_id"], "left")
-    rules = F.transform("rule_hits", lambda h: F.struct(h["label"].alias("label"), h["rule"].alias("rule"),
-                                                        F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold")))
+    rules = F.transform("rule_hits", lambda h, i: F.struct(h["label"].alias("label"), h["rule"].alias("rule"), i.alias("seq"),
+                                                           F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold")))
     model = F.transform(F.coalesce("model", F.array().cast("array<struct<label:string,score:double,threshold:double>>")),
-                        lambda f: F.struct(f["label"].alias("label"), F.lit(None).cast("string").alias("rule"), f["score"].alias("score"),
+                        lambda f: F.struct(f["label"].alias("label"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("int").alias("seq"), f["score"].alias("score"),
                                            f["threshold"].alias("threshold")))
     long = both.select("page_id", "cand_id", "field", "role", "text", F.inline(F.concat(rules, model)))
     reason = F.when(F.col("rule").isNull(), withhold_reason(F.col("label"), F.col("field"), F.col("role"), F.col("text")))
     shown = long.withColumn("reason", reason).filter("reason is null")
     per_label = shown.groupBy("page_id", "cand_id", "label").agg(
-        F.first("rule", ignorenulls=True).alias("rule"), F.max("score").alias("score"), F.max("threshold").alias("threshold"))
+        F.min_by("rule", "seq").alias("rule"), F.max("score").alias("score"), F.max("threshold").alias("threshold"))
     findings = merged_columns(per_label)
     sums = findings.groupBy("page_id").agg(F.sum(points(F.col("confidence"))).alias("_p"))
     scores = pages.select("page_id", "url").join(sums, "page_id", "left").select(

@@ -8,6 +8,8 @@ splitting skewed join partitions.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -35,14 +37,18 @@ def build_session(app_name: str = "uipatterns", master: str | None = None, **ext
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
-    The folder comes from the session (``spark.checkpoint.dir``).  Where no
-    folder is configured the plan is returned unchanged: recomputing is slower
-    but still right, and a machine-local folder would be lost with its machine.
+    For results that several branches of a plan read.  The folder is the
+    session's ``spark.checkpoint.dir``.  Where none is named a local run uses a
+    temporary folder; on a cluster the plan is returned unchanged, because a
+    folder of one machine is lost with it and recomputing is slower but right.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="uipatterns-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
