@@ -177,8 +177,8 @@ def _tokenized(spark, sf):
     return both.select("m.model_key", "lang", "text", unk.alias("tokens"))
 
 
-_TOK = f"""tok AS (SELECT model_key, lang, text, len(tokens) AS n, len(list_filter(tokens, t -> t = 'the')) AS unk,
-  greatest(len(list_filter(regexp_split_to_array(text, '{SQL_WS}'), w -> w <> '')), 1) AS words
+_TOK = f"""tok AS (SELECT model_key, lang, text, len(tokens) AS n, len(list_filter(tokens, lambda t: t = 'the')) AS unk,
+  greatest(len(list_filter(regexp_split_to_array(text, '{SQL_WS}'), lambda w: w <> '')), 1) AS words
   FROM (SELECT 'words' AS model_key, lang, text, string_split(text, ' ') AS tokens FROM documents UNION ALL
   SELECT 'pieces', lang, text, regexp_extract_all(text, '([a-z]{{1,3}}|[^a-z])', 1, 's') FROM documents))""", """fert AS (SELECT model_key, lang, round(sum(n)::DOUBLE / sum(words), 3) AS fertility,
   round(avg(n), 1) AS tokens_per_snippet, floor(quantile_cont(n + 2, 0.95))::BIGINT AS p95_tokens, round(sum(unk)::DOUBLE / greatest(sum(n), 1), 5) AS unk_rate FROM tok GROUP BY ALL)"""
@@ -203,7 +203,7 @@ def e15(spark, sf):
 
 
 @query("e16_parse_labels",
-       """SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(replace(cell, ',', ' '), ' +'), x -> x <> '' AND x <> 'benign'))), '|') AS labels
+       """SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(replace(cell, ',', ' '), ' +'), lambda x: x <> '' AND x <> 'benign'))), '|') AS labels
           FROM (SELECT row_id, label || CASE WHEN p_size % 2 = 0 THEN ', scarcity' ELSE '  ' || label || ' benign' END AS cell FROM microcopy)""", I.SQL_MICROCOPY)
 def e16(spark, sf):
     cell = F.concat("label", F.when(F.col("p_size") % 2 == 0, ", scarcity").otherwise(F.concat(F.lit("  "), "label", F.lit(" benign"))))

@@ -137,7 +137,7 @@ def hard_negatives(templates: DataFrame, slots: DataFrame, per_group: int = 100,
     Templates with slots are filled; fixed ones vary by tag instead.
     """
     named = templates.withColumn("template_id", F.concat_ws(
-        ":", F.lit("hardneg"), "counterpart", "lang", F.lpad(F.col("idx").cast("string"), 2, "0")))
+        ":", F.lit("hardneg"), "counterpart", "lang", F.when(F.col("idx") < 10, F.concat(F.lit("0"), F.col("idx").cast("string"))).otherwise(F.col("idx").cast("string"))))
     has_slot = F.col("template").contains("{")
     filled = fill_templates(named.filter(has_slot), slots, variants, seed)
     fixed = named.filter(~has_slot).withColumns({"variant": F.lit(0), "text": F.trim("template")}).withColumn(

@@ -34,21 +34,28 @@ def build_session(app_name: str = "uipatterns", master: str | None = None, **ext
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors share, as the session names it.
+
+    A local run without one gets a temporary folder.  On a cluster without one
+    the answer is None: a folder of one machine is lost with it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder or not spark.sparkContext.master.startswith("local"):
+        return folder
+    return tempfile.mkdtemp(prefix="uipatterns-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder and read it back.
 
-    For results that several branches of a plan read.  The folder is the
-    session's ``spark.checkpoint.dir``.  Where none is named a local run uses a
-    temporary folder; on a cluster the plan is returned unchanged, because a
-    folder of one machine is lost with it and recomputing is slower but right.
+    For results that several branches of a plan read.  Without a shared folder
+    the plan is returned unchanged: recomputing is slower but right.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="uipatterns-checkpoint-")
+        folder = shared_folder(df.sparkSession)
+        if folder is None:
+            return df
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,14 @@ from uipatterns.schema import TRACE_ENTRY
 _ENTRIES = f"array<{TRACE_ENTRY.simpleString()}>"
 
 
-def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entries of trace files in any of their three shapes, and the files refused.
+def read_traces(spark: SparkSession, path: str, one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Entries of traces in any of their three shapes, and the documents refused.
 
-    A file is a bare array, an object with ``entries``, or an exported object
-    with ``rows``.  A file is one JSON document, so it is one row.
+    A trace is a bare array, an object with ``entries``, or an exported object
+    with ``rows``.  It is one file, or, where many were packed together, one
+    line of a file.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn(
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=one_per_file).withColumn(
         "file", F.col("_metadata.file_path"))
     body = F.trim("value")
     inner = F.when(body.startswith("["), body).otherwise(
@@ -53,7 +56,7 @@ def write_archive(traces: DataFrame, path: str) -> None:
         both = keyed.unionByName(old, allowMissingColumns=True)
         merged = latest_per_scan(both.select(keyed.columns))
     # The read above must be finished before its files are replaced.
-    stage = f"{path.rstrip('/')}_stage"
+    stage = f"{path.rstrip('/')}_stage/{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(stage)
     staged = spark.read.parquet(stage)
     # Rows of one day stay together but a busy day is cut by scan.
