@@ -88,8 +88,10 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('</b></a><s>Rs. '), F.floor("p_retailprice").cast("string"), F.lit('</s><div class="'), F.translate("role", "_", "-"),
         F.lit('"><span>'), "text", F.lit("</span></div><time>Ends in<span>"), clock, F.lit("</span></time></li>"))
     page = F.floor(F.col("p_partkey") / 32)
-    # At most 32 cards make a page.
-    return rows.groupBy(page.alias("page_id")).agg(
+    # At most 32 cards make a page.  Pages are few bytes and much work each, so
+    # the number of partitions is set instead of left to their size.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.withColumn("page_id", page).repartition(tasks, "page_id").groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("card")))), lambda x: x["card"]), "")
         .alias("cards")
     ).select(

@@ -125,9 +125,11 @@ def resolve_snapshot(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     then by selector with tag and text, then by tag and text if exactly one
     unclaimed node fits.  Where two findings want one node the smaller id wins.
     """
-    nodes = nodes.select("page_id", "node_no", "cand_id", "tag", "selector",
+    # A step without a position means the first fitting element.
+    place = F.regexp_replace("selector", r"(^| > )([a-z][a-z0-9-]*)(?= > |$)", "$1$2:nth-of-type(1)").alias("selector")
+    nodes = nodes.select("page_id", "node_no", "cand_id", "tag", place,
                          collapse_space(F.col("text_content")).alias("content"))
-    wanted = findings.select("page_id", "cand_id", "tag", "selector", collapse_space(F.col("text")).alias("target"))
+    wanted = findings.select("page_id", "cand_id", "tag", place, collapse_space(F.col("text")).alias("target"))
     by_id = (
         wanted.join(nodes.select("page_id", "cand_id", "tag", "node_no"), ["page_id", "cand_id", "tag"])
         .groupBy("page_id", "cand_id").agg(F.min("node_no").alias("node_no"))

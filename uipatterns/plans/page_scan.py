@@ -13,6 +13,8 @@ from uipatterns.operators.scoring import (
     decide, merged_columns, model_input, points, score_band, score_distinct, score_of, to_score, withhold_reason,
 )
 
+from uipatterns.session import cut_lineage
+
 
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """A scan of very few file splits would parse on very few cores; spread it.
@@ -60,8 +62,10 @@ def scan_pages(
     ``scorer`` adds a ``probs`` array to rows with ``model_input``; each distinct
     input is scored once.
     """
-    cands = candidates_with_hits(pages, animated).withColumn(
-        "model_input", model_input(F.col("text"), F.col("tag"), F.col("role")))
+    # Scoring and merging both read the candidates: parse the pages once.
+    cands = cut_lineage(candidates_with_hits(pages, animated).select(
+        "page_id", "cand_id", "selector", "text", "tag", "role", "field", "rule_hits",
+        model_input(F.col("text"), F.col("tag"), F.col("role")).alias("model_input")))
     asked = to_score(cands).select("page_id", "cand_id", "model_input")
     scored = decide(score_distinct(asked, scorer, row_id=["page_id", "cand_id"]), thresholds)
     both = cands.join(scored.select("page_id", "cand_id", F.col("findings").alias("model")), ["page_id", "cand_id"], "left")
