@@ -143,15 +143,20 @@ def test_findings_table_replaces_deletes_and_evicts(spark):
     assert live.document_scores(second).first().page_score == 30
 
 
-def test_stream_findings_writes_scores(spark, tmp_path):
+def test_stream_findings_keeps_tables(spark, tmp_path):
     schema = "url string, cand_id string, seen_at timestamp, findings array<struct<label:string,confidence:string>>"
-    for i in range(2):
-        spark.createDataFrame([("https://a.example/p#1", f"c{i}", START + datetime.timedelta(seconds=i), [("scarcity", "likely")])], schema).coalesce(1).write.mode(
-            "append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    live.stream_findings(stream, out, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
-    assert spark.read.parquet(f"{out}/scores/v=1").collect() == [("https://a.example/p", 20, "low")]
+    one = [("scarcity", "likely")]
+    batches = [[("d1#x", "a", one), ("d2", "b", one)], [("d1", "c", one), ("d3", "e", one)], [("d2", "b", []), ("d1", "a", [])]]
+    for i, rows in enumerate(batches):
+        data = [(f"https://a.example/{u}", c, START + datetime.timedelta(seconds=i), f) for u, c, f in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").json(str(tmp_path / f"in/{i}"))
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    for i in range(len(batches)):  # one run per batch, so that state is read back after a restart
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/[0-{i}]")
+        live.stream_findings(stream, out, cp, {"availableNow": True}, 4).awaitTermination(120)
+    got = {(r.document[-2:], r.cand_id) for r in live.read_findings(spark, out).collect()}
+    assert got == {("d1", "c"), ("d3", "e")}
+    assert {(r.document[-2:], r.page_score) for r in live.read_scores(spark, out).collect()} == {("d1", 10), ("d3", 10)}
 
 
 def test_value_trend(spark):

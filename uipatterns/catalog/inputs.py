@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uipatterns.plans.page_scan import spread_small_scan
+from uipatterns.sources.html import read_pages
 
 # Template bank: i, template, lang, tag, role, field, step, label.
 BANK = [
@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(table(spark, sf_dir, "pages"), "page_id")
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def microcopy(spark: SparkSession, sf_dir: str) -> DataFrame:

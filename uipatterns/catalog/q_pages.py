@@ -54,10 +54,10 @@ def x03(spark, sf):
     return I.table(spark, sf, "documents").select("doc_id", F.md5(X.own_text(F.split("text", "\n"))).alias("text_md5"))
 
 
-@query("x04_leaf_text")
+@query("x04_leaf_text", f"SELECT p_partkey // 32 AS page_id, {collapse_sql('text')} AS leaf_text FROM microcopy", I.SQL_MICROCOPY)
 def x04(spark, sf):
-    nodes = N.prune(N.explode_nodes(I.pages(spark, sf), candidate_texts=True))
-    return nodes.filter(F.col("leaf_text").isNotNull()).select("page_id", "node_no", "tag", "leaf_text", "text")
+    nodes = N.prune(N.explode_nodes(I.shop_pages(spark, sf)))
+    return nodes.filter("tag = 'div' and leaf_text is not null").select("page_id", "leaf_text")
 
 
 @query("x05_collapse_self_dup",
@@ -124,9 +124,12 @@ def x11(spark, sf):
     return I.table(spark, sf, "events").select("event_id", X.infer_step(url).alias("step"))
 
 
-@query("x12_stable_selector")
+@query("x12_stable_selector",
+       """SELECT page_id, 'html > body > ul > li' || CASE WHEN n > 1 THEN ':nth-of-type(' || k || ')' ELSE '' END || ' > ' || t AS selector FROM (
+          SELECT p_partkey // 32 AS page_id, p_partkey % 32 + 1 AS k, count(*) OVER (PARTITION BY p_partkey // 32) AS n FROM part)
+          CROSS JOIN (VALUES ('s'), ('div > span'), ('time > span'), ('a > b')) v(t)""")
 def x12(spark, sf):
-    return N.explode_nodes(I.pages(spark, sf)).select("page_id", "node_no", N.stable_selector().alias("selector"))
+    return N.explode_nodes(I.shop_pages(spark, sf)).filter("tag in ('s', 'span', 'b')").select("page_id", N.stable_selector().alias("selector"))
 
 
 @query("x13_guess_lang", "SELECT row_id, CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'dev' ELSE 'en' END AS lang FROM microcopy", I.SQL_MICROCOPY)
@@ -174,7 +177,7 @@ def f01(spark, sf):
     return I.microcopy(spark, sf).select("row_id", m("decline"), m("cta"), m("support"))
 
 
-_ROLE_SQL = f"""CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'label' THEN 'label'
+ROLE_SQL = f"""CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'label' THEN 'label'
   WHEN {hit('cls', RO.MODAL)} THEN 'modal_text' WHEN {_word_sql('support')} THEN 'support_link'
   WHEN {_word_sql('decline')} THEN 'decline' WHEN {_word_sql('cta')} THEN 'cta' WHEN {hit('cls', RO.FINE_PRINT)} THEN 'fine_print'
   WHEN {hit('cls', RO.TIMER)} THEN 'timer' WHEN {hit('cls', RO.STOCK)} THEN 'stock' WHEN {hit('cls', RO.LINE_ITEM)} THEN 'line_item'
@@ -182,7 +185,7 @@ _ROLE_SQL = f"""CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN ta
   WHEN {hit('lower(text)', RO.DISCOUNT_TEXT)} OR {hit('cls', RO.PROMO)} THEN 'promo' WHEN {hit('cls', RO.BANNER)} THEN 'banner' ELSE 'body' END"""
 
 
-@query("f02_infer_role", f"SELECT row_id, {_ROLE_SQL} AS role FROM (SELECT *, replace(role, '_', '-') || ' ' AS cls FROM microcopy)", I.SQL_MICROCOPY)
+@query("f02_infer_role", f"SELECT row_id, {ROLE_SQL} AS role FROM (SELECT *, replace(role, '_', '-') || ' ' AS cls FROM microcopy)", I.SQL_MICROCOPY)
 def f02(spark, sf):
     attrs = F.create_map(F.lit("class"), F.translate("role", "_", "-"))
     return I.microcopy(spark, sf).select("row_id", RO.infer_role(F.col("text"), F.col("tag"), F.col("lang"), attrs).alias("role"))
@@ -205,9 +208,10 @@ def f03(spark, sf):
     return I.table(spark, sf, "part").select("p_partkey", RO.is_generic_control(attrs, F.lower(name)).alias("generic"))
 
 
-@query("f04_in_video_player")
+@query("f04_in_video_player", f"SELECT page_id, count(*) AS n, 0 AS in_video FROM ({_TAGS}) GROUP BY page_id")
 def f04(spark, sf):
-    return N.explode_nodes(I.pages(spark, sf)).select("page_id", "node_no", N.in_video_player().alias("in_video"))
+    nodes = N.explode_nodes(I.pages(spark, sf)).withColumn("v", N.in_video_player())
+    return nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("v").alias("in_video"))
 
 
 _PERSONAL_SQL = any_hit("text", [FD.EMAIL, FD.PAYMENT_CARD, FD.LONG_NUMBER], "c")
@@ -220,12 +224,13 @@ def _prose_sql(role):
     return f"({role} NOT IN ({exempt}) AND ({words} >= 25 OR ({ends} >= 2 AND {words} >= 8)))"
 
 
-@query("f05_infer_field",
-       f"""SELECT row_id, CASE WHEN {_PERSONAL_SQL} THEN 'personal' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'title'
-           WHEN {hit('text', FD.DISCOUNT)} THEN 'discount' WHEN {hit('text', FD.RATING + '|★')} THEN 'rating' WHEN {hit('text', FD.SOLD)} THEN 'sold_count'
-           WHEN {hit('text', FD.STOCK_LEFT)} THEN 'stock' WHEN {hit('text', FD.SHIPPING)} THEN 'shipping'
-           WHEN {hit('text', FD.CURRENCY)} THEN CASE WHEN p_size % 2 = 0 THEN 'strike_price' ELSE 'price' END
-           WHEN {_prose_sql('role')} THEN 'prose' ELSE 'unknown' END AS field FROM microcopy""", I.SQL_MICROCOPY)
+FIELD_SQL = f"""CASE WHEN {_PERSONAL_SQL} THEN 'personal' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'title'
+  WHEN {hit('text', FD.DISCOUNT)} THEN 'discount' WHEN {hit('text', FD.RATING + '|★')} THEN 'rating' WHEN {hit('text', FD.SOLD)} THEN 'sold_count'
+  WHEN {hit('text', FD.STOCK_LEFT)} THEN 'stock' WHEN {hit('text', FD.SHIPPING)} THEN 'shipping'
+  WHEN {hit('text', FD.CURRENCY)} THEN CASE WHEN struck THEN 'strike_price' ELSE 'price' END WHEN {_prose_sql('role')} THEN 'prose' ELSE 'unknown' END"""
+
+
+@query("f05_infer_field", f"SELECT row_id, {FIELD_SQL} AS field FROM (SELECT *, p_size % 2 = 0 AS struck FROM microcopy)", I.SQL_MICROCOPY)
 def f05(spark, sf):
     field = FD.infer_field(F.col("text"), F.col("tag"), F.col("role"), F.col("p_size") % 2 == 0)
     return I.microcopy(spark, sf).select("row_id", field.alias("field"))
@@ -299,13 +304,18 @@ def f13(spark, sf):
     return I.microcopy(spark, sf).select("row_id", X.churn_key(F.concat(F.lit("p"), F.col("template_id").cast("string")), F.col("text")).alias("churn"))
 
 
-@query("f14_neighbour_context")
+@query("f14_neighbour_context",
+       """SELECT p_partkey // 32 AS page_id, p_name || ' ' || p_type || ' no ' || p_partkey || '|' || text || '|Ends in|09:' || lpad((p_size % 60)::VARCHAR, 2, '0') AS context
+          FROM microcopy""", I.SQL_MICROCOPY)
 def f14(spark, sf):
     cands = cut_lineage(C.page_candidates(I.shop_pages(spark, sf)))
-    return G.neighbour_context(cands, cands).select("page_id", "target_id", F.size("context").alias("neighbours"))
+    near = G.neighbour_context(cands.filter("tag = 's'"), cands)
+    return near.select("page_id", F.array_join(F.transform("context", lambda c: c["text"]), "|").alias("context"))
 
 
-@query("f15_resolve_snapshot")
+@query("f15_resolve_snapshot",
+       """SELECT p_partkey // 32 AS page_id, 'registry' AS outcome, 5 * count(*) AS n FROM part GROUP BY ALL
+          UNION ALL SELECT DISTINCT p_partkey // 32, 'selector', 1 FROM part""")
 def f15(spark, sf):
     pages = I.shop_pages(spark, sf)
     found = cut_lineage(C.page_candidates(pages).select("page_id", "cand_id", "tag", "text", "selector"))
@@ -314,7 +324,8 @@ def f15(spark, sf):
     nodes = N.prune(N.explode_nodes(later, text_content=True, candidate_texts=True))
     nodes = nodes.withColumn("selector", N.stable_selector()).withColumn(
         "cand_id", ids.occurrence_id(F.col("lang"), F.col("selector"), F.col("text")))
-    return G.resolve_snapshot(found, cut_lineage(nodes.select("page_id", "node_no", "cand_id", "tag", "selector", "text_content")))
+    out = G.resolve_snapshot(found, cut_lineage(nodes.select("page_id", "node_no", "cand_id", "tag", "selector", "text_content")))
+    return out.groupBy("page_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h01_occurrence_id", "SELECT row_id, sha1(lang || chr(0) || tag || chr(0) || text) AS id FROM microcopy", I.SQL_MICROCOPY)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from uipatterns.catalog import inputs as I
+from uipatterns.catalog.q_pages import FIELD_SQL, ROLE_SQL
 from uipatterns.catalog.registry import any_hit, collapse_sql, hit, query
 from uipatterns.operators import rules as R
 from uipatterns.operators import scoring as S
@@ -319,6 +320,26 @@ def m16(spark, sf):
     return good.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("doc_id", "reason"))
 
 
+# The listing pages again: each text stands in a span inside a div whose class names a role.
+SQL_LISTED = f"""listed0 AS (SELECT p_partkey // 32 AS page_id, row_id, text, 'en' AS lang, 'payment' AS step, 'span' AS tag, false AS struck, 'body' AS role, role AS of_div FROM microcopy),
+listed1 AS (SELECT *, {FIELD_SQL} AS field FROM listed0),
+listed2 AS (SELECT * EXCLUDE (cls), {ROLE_SQL} AS by_text FROM (SELECT *, ' ' AS cls FROM listed1)),
+listed3 AS (SELECT * EXCLUDE (cls), {ROLE_SQL} AS by_class FROM (SELECT *, replace(of_div, '_', '-') || ' ' AS cls FROM listed2)),
+listed AS (SELECT page_id, row_id, text, lang, step, field, CASE WHEN by_text = 'body' THEN by_class ELSE by_text END AS role FROM listed3),
+listed_hits AS (""" + " UNION ".join(
+    f"SELECT row_id, page_id, '{RULE_LABEL[n]}' AS label FROM listed WHERE {c}"
+    + (f" AND field NOT IN ({', '.join(_q(x) for x in R.DENIED_FIELDS[n])})" if n in R.DENIED_FIELDS else "")
+    for n, c in RULE_SQL.items()) + ")"
+
+
+@query("page_report_listings",
+       """SELECT p.page_id, 5 * cards + 1 AS candidates, coalesce(f, 0) AS findings, floor(least(1.0, coalesce(f, 0) * 2 / 20.0) * 100 + 0.5)::INT AS page_score FROM (
+          SELECT p_partkey // 32 AS page_id, count(*) AS cards FROM part GROUP BY ALL) p LEFT JOIN (SELECT page_id, count(*) AS f FROM listed_hits GROUP BY ALL) h ON h.page_id = p.page_id""",
+       M, SQL_LISTED)
+def page_report_listings(spark, sf):
+    return page_scan.page_report(I.shop_pages(spark, sf)).select("page_id", "candidates", "findings", "page_score")
+
+
 @query("page_report")
 def page_report(spark, sf):
     return page_scan.page_report(I.pages(spark, sf))

@@ -145,7 +145,7 @@ def page_candidates(
     pages: DataFrame, layout: DataFrame | None = None, animated: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to final candidates: extraction, duplicates, nesting, card titles."""
-    cands = extract_candidates(explode_nodes(pages, candidate_texts=True), layout, animated)
+    cands = extract_candidates(explode_nodes(pages, candidates_only=True), layout, animated)
     # One exchange: every later step works within a page and reuses it.
     by_page = cands.repartition("page_id")
     return refine_titles(collapse_nested(dedupe_occurrences(by_page)))

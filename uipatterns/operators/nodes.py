@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uipatterns.functions.text import (
-    ascii_regex, collapse_self_dup, collapse_space, own_text, page_lang, trim_space,
+    ascii_regex, collapse_self_dup, collapse_space, own_text, page_lang, text_gate, trim_space,
 )
 from uipatterns.schema import MAX_TEXT, MIN_TEXT
 from uipatterns.sources.html import parse_pages
@@ -69,6 +69,7 @@ def candidate_text(own: Column, leaf: Column) -> Column:
 
 def explode_nodes(
     pages: DataFrame, text_content: bool = False, with_lang: bool = True, candidate_texts: bool = False,
+    candidates_only: bool = False,
 ) -> DataFrame:
     """One row per element, in document order within a page.
 
@@ -77,7 +78,9 @@ def explode_nodes(
     element whose children are all text or inline; ``run_text`` is the text of
     the whole subtree.  Both are null where they would be longer than a
     candidate may be.  ``text_content=True`` adds the unbounded text of every
-    subtree, ``candidate_texts=True`` the ``text`` a candidate would have.
+    subtree, ``candidate_texts=True`` the ``text`` a candidate would have;
+    ``candidates_only=True`` also leaves out elements without a usable one
+    before their paths are built.
     """
     if with_lang and "lang" not in pages.columns:
         pages = pages.withColumn("lang", page_lang(F.col("html")))
@@ -106,34 +109,43 @@ def explode_nodes(
             n["sib_n"].alias("sib_n"), card.alias("is_card"),
         )
 
-    def shape(page: Column, briefs: Column, n: Column) -> Column:
-        pieces = page["pieces"]
-        short = n["text_len"] <= MAX_TEXT
+    def leaf_of(pieces: Column, n: Column) -> Column:
         inline = (F.size(n["kids"]) > 0) & F.forall(
             n["kids"], lambda k: k["tag"].isNull() | k["tag"].isin(INLINE_TAGS))
-        own = F.filter(n["kids"], lambda k: k["tag"].isNull())
         child_text = lambda k: F.array_join(_slice_text(pieces, k["lo"], k["hi"]), "")
+        return F.when(inline & (n["text_len"] <= MAX_TEXT), joined(F.transform(n["kids"], child_text)))
+
+    def texts(pieces: Column, n: Column) -> Column:
+        parts = F.transform(F.filter(n["kids"], lambda k: k["tag"].isNull()), lambda k: pieces[k["lo"]])
+        base = bind(F.struct(parts.alias("text_parts"), leaf_of(pieces, n).alias("leaf_text")), lambda t: t)
+        if not (candidate_texts or candidates_only):
+            return base
+        return bind(base, lambda t: t.withField(
+            "text", bind(own_text(t["text_parts"]), lambda own: candidate_text(own, t["leaf_text"]))))
+
+    def shape(pieces: Column, briefs: Column, x: Column) -> Column:
+        n, t = x["n"], x["t"]
+        run = F.when(n["text_len"] <= MAX_TEXT, joined(_slice_text(pieces, n["piece_lo"], n["piece_hi"])))
         fields = [
             *[n[c].alias(c) for c in ("node_no", "parent_no", "depth", "sub_end", "tag", "attrs")],
             briefs[n["node_no"]]["is_card"].alias("is_card"),
             F.transform(F.concat(n["anc"], F.array(n["node_no"])), lambda a: briefs[a]).alias("path"),
-            F.transform(own, lambda k: pieces[k["lo"]]).alias("text_parts"),
-            F.when(inline & short, joined(F.transform(n["kids"], child_text))).alias("leaf_text"),
-            F.when(short, joined(_slice_text(pieces, n["piece_lo"], n["piece_hi"]))).alias("run_text"),
+            t["text_parts"].alias("text_parts"), t["leaf_text"].alias("leaf_text"), run.alias("run_text"),
         ]
+        if candidate_texts or candidates_only:
+            fields.append(t["text"].alias("text"))
         if text_content:
             content = F.array_join(_slice_text(pieces, n["piece_lo"], n["piece_hi"]), "")
             fields.append(content.alias("text_content"))
         return F.struct(*fields)
 
     def spread(page: Column) -> Column:
-        nodes = page["nodes"]
+        nodes, pieces = page["nodes"], page["pieces"]
         briefs = F.transform(nodes, lambda n: brief(n, has_twin(nodes, n)))
-        return bind(briefs, lambda b: F.transform(nodes, lambda n: with_text(shape(page, b, n))))
-
-    def with_text(node: Column) -> Column:
-        made = bind(own_text(node["text_parts"]), lambda own: candidate_text(own, node["leaf_text"]))
-        return bind(node, lambda x: x.withField("text", made)) if candidate_texts else node
+        rows = F.transform(nodes, lambda n: F.struct(n.alias("n"), texts(pieces, n).alias("t")))
+        if candidates_only:
+            rows = F.filter(rows, lambda x: text_gate(x["t"]["text"], MIN_TEXT, MAX_TEXT))
+        return bind(briefs, lambda b: F.transform(rows, lambda x: shape(pieces, b, x)))
 
     kept = [c for c in parsed.columns if c not in ("pieces", "nodes")]
     video_nos = F.transform(F.filter("nodes", lambda n: n["tag"] == "video"), lambda n: n["node_no"])

@@ -16,17 +16,8 @@ from uipatterns.operators.scoring import (
 from uipatterns.session import cut_lineage
 
 
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """A scan of very few file splits would parse on very few cores; spread it.
-
-    Large inputs already come in many splits and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
-
-
 def candidates_with_hits(pages: DataFrame, animated: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
-    return run_rules(page_candidates(spread_small_scan(pages, "page_id"), layout, animated))
+    return run_rules(page_candidates(pages, layout, animated))
 
 
 def rule_findings(cands: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 NODE_TYPE = (
@@ -193,3 +193,15 @@ def parse_pages(pages: DataFrame, html_col: str = "html", page_chunk: int = 64)
         return _parse_batches(batches, html_col, page_chunk)
 
     return pages.mapInArrow(run, out)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages table, ready to parse.
+
+    A page is few bytes and much work.  A table of fewer file splits than cores
+    is spread out first; large tables come in many splits and are left alone.
+    """
+    pages = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    # Only the scan is planned here, nothing runs.
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(2 * cores, "page_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,21 +61,53 @@ def document_scores(state: DataFrame) -> DataFrame:
     return sums.select("document", score_of(F.col("_p")).alias("page_score")).withColumn("band", score_band(F.col("page_score")))
 
 
-def stream_findings(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep a table of current findings and scores up to date.
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{STATE}, bucket int").parquet(f"{path}/state").filter("document is not null").drop("bucket")
 
-    Each micro-batch reads the previous version, merges, and writes the next one
-    to its own folder; a batch that is run again writes the same folder.  At
-    most one pass per second by default.
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("document string, page_score int, band string, bucket int").parquet(f"{path}/scores").filter(
+        "document is not null").drop("bucket")
+
+
+def stream_findings(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64,
+) -> StreamingQuery:
+    """Keep tables of current findings and scores up to date.
+
+    Both are cut into ``buckets`` by a hash of the document, and a micro-batch
+    reads and replaces only the buckets its documents fall into.  The merge is
+    the same when it runs twice, so a batch that is tried again does no harm.
+    At most one pass per second by default.
     """
+    bucket = F.pmod(F.xxhash64("document"), F.lit(buckets)).cast("int")
+
+    def replace(rows: DataFrame, touched: list[int], name: str, batch_id: int) -> None:
+        # The merged rows are complete on disk before the files they came from go.
+        stage = f"{path}/stage/{name}/batch={batch_id}"
+        rows.withColumn("bucket", bucket).write.mode("overwrite").parquet(stage)
+        spark = rows.sparkSession
+        kept = spark.read.schema(rows.withColumn("bucket", bucket).schema).parquet(stage)
+        # An empty row per bucket, so that a bucket without findings is replaced too.
+        blank = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        kept.unionByName(blank, allowMissingColumns=True).repartition("bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = lambda n: f"{path}/state/v={n}"
-        old = spark.read.schema(STATE).parquet(version(batch_id - 1)) if batch_id > 0 else spark.createDataFrame([], STATE)
         rows = batch.select(strip_fragment(F.col("url")).alias("document"), "cand_id", "seen_at", "findings")
-        upsert_findings(old, rows).write.mode("overwrite").parquet(version(batch_id))
-        document_scores(spark.read.schema(STATE).parquet(version(batch_id))).write.mode("overwrite").parquet(
-            f"{path}/scores/v={batch_id}")
+        touched = [r.b for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        if batch_id == 0:
+            old = spark.createDataFrame([], STATE)
+        else:
+            mine = spark.read.schema(f"{STATE}, bucket int").parquet(f"{path}/state")
+            old = mine.filter(F.col("bucket").isin(touched) & F.col("document").isNotNull()).drop("bucket")
+        replace(upsert_findings(old, rows), touched, "state", batch_id)
+        now = spark.read.schema(f"{STATE}, bucket int").parquet(f"{path}/state")
+        current = now.filter(F.col("bucket").isin(touched) & F.col("document").isNotNull())
+        replace(document_scores(current), touched, "scores", batch_id)
 
     return (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"})).start())
