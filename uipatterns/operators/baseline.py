@@ -47,7 +47,7 @@ class Baseline:
 
 def fit_vocabulary(df: DataFrame, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
     """``gram, idx, idf`` of the most frequent grams found in ``min_df`` rows or more."""
-    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     grams = df.select(F.explode(char_ngrams(F.col("model_input"))).alias("gram"), F.col("row_id"))
     per_row = grams.groupBy("row_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
     kept = (
@@ -57,7 +57,7 @@ def fit_vocabulary(df: DataFrame, min_df: int = 2, max_features: int = 200_000)
     # At most max_features rows are left, so one ordered numbering is bounded.
     numbered = kept.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gram")) - 1)
     idf = F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1
-    return numbered.crossJoin(F.broadcast(total)).select("gram", "idx", idf.alias("idf"))
+    return numbered.withColumn("n_rows", total).select("gram", "idx", idf.alias("idf"))
 
 
 def features(df: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:

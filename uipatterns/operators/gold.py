@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from uipatterns.functions.text import guess_lang, trim_space, url_no_query
-from uipatterns.operators.ordered import hash_chunk, row_numbers
 from uipatterns.schema import BENIGN, GOLD_COLUMNS
+from uipatterns.session import cut_lineage
 
 
 def dedupe_entries(entries: DataFrame, order: str = "seq") -> DataFrame:
@@ -18,24 +18,23 @@ def dedupe_entries(entries: DataFrame, order: str = "seq") -> DataFrame:
     return keyed.agg(F.min_by(F.struct(*rest), order).alias("_e")).select("_e.*").select(entries.columns)
 
 
-def _side(rows: DataFrame, budget: Column, seed: str) -> DataFrame:
-    """Pick ``budget`` ids from the strata of one side (``id, stratum, budget``).
+def _pick(rows: DataFrame, budget: int, seed: str) -> DataFrame:
+    """Pick ``budget`` ids from the strata of one side (``id, stratum``).
 
     Every stratum gives an even share, then hash order fills up.  An id lies in
-    several strata when it has several labels, and counts once.
+    several strata when it has several labels, and counts once.  No stratum can
+    give more than the budget, so its other rows stop at the first limit, before
+    the shuffle.
     """
-    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col("stratum"), F.lit(":"), F.col("id"))))
-    ranked = row_numbers(hashed, ["stratum"], [F.col("_h"), F.col("id")], hash_chunk("_h"), "_rank")
-    n_strata = rows.select("stratum").distinct().agg(F.count(F.lit(1)).alias("_strata"))  # one row
-    share = F.greatest(F.lit(1), F.floor(F.col("budget") / F.col("_strata")))
-    marked = ranked.crossJoin(F.broadcast(n_strata)).withColumn("_core", F.col("_rank") <= share)
-    one = marked.groupBy("id", "budget").agg(F.max("_core").alias("_core")).withColumn(
-        "_h", F.md5(F.concat(F.lit(f"{seed}+"), F.col("id"))))
-    # The even shares first, whatever their number; then up to the budget.
-    core_first = F.concat(F.when(F.col("_core"), "0").otherwise("1"), F.col("_h"))
-    ordered = one.withColumn("_o", core_first)
-    total = row_numbers(ordered, [], [F.col("_o"), F.col("id")], F.substring("_o", 1, 4), "_n")
-    return total.filter(F.col("_core") | (F.col("_n") <= F.col("budget"))).select("id", "_o")
+    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(seed), F.col("stratum"), F.lit(":"), F.col("id"))), "id")
+    first = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(budget, 1))
+    n_strata = rows.select("stratum").distinct().groupBy().agg(F.count(F.lit(1))).scalar()
+    share = F.greatest(F.lit(1), F.floor(F.lit(budget) / n_strata))
+    plus = F.md5(F.concat(F.lit(f"{seed}+"), F.col("id")))
+    core = cut_lineage(first.withColumn("_share", share).filter(F.col("_rank") <= F.col("_share")).select("id").distinct())
+    left = max(budget - core.count(), 0)
+    more = rows.select("id").distinct().join(core, "id", "left_anti").orderBy(plus, "id").limit(left)
+    return core.withColumn("_o", F.concat(F.lit("0"), plus)).unionByName(more.withColumn("_o", F.concat(F.lit("1"), plus)))
 
 
 def stratified_sample(entries: DataFrame, target: int, seed: str = "13") -> DataFrame:
@@ -51,17 +50,14 @@ def stratified_sample(entries: DataFrame, target: int, seed: str = "13") -> Data
     flagged = flagged.select("id", F.concat_ws("|", "l", "g").alias("stratum")).distinct()
     benign = known.filter(F.size("findingLabels") == 0).select("id", F.concat_ws("|", F.lit(BENIGN), lang).alias("stratum")).distinct()
 
-    half = target // 2
-    first = _side(flagged.withColumn("budget", F.lit(half)), F.lit(half), seed)
-    used = first.agg(F.count(F.lit(1)).alias("_used"))  # one row
-    rest = benign.join(first.select("id"), "id", "left_anti").crossJoin(F.broadcast(used))
-    second = _side(rest.withColumn("budget", F.lit(target) - F.col("_used")).drop("_used"), F.lit(0), seed)
-    picked = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1))).orderBy(
+    one = cut_lineage(_pick(flagged, target // 2, seed))  # about half the target, whatever the input
+    other = _pick(benign.join(one.select("id"), "id", "left_anti"), max(target - one.count(), 0), seed)
+    picked = one.withColumn("_side", F.lit(0)).unionByName(other.withColumn("_side", F.lit(1))).orderBy(
         "_side", "_o", "id").limit(target).select("id")
     rows = known.join(picked, "id", "left_semi")
-    rest_cols = [c for c in known.columns if c != "id"]
-    one = rows.groupBy("id").agg(F.min_by(F.struct(*rest_cols), F.struct("seq", "text") if "seq" in rest_cols else F.struct("text")).alias("_e"))
-    return one.select("id", "_e.*").select(known.columns)
+    rest = [c for c in known.columns if c != "id"]
+    first = F.struct("seq", "text") if "seq" in rest else F.struct("text")
+    return rows.groupBy("id").agg(F.min_by(F.struct(*rest), first).alias("_e")).select("id", "_e.*").select(known.columns)
 
 
 def annotation_sheet(sample: DataFrame) -> DataFrame:

@@ -83,7 +83,9 @@ def summary(df: DataFrame, benign: str = BENIGN, by: tuple[str, ...] = ()) -> Da
     )
     rows = df.groupBy(*by, "row_id").agg(F.bool_and(F.col("y") == F.col("p")).alias("ok")).groupBy(*by).agg(
         F.avg(F.col("ok").cast("double")).alias("exact_match"), F.count(F.lit(1)).alias("n_rows"))
-    return cells.join(rows, list(by)) if by else cells.crossJoin(rows)
+    if by:
+        return cells.join(rows, list(by))
+    return cells.withColumn("_r", rows.select(F.struct("exact_match", "n_rows")).scalar()).select(*cells.columns, "_r.*")
 
 
 def per_language(df: DataFrame, benign: str = BENIGN) -> DataFrame:
@@ -147,9 +149,8 @@ def error_examples(df: DataFrame, n: int = 20) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def sweep(scores: DataFrame, grid: list[float] = GRID, min_precision: Column | float | None = None,
-          min_recall: Column | float | None = None, by: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Best-F1 threshold per label under optional floors.
+def at_thresholds(scores: DataFrame, grid: list[float] = GRID, by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Counts and rates per group at every threshold of ``grid``.
 
     Each row falls into one of ``len(grid) + 1`` bins, the number of thresholds
     at or below its score.  Sums per bin, added up from the top, give the counts
@@ -163,10 +164,13 @@ def sweep(scores: DataFrame, grid: list[float] = GRID, min_precision: Column | f
     at = packed.select(*by, "all_pos", "bins", F.posexplode(steps).alias("i", "threshold"))
     over = F.filter("bins", lambda b: b["bin"] > F.col("i"))
     add = lambda f: F.aggregate(over, F.lit(0).cast("bigint"), lambda acc, b: acc + b[f])
-    rows = rates(at.withColumns({"tp": add("pos"), "_p": add("n")}).withColumns(
-        {"fp": F.col("_p") - F.col("tp"), "fn": F.col("all_pos") - F.col("tp")}))
-    floor = lambda v, c: F.lit(True) if v is None else F.coalesce(F.col(c) >= v, F.lit(True))
-    ok = floor(min_precision, "precision") & floor(min_recall, "recall")
+    counted = at.withColumns({"tp": add("pos"), "_p": add("n")}).withColumns(
+        {"fp": F.col("_p") - F.col("tp"), "fn": F.col("all_pos") - F.col("tp")})
+    return rates(counted).select(*by, "i", "threshold", "precision", "recall", "f1")
+
+
+def _best(rows: DataFrame, ok: Column, by: tuple[str, ...]) -> DataFrame:
+    """The first threshold of best F1 among those that are ``ok``, else among all."""
     best = F.struct("f1", (-F.col("i")).alias("down"), "threshold", "precision", "recall")
     return rows.groupBy(*by).agg(F.max(F.when(ok, best)).alias("met"), F.max(best).alias("any")).select(
         *by, *[F.coalesce(F.col(f"met.{c}"), F.col(f"any.{c}")).alias(c) for c in ("threshold", "f1", "precision", "recall")],
@@ -174,21 +178,38 @@ def sweep(scores: DataFrame, grid: list[float] = GRID, min_precision: Column | f
     )
 
 
+def _above(floor: Column | float | None, rate: str) -> Column:
+    limit = floor if isinstance(floor, Column) else F.lit(floor).cast("double")
+    return F.coalesce(F.col(rate) >= limit, F.lit(True))
+
+
+def sweep(scores: DataFrame, grid: list[float] = GRID, min_precision: float | None = None,
+          min_recall: float | None = None, by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Best-F1 threshold per label under optional floors."""
+    ok = _above(min_precision, "precision") & _above(min_recall, "recall")
+    return _best(at_thresholds(scores, grid, by), ok, by)
+
+
 def tune_profiles(scores: DataFrame, profiles: dict = PROFILES, grid: list[float] = GRID) -> DataFrame:
-    """Thresholds for each profile, rounded to three places, with edge and weak marks."""
-    tuned = [
-        sweep(scores, grid, min_p, min_r).withColumn("profile", F.lit(name)) for name, (min_p, min_r) in profiles.items()
-    ]
-    out = reduce(DataFrame.unionByName, tuned).withColumn("threshold", F.bround("threshold", 3))
-    return out.withColumns({
+    """Thresholds for each profile, rounded to three places, with edge and weak marks.
+
+    All profiles choose from the same counts: the scores are read once.
+    """
+    floors = F.array(*[
+        F.struct(F.lit(name).alias("profile"), F.lit(p).cast("double").alias("min_p"), F.lit(r).cast("double").alias("min_r"))
+        for name, (p, r) in profiles.items()])
+    rows = at_thresholds(scores, grid).withColumn("_f", F.explode(floors)).select("*", "_f.*")
+    ok = _above(F.col("min_p"), "precision") & _above(F.col("min_r"), "recall")
+    return _best(rows, ok, ("profile", "label")).withColumn("threshold", F.bround("threshold", 3)).withColumns({
         "at_edge": (F.col("threshold") <= 0.06) | (F.col("threshold") >= 0.94), "weak": F.col("precision") < 0.50,
     })
 
 
 def leakage_gap(primary: DataFrame, leaky: DataFrame, benign: str = BENIGN) -> DataFrame:
-    a = summary(primary, benign).select(F.col("macro_f1_dark").alias("primary"))
-    b = summary(leaky, benign).select(F.col("macro_f1_dark").alias("leaky"))
-    return a.crossJoin(b).withColumn("gap", F.col("leaky") - F.col("primary"))  # one row each
+    macro = lambda df: df.groupBy().agg(F.avg("f1"))
+    dark = lambda df: macro(per_class(df).filter(F.col("label") != benign))
+    both = dark(primary).toDF("primary").withColumn("leaky", dark(leaky).scalar())
+    return both.withColumn("gap", F.col("leaky") - F.col("primary"))
 
 
 def parity(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +229,7 @@ def parity(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.sum("_d") / F.sum("_n")).alias("mean_abs"), F.max("_m").alias("max_abs"),
         (F.sum("_s") / F.sum("_n")).alias("label_agreement"), F.count_if(F.col("agreement") < 0.97).alias("disagreeing"),
         F.count_if((F.col("a_pos") >= 5) & (F.col("b_pos") < F.col("a_pos") * 0.5)).alias("collapsed"),
-    ).crossJoin(rows)
+    ).withColumn("row_agreement", rows.scalar())
     passed = (F.col("mean_abs") < 0.02) & (F.col("label_agreement") >= 0.99) & (F.col("disagreeing") == 0) & (
         F.col("collapsed") == 0)
     return by_label.drop("_d", "_m", "_n", "_s"), total.withColumn("passed", passed)

@@ -81,7 +81,7 @@ def score_distinct(
     be most of the input, so the way back spreads keys with many copies.
     """
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-    return join_by_key(df, scorer(counted), key, "_copies", row_id or df.columns, hot_rows=hot_rows)
+    return join_by_key(df, scorer(counted), key, "_copies", row_id or df.columns, hot_rows=hot_rows, counts=counted)
 
 
 def score_incremental(

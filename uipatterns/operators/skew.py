@@ -10,7 +10,7 @@ HOT_ROWS = 2_000_000
 
 def join_by_key(
     rows: DataFrame, lookup: DataFrame, key: str, copies: str, row_id: list[str], how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup``, which has one row per ``key`` and says in
     ``copies`` how many rows carry it.
@@ -20,10 +20,11 @@ def join_by_key(
     per salt.  The list of hot keys is broadcast; it cannot have more than
     rows / hot_rows entries of two numbers each.  The salt comes from
     ``row_id``, so a task that is run again places its rows as before.
+    ``counts`` gives key and copies where ``lookup`` is costly to compute.
     """
     # Two keys may share a hash; both then use the larger fan-out, which stays right.
     hot = (
-        lookup.filter(F.col(copies) > hot_rows)
+        (lookup if counts is None else counts).filter(F.col(copies) > hot_rows)
         .groupBy(F.xxhash64(key).alias("_h"))
         .agg(F.ceil(F.max(copies) / F.lit(hot_rows)).cast("int").alias("_n"))
     )

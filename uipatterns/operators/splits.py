@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from uipatterns.operators.ordered import hash_chunk, row_numbers
 from uipatterns.operators.skew import HOT_ROWS, join_by_key
+from uipatterns.session import cut_lineage
 
 PARTS = ["train", "val", "test"]
 PAIRS = [("train", "val"), ("train", "test"), ("val", "test")]
@@ -17,7 +18,8 @@ def part_rank(part: Column) -> Column:
 
 
 def _assign(df: DataFrame, group: list[str], key: str, seed: str, part: Column, row_id: list[str], hot_rows: int) -> DataFrame:
-    units = df.groupBy(*group, key).agg(F.count(F.lit(1)).alias("_copies"))
+    # One row per key, read several times below: the rows themselves are read twice only.
+    units = cut_lineage(df.groupBy(*group, key).agg(F.count(F.lit(1)).alias("_copies")))
     hashed = units.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
     ranked = row_numbers(hashed, group, [F.col("_h"), F.col(key)], hash_chunk("_h"), "_rank")
     sizes = units.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -61,9 +63,9 @@ def split_random(df: DataFrame, key: str, seed: str = "15") -> DataFrame:
     """Exactly 15 % test and 15 % validation, by rank of a hash of ``key``."""
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
     ranked = row_numbers(hashed, [], [F.col("_h"), F.col(key)], hash_chunk("_h"), "_rank")
-    held = df.agg(F.floor(F.count(F.lit(1)) * 0.15).alias("_held"))  # one row
+    held = df.agg(F.floor(F.count(F.lit(1)) * 0.15)).scalar()
     part = F.when(F.col("_rank") <= F.col("_held"), "test").when(F.col("_rank") <= 2 * F.col("_held"), "val").otherwise("train")
-    return ranked.crossJoin(F.broadcast(held)).withColumn("part", part).drop("_h", "_rank", "_held")
+    return ranked.withColumn("_held", held).withColumn("part", part).drop("_h", "_rank", "_held")
 
 
 def extend_split(old: DataFrame, additions: DataFrame) -> DataFrame:

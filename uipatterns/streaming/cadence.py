@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uipatterns.operators.ordered import previous_row, running_sums, time_chunk
+from uipatterns.session import cut_lineage
 
 # --- fixed values: a tick every 700 to 1500 ms, four in a row ---------------------
 MIN_GAP_MS, MAX_GAP_MS, RUN_LENGTH = 700, 1500, 4
@@ -31,7 +32,8 @@ def cadence_batch(
     seen = previous_row(rows, ["key"], ["ts"], {"_text": "text", "_digits": "digits"}, chunk)
     fresh = ~F.coalesce(F.col("_digits"), F.lit(False))
     changed = F.col("digits") & (fresh | (F.col("_text") != F.col("text")))
-    changes = seen.filter(changed).select("key", "ts", fresh.alias("fresh"))
+    # The changes are few next to the sightings and every step below reads them twice.
+    changes = cut_lineage(seen.filter(changed).select("key", "ts", fresh.alias("fresh")))
     changes = previous_row(changes, ["key"], ["ts"], {"_ts": "ts"}, chunk)
     gap = (F.unix_micros("ts") - F.unix_micros("_ts")) / 1000
     tick = ~F.col("fresh") & F.coalesce(gap.between(min_ms, max_ms), F.lit(False))
