@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uipatterns.sources.html import read_pages
+from uipatterns.sources.tables import read_spread
 
 # Template bank: i, template, lang, tag, role, field, step, label.
 BANK = [
@@ -54,7 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_spread(spark, f"{sf_dir}/pages.parquet", "page_id")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 def microcopy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def d18(spark, sf):
            SELECT word, label, n, count(*) OVER (PARTITION BY word) AS k FROM (SELECT word, label, count(*) AS n FROM (
            SELECT lang AS label, unnest(regexp_split_to_array(text, '{SQL_WS}')) AS word FROM documents) WHERE word <> '' GROUP BY ALL)) GROUP BY label""")
 def d19(spark, sf):
-    words = D.words_of(I.table(spark, sf, "documents").select(F.col("lang").alias("label"), "text"), ["label"])
+    words = D.words_of(I.documents(spark, sf).select(F.col("lang").alias("label"), "text"), ["label"])
     return D.exclusive_vocab(words).withColumn("exclusive_mass", F.round("exclusive_mass", 6))
 
 

@@ -169,7 +169,7 @@ def e13t(spark, sf):
 
 
 def _tokenized(spark, sf):
-    docs = I.table(spark, sf, "documents")
+    docs = I.documents(spark, sf)
     words, chars = F.split("text", " "), F.regexp_extract_all("text", F.lit("([a-z]{1,3}|[^a-z])"), F.lit(1))
     both = docs.select("lang", "text", F.explode(F.array(
         F.struct(F.lit("words").alias("model_key"), words.alias("tokens")), F.struct(F.lit("pieces").alias("model_key"), chars.alias("tokens")))).alias("m"))

@@ -51,7 +51,7 @@ def x02(spark, sf):
 
 @query("x03_own_text", f"SELECT doc_id, md5({collapse_sql('array_to_string(string_split(text, chr(10)), chr(32))')}) AS text_md5 FROM documents")
 def x03(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", F.md5(X.own_text(F.split("text", "\n"))).alias("text_md5"))
+    return I.documents(spark, sf).select("doc_id", F.md5(X.own_text(F.split("text", "\n"))).alias("text_md5"))
 
 
 @query("x04_leaf_text", f"SELECT p_partkey // 32 AS page_id, {collapse_sql('text')} AS leaf_text FROM microcopy", I.SQL_MICROCOPY)
@@ -238,13 +238,13 @@ def f05(spark, sf):
 
 @query("f06_is_personal", f"SELECT doc_id, {_PERSONAL_SQL} AS personal FROM documents")
 def f06(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", FD.is_personal(F.col("text")).alias("personal"))
+    return I.documents(spark, sf).select("doc_id", FD.is_personal(F.col("text")).alias("personal"))
 
 
 @query("f07_is_prose", f"SELECT doc_id, {_prose_sql('role')} AS prose FROM (SELECT doc_id, text, CASE WHEN source = 'src8' THEN 'cta' ELSE 'body' END AS role FROM documents)")
 def f07(spark, sf):
     role = F.when(F.col("source") == "src8", "cta").otherwise("body")
-    return I.table(spark, sf, "documents").select("doc_id", FD.is_prose(F.col("text"), role).alias("prose"))
+    return I.documents(spark, sf).select("doc_id", FD.is_prose(F.col("text"), role).alias("prose"))
 
 
 @query("f08_is_struck", "SELECT p_partkey // 32 AS page_id, count(*) AS struck FROM part WHERE length('Rs. ' || floor(p_retailprice)) >= 3 GROUP BY ALL")
@@ -295,7 +295,7 @@ def f11(spark, sf):
        """SELECT p_partkey // 32 AS page_id, 'Ends in 09:' || lpad((p_size % 60)::VARCHAR, 2, '0') AS text, 'timer_label_value' AS type,
           2 AS members, true AS reconstructed FROM part""")
 def f12(spark, sf):
-    groups = G.propose_groups(C.page_candidates(I.shop_pages(spark, sf))).filter(F.col("type") == "timer_label_value")
+    groups = G.propose_groups(cut_lineage(C.page_candidates(I.shop_pages(spark, sf)))).filter(F.col("type") == "timer_label_value")
     return groups.select("page_id", "text", "type", F.size("member_ids").alias("members"), "reconstructed")
 
 

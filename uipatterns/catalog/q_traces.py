@@ -169,7 +169,7 @@ _FENCE = "regexp_replace(text, '(-{3,}|`{3,}|<\\|.*?\\|>)', ' ', 'g')"
 @query("p01_sanitize_untrusted", f"SELECT doc_id, md5({collapse_sql(_FENCE)}) AS text_md5 FROM (SELECT doc_id, '<|x|>' || text || '---end' AS text FROM documents)")
 def p01(spark, sf):
     text = F.concat(F.lit("<|x|>"), "text", F.lit("---end"))
-    return I.table(spark, sf, "documents").select("doc_id", F.md5(X.sanitize_untrusted(text)).alias("text_md5"))
+    return I.documents(spark, sf).select("doc_id", F.md5(X.sanitize_untrusted(text)).alias("text_md5"))
 
 
 @query("p02_policy_violation",

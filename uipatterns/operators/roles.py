@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from uipatterns.functions.text import by_lang, matches
-from uipatterns.operators.nodes import class_and_id
+from uipatterns.operators.nodes import bind, class_and_id
 from uipatterns.schema import DEFAULT_ROLE
 
 # --- fixed values: word lists and patterns that decide a role ----------------
@@ -97,32 +97,37 @@ def infer_role(
     attrs = F.coalesce(attrs, F.create_map().cast("map<string,string>"))
     role_attr = F.coalesce(_get(attrs, "role"), F.lit(""))
     type_attr = F.lower(F.coalesce(_get(attrs, "type"), F.lit("")))
-    words = F.lower(F.coalesce(F.nullif(text, F.lit("")), accessible_name(attrs)))
-    tokens = class_and_id(attrs)
-    named = lambda pattern: (tokens != " ") & matches(tokens, pattern)
     contact = (tag == "a") & F.coalesce(_get(attrs, "href"), F.lit("")).rlike("^(mailto:|tel:)")
     small = F.coalesce(font_px < 11, no) if font_px is not None else no
-    return (
-        F.when((tag == "input") & (type_attr == "checkbox"), "checkbox")
-        .when(tag.rlike("^h[1-6]$"), "heading")
-        .when((tag == "nav") | (role_attr == "navigation"), "nav")
-        .when(tag == "form", "form")
-        .when((tag == "label") | in_label, "label")
-        .when(tag.isin("input", "select", "textarea") & F.map_contains_key(attrs, "required") & in_form, "form_gate")
-        .when(in_dialog | (role_attr == "dialog") | named(MODAL), "modal_text")
-        .when(matches_any(words, lang, "support") | contact, "support_link")
-        .when(matches_any(words, lang, "decline"), "decline")
-        .when(matches_any(words, lang, "cta"), "cta")
-        .when((tag == "button") & (type_attr == "submit"), "cta")
-        .when(((tag == "button") | (role_attr == "button")) & ~is_generic_control(attrs, words), "cta")
-        .when(named(FINE_PRINT) | small, "fine_print")
-        .when((named(TIMER) | (animated & matches(words, CLOCK))) & ~in_video, "timer")
-        .when(named(STOCK), "stock")
-        .when(named(LINE_ITEM), "line_item")
-        .when(named(TOAST), "toast")
-        .when(named(HELP), "help_text")
-        .when(named(BADGE), "badge")
-        .when((words.rlike("[0-9]") & matches(words, DISCOUNT_TEXT)) | named(PROMO), "promo")
-        .when(named(BANNER), "banner")
-        .otherwise(DEFAULT_ROLE)
-    )
+    needed = F.map_contains_key(attrs, "required")
+    wording = F.lower(F.coalesce(F.nullif(text, F.lit("")), accessible_name(attrs)))
+
+    def by_wording(words: Column, tokens: Column) -> Column:
+        named = lambda pattern: (tokens != " ") & matches(tokens, pattern)
+        return (
+            F.when((tag == "input") & (type_attr == "checkbox"), "checkbox")
+            .when(tag.rlike("^h[1-6]$"), "heading")
+            .when((tag == "nav") | (role_attr == "navigation"), "nav")
+            .when(tag == "form", "form")
+            .when((tag == "label") | in_label, "label")
+            .when(tag.isin("input", "select", "textarea") & needed & in_form, "form_gate")
+            .when(in_dialog | (role_attr == "dialog") | named(MODAL), "modal_text")
+            .when(matches_any(words, lang, "support") | contact, "support_link")
+            .when(matches_any(words, lang, "decline"), "decline")
+            .when(matches_any(words, lang, "cta"), "cta")
+            .when((tag == "button") & (type_attr == "submit"), "cta")
+            .when(((tag == "button") | (role_attr == "button")) & ~is_generic_control(attrs, words), "cta")
+            .when(named(FINE_PRINT) | small, "fine_print")
+            .when((named(TIMER) | (animated & matches(words, CLOCK))) & ~in_video, "timer")
+            .when(named(STOCK), "stock")
+            .when(named(LINE_ITEM), "line_item")
+            .when(named(TOAST), "toast")
+            .when(named(HELP), "help_text")
+            .when(named(BADGE), "badge")
+            .when((words.rlike("[0-9]") & matches(words, DISCOUNT_TEXT)) | named(PROMO), "promo")
+            .when(named(BANNER), "banner")
+            .otherwise(DEFAULT_ROLE)
+        )
+
+    return bind(F.struct(wording.alias("words"), class_and_id(attrs).alias("tokens")),
+                lambda x: by_wording(x["words"], x["tokens"]))

@@ -53,3 +53,15 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 def write_stats(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A table whose rows are few bytes and much work each, such as pages.
+
+    A table of fewer file splits than cores is spread out by ``key`` first.
+    Large tables come in many splits and are left alone.
+    """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    # Only the scan is planned here, nothing runs.
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores, key)
