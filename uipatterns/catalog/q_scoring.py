@@ -346,10 +346,37 @@ def page_report(spark, sf):
 
 
 def _all_scores(df):
-    return df.withColumn("probs", F.array(*[F.pmod(F.xxhash64("model_input") + i, F.lit(1000)) / 1000.0 for i in range(len(LABELS))]))
-
-
-@query("page_scan_scores")
+    n = F.length("model_input")
+    return df.withColumn("probs", F.array(*[((n * (7 + 4 * i) + i * 131) % 1000) / 1000.0 for i in range(len(LABELS))]))
+
+
+_ARMS = " UNION ALL ".join(
+    f"SELECT page_id, k, row_id, '{n}' AS label FROM asked WHERE ((size * {7 + 4 * i} + {i * 131}) % 1000) / 1000.0::DOUBLE >= {THRESHOLDS[n]}::DOUBLE"
+    + (f" AND NOT (role = 'support_link' AND NOT {hit('text', S.CANCEL_INTENT)})" if n == "obstruction" else "")
+    for i, n in enumerate(LABELS) if n != "benign")
+SQL_SCANNED = f"""shown AS (SELECT page_id, 'span' AS k, row_id, 'span' AS tag, role, field, text FROM listed
+  UNION ALL SELECT p_partkey // 32, 'b', row_id, 'b', 'body', 'title', p_name || ' ' || p_type || ' no ' || p_partkey FROM microcopy
+  UNION ALL SELECT p_partkey // 32, 's', row_id, 's', 'body', 'strike_price', 'Rs. ' || floor(p_retailprice)::BIGINT FROM microcopy
+  UNION ALL SELECT p_partkey // 32, 'time', row_id, 'time', 'body', 'unknown', 'Ends in' FROM microcopy
+  UNION ALL SELECT p_partkey // 32, 'clock', row_id, 'span', 'body', 'unknown', '09:' || lpad((p_size % 60)::VARCHAR, 2, '0') FROM microcopy
+  UNION ALL SELECT DISTINCT p_partkey // 32, 'h1', -1, 'h1', 'heading', 'title', 'Our offers' FROM microcopy),
+asked AS (SELECT *, length('[TAG=' || tag || '] [ROLE=' || role || '] ' || text) AS size FROM shown
+  WHERE field NOT IN ('prose', 'personal') AND NOT (field = 'title' AND role <> 'heading')),
+said AS ({_ARMS}),
+scanned AS (SELECT coalesce(s.page_id, h.page_id) AS page_id, coalesce(s.label, h.label) AS label, CASE WHEN h.label IS NULL THEN 'possible' ELSE 'likely' END AS confidence,
+  CASE WHEN h.label IS NULL THEN 'model' WHEN s.label IS NULL THEN 'rule' ELSE 'rule,model' END AS source
+  FROM said s FULL JOIN listed_hits h ON s.k = 'span' AND s.row_id = h.row_id AND s.label = h.label)"""
+
+
+@query("page_scan_findings", "SELECT page_id, label, confidence, source, count(*) AS n FROM scanned GROUP BY ALL", M, SQL_LISTED, SQL_SCANNED)
+def page_scan_findings(spark, sf):
+    findings, _ = page_scan.scan_pages(I.shop_pages(spark, sf), _all_scores, THRESHOLDS)
+    return findings.groupBy("page_id", "label", "confidence", F.array_join("source", ",").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("page_scan_scores",
+       """SELECT page_id, floor(least(1.0, sum(CASE WHEN confidence = 'likely' THEN 2 ELSE 1 END) / 20.0) * 100 + 0.5)::INT AS page_score FROM scanned GROUP BY page_id""",
+       M, SQL_LISTED, SQL_SCANNED)
 def page_scan_scores(spark, sf):
     _, scores = page_scan.scan_pages(I.shop_pages(spark, sf), _all_scores, THRESHOLDS)
-    return scores
+    return scores.select("page_id", "page_score")

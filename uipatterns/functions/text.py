@@ -113,6 +113,11 @@ def archive_host(url: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("")), F.lit("unknown-host"))
 
 
+def utc_day(ts: Column) -> Column:
+    """The UTC date of an instant, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86_400).cast("int"))
+
+
 def url_no_query(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from uipatterns.functions.text import archive_host, safe_segment, strip_fragment
+from uipatterns.functions.text import archive_host, safe_segment, strip_fragment, utc_day
 from uipatterns.operators.scoring import score_band
 from uipatterns.schema import MAX_TRACE_ENTRIES, TRACE, TRACE_ENTRY
 
@@ -57,7 +57,7 @@ def latest_per_scan(traces: DataFrame) -> DataFrame:
 def object_key(url: Column, scan_id: Column, captured_at: Column) -> Column:
     return F.concat(
         F.lit("traces/"), safe_segment(archive_host(url), "unknown-host"), F.lit("/"),
-        F.date_format(captured_at, "yyyy/MM/dd"), F.lit("/"), safe_segment(scan_id, "unknown-scan"), F.lit(".json"))
+        F.date_format(utc_day(captured_at), "yyyy/MM/dd"), F.lit("/"), safe_segment(scan_id, "unknown-scan"), F.lit(".json"))
 
 
 def trace_index(traces: DataFrame) -> DataFrame:

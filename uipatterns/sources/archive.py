@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uipatterns.functions.text import archive_host, host_of, safe_segment
+from uipatterns.functions.text import archive_host, host_of, safe_segment, utc_day
 from uipatterns.operators.traces import latest_per_scan
 from uipatterns.schema import TRACE_ENTRY
 
@@ -46,8 +46,7 @@ def write_archive(traces: DataFrame, path: str) -> None:
     """
     spark = traces.sparkSession
     keyed = latest_per_scan(traces).withColumns({
-        "host": safe_segment(archive_host(F.col("url")), "unknown-host"), "year": F.date_format("captured_at", "yyyy"),
-        "month": F.date_format("captured_at", "MM"), "day": F.date_format("captured_at", "dd"),
+        "host": safe_segment(archive_host(F.col("url")), "unknown-host"), **{name: F.date_format(utc_day(F.col("captured_at")), form) for name, form in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))},
     })
     day = ["host", "year", "month", "day"]
     merged = keyed
