@@ -191,6 +191,12 @@ def f02(spark, sf):
     return I.microcopy(spark, sf).select("row_id", RO.infer_role(F.col("text"), F.col("tag"), F.col("lang"), attrs).alias("role"))
 
 
+@query("f02_unknown_roles", "SELECT p_type AS role, count(*) AS n FROM part GROUP BY 1")
+def f02u(spark, sf):
+    rows = I.microcopy(spark, sf).select("role").unionByName(I.table(spark, sf, "part").select(F.col("p_type").alias("role")))
+    return RO.unknown_roles(rows)
+
+
 _NAMES = ["next slide carousel", "previous page", "filter", "expand all", "close", "quantity", "menu", "buy", "sorting", "nextpage", "slide", "Gallery next"]
 _LIST = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
 _EITHER = [RO.CAROUSEL, RO.PAGINATION, RO.FILTER_SORT, RO.EXPAND, RO.QUANTITY]

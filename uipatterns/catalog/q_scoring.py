@@ -202,6 +202,18 @@ def m07(spark, sf):
     return score_baseline(model, rows, names).select("row_id", "probs")
 
 
+@query("m07_vocabulary",
+       """SELECT gram, round(ln((1 + (SELECT count(*) FROM microcopy)) / (1.0 + count(DISTINCT row_id))) + 1, 6) AS idf FROM (
+          SELECT row_id, substr(w, i, n) AS gram FROM words CROSS JOIN range(2, 6) a(n), unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) b(i) WHERE length(w) >= n OR n = 2)
+          GROUP BY gram HAVING count(DISTINCT row_id) >= 2""", M,
+       "words AS (SELECT row_id, ' ' || unnest(string_split('[TAG=' || tag || '] [ROLE=' || role || '] ' || text, ' ')) || ' ' AS w FROM microcopy)")
+def m07v(spark, sf):
+    from uipatterns.operators.baseline import fit_vocabulary
+
+    rows = I.microcopy(spark, sf).select("row_id", S.model_input(F.col("text"), F.col("tag"), F.col("role")).alias("model_input"))
+    return fit_vocabulary(rows).select("gram", F.round("idf", 6).alias("idf"))
+
+
 def _word_model():
     return lambda texts: [[len(t) / 1000.0, float("left" in t)] for t in texts]
 

@@ -233,6 +233,14 @@ def w03(spark, sf):
     return live.document_scores(state).select("document", "page_score")
 
 
+@query("w04_document_keys",
+       """SELECT split_part(url, '#', 1) AS document, count(DISTINCT page_id % 3) AS elements, count(*) AS rows FROM pages GROUP BY 1""")
+def w04(spark, sf):
+    rows = I.table(spark, sf, "pages").select(
+        "url", F.concat(F.lit("p"), (F.col("page_id") % 3).cast("string")).alias("selector"), F.concat(F.lit("Only "), F.col("page_id").cast("string")).alias("text"))
+    return live.churn_rows(rows).groupBy("document").agg(F.countDistinct("churn").alias("elements"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("w06_seen_span",
        """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
           max_by(event_type, ts) FILTER (WHERE event_type <> 'view') AS outcome FROM events GROUP BY user_id""")

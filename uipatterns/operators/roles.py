@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uipatterns.functions.text import by_lang, matches
 from uipatterns.operators.nodes import bind, class_and_id
-from uipatterns.schema import DEFAULT_ROLE
+from uipatterns.schema import DEFAULT_ROLE, ROLES
 
 # --- fixed values: word lists and patterns that decide a role ----------------
 DECLINE_WORDS = {
@@ -131,3 +131,8 @@ def infer_role(
 
     return bind(F.struct(wording.alias("words"), class_and_id(attrs).alias("tokens")),
                 lambda x: by_wording(x["words"], x["tokens"]))
+
+
+def unknown_roles(df: DataFrame) -> DataFrame:
+    """Roles outside the vocabulary, with their row counts: should be empty."""
+    return df.filter(~F.coalesce("role", F.lit("")).isin(ROLES)).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
