@@ -17,6 +17,13 @@ def test_running_sums_equal_a_plain_window(spark):
         assert {(r.id, r.s) for r in got.collect()} == {(r.id, r.s) for r in plain}
 
 
+def test_running_sums_keep_rows_without_a_group(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
+    plain = {(r.id, r.s) for r in df.selectExpr("id", "sum(id) over (partition by k order by id) as s").collect()}
+    got = running_sums(df, ["k"], [F.col("id")], {"s": F.col("id")}, F.floor(F.col("id") / 7))
+    assert {(r.id, r.s) for r in got.collect()} == plain
+
+
 def test_previous_row_equals_lag(spark):
     df = spark.range(300).select("id", (F.col("id") % 2).alias("k"), (F.col("id") * 13 % 301).alias("t"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
     plain = {(r.id, r.p) for r in df.selectExpr("id", "lag(v) over (partition by k order by t) as p").collect()}

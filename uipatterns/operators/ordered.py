@@ -13,55 +13,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"_r_{k}"])
-    return cond
-
-
-def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    out = left.join(right, _same(left, right, keys), "left")
-    return out.drop(*[f"_r_{k}" for k in keys])
-
-
 def running_sums(
     df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], chunk: Column,
 ) -> DataFrame:
-    """Add inclusive running sums.  ``chunk`` must not decrease along ``order``."""
-    rows = df.withColumns({"_chunk": chunk, **{f"_v_{n}": c for n, c in sums.items()}})
-    inside = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
+    """Add inclusive running sums.  ``chunk`` must not decrease along ``order``.
+
+    Every chunk gets one extra row in front that carries the sum of the chunks
+    before it, so the rows themselves are shuffled once and joined to nothing.
+    """
+    rows = df.withColumns({"_chunk": chunk, "_row": F.lit(1), **{f"_v_{n}": c for n, c in sums.items()}})
     before = (
         Window.partitionBy(*(group or [F.lit(0)])).orderBy("_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
+    front = (
         rows.groupBy(*group, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-        .select(*group, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
+        .select(*group, "_chunk", F.lit(0).alias("_row"), *[F.sum(f"_t_{n}").over(before).alias(f"_v_{n}") for n in sums])
     )
-    out = _attach(local, offsets, [*group, "_chunk"])
-    out = out.withColumns({n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums})
-    helper = ["_chunk"] + [f"{p}{n}" for n in sums for p in ("_v_", "_l_", "_o_")]
-    return out.drop(*helper)
+    inside = Window.partitionBy(*group, "_chunk").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(front, allowMissingColumns=True)
+    out = both.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in sums}).filter("_row = 1")
+    return out.drop("_chunk", "_row", *[f"_v_{n}" for n in sums])
 
 
 def previous_row(
     df: DataFrame, group: list[str], order: list[str], values: dict[str, str], chunk: Column,
 ) -> DataFrame:
-    """Add columns of the row just before, per group.  ``values`` maps new to old names."""
-    rows = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
-    packed = F.struct(*[F.col(old).alias(new) for new, old in values.items()])
-    local = rows.withColumn("_prev", F.lag(packed).over(inside))
+    """Add columns of the row just before, per group.  ``values`` maps new to old names.
+
+    The last row of each chunk is repeated in front of the group's next chunk.
+    """
+    rows = df.withColumns({"_chunk": chunk, "_row": F.lit(1)})
+    wanted = sorted(set(values.values()))
+    packed = F.struct(*wanted)
     last = rows.groupBy(*group, "_chunk").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    carried = last.select(
-        *group, "_chunk", F.lag("_last").over(Window.partitionBy(*group).orderBy("_chunk")).alias("_carry")
-    )
-    out = _attach(local, carried, [*group, "_chunk"])
-    out = out.withColumn("_prev", F.coalesce("_prev", "_carry"))
-    return out.withColumns({new: F.col("_prev")[new] for new in values}).drop("_prev", "_carry", "_chunk")
+    carried = F.lag("_last").over(Window.partitionBy(*group).orderBy("_chunk"))
+    front = last.select(*group, "_chunk", F.lit(0).alias("_row"), carried.alias("_c")).filter("_c is not null").select(
+        *group, "_chunk", "_row", *[F.col(f"_c.{c}").alias(c) for c in wanted if c not in group])
+    inside = Window.partitionBy(*group, "_chunk").orderBy("_row", *order)
+    both = rows.unionByName(front, allowMissingColumns=True)
+    out = both.withColumn("_prev", F.lag(packed).over(inside)).filter("_row = 1")
+    return out.withColumns({new: F.col("_prev")[old] for new, old in values.items()}).drop("_prev", "_chunk", "_row")
 
 
 def row_numbers(

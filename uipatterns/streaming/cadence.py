@@ -56,7 +56,8 @@ def cadence_stream(
     """The streaming form: one row per key whenever its run changes.
 
     State is three values per key.  A key that is silent past the watermark is
-    forgotten.  Rows of one trigger are put in time order per key.
+    forgotten.  Rows of one trigger are put in time order per key; a row older
+    than the change counted last is passed over.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -71,6 +72,8 @@ def cadence_stream(
         last, at, run = state.get if state.exists else (None, 0, 0)
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         for now, value in zip(rows["ts"].astype("int64") // 1_000, rows["text"]):
+            if last is not None and now < at:
+                continue  # arrived after a later one was counted
             if not any("0" <= c <= "9" for c in value):
                 last, at, run = None, 0, 0
             elif last is None:
