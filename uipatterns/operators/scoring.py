@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uipatterns.functions.ids import cache_key
-from uipatterns.functions.text import churn_key, matches
+from uipatterns.functions.text import churn_key, matches, trim_space
 from uipatterns.operators.skew import HOT_ROWS, join_by_key
 from uipatterns.schema import (
     BENIGN, LABEL_DESCRIPTIONS, LABELS, LANGS, MAX_SNIPPET_CHARS,
@@ -49,11 +49,11 @@ def model_input(text: Column, tag: Column, role: Column) -> Column:
 
 
 def norm_tag(tag: Column) -> Column:
-    return F.coalesce(F.nullif(F.lower(F.trim(tag)), F.lit("")), F.lit(DEFAULT_TAG))
+    return F.coalesce(F.nullif(F.lower(trim_space(tag)), F.lit("")), F.lit(DEFAULT_TAG))
 
 
 def norm_role(role: Column) -> Column:
-    return F.coalesce(F.nullif(F.translate(F.lower(F.trim(role)), "- ", "__"), F.lit("")), F.lit(NO_ROLE))
+    return F.coalesce(F.nullif(F.translate(F.lower(trim_space(role)), "- ", "__"), F.lit("")), F.lit(NO_ROLE))
 
 
 def to_score(cands: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -258,7 +258,7 @@ def page_score(findings: DataFrame, pages: DataFrame, key: str = "page_id") -> D
 
 def validate_snippets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows a scorer accepts, and the others with what is wrong."""
-    blank = F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) == 0
+    blank = trim_space(F.col("text")) == ""
     reason = (
         F.when(F.col("text").isNull() | (F.col("text") == ""), "empty text")
         .when(F.length("text") > MAX_SNIPPET_CHARS, "text too long")

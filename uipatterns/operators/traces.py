@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from uipatterns.functions.text import archive_host, safe_segment, strip_fragment, utc_day
+from uipatterns.functions.text import archive_host, safe_segment, strip_fragment, trim_space, utc_day
 from uipatterns.operators.scoring import score_band
 from uipatterns.schema import MAX_TRACE_ENTRIES, TRACE, TRACE_ENTRY
 
@@ -125,7 +125,7 @@ def label_examples(entries: DataFrame, k: int, order: str = "seq") -> DataFrame:
     order = order if order in entries.columns else "id"
     rows = entries.withColumn("label", F.explode("findingLabels"))
     first = Window.partitionBy("label").orderBy(order, "id")
-    text = F.trim(F.translate(F.coalesce("text", F.lit("")), "\n", " "))
+    text = trim_space(F.translate(F.coalesce("text", F.lit("")), "\n", " "))
     shown = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 97), F.lit("..."))).otherwise(text)
     evidence = F.when(F.coalesce(F.size("ruleHits") > 0, F.lit(False)),
                       F.concat(F.lit("rule: "), F.array_join("ruleHits", ", "))).otherwise("model only")
