@@ -301,7 +301,9 @@ def f11(spark, sf):
        """SELECT p_partkey // 32 AS page_id, 'Ends in 09:' || lpad((p_size % 60)::VARCHAR, 2, '0') AS text, 'timer_label_value' AS type,
           2 AS members, true AS reconstructed FROM part""")
 def f12(spark, sf):
-    groups = G.propose_groups(cut_lineage(C.page_candidates(I.shop_pages(spark, sf)))).filter(F.col("type") == "timer_label_value")
+    cands = C.page_candidates(I.shop_pages(spark, sf)).select(
+        "page_id", "node_no", "sub_end", "cand_id", "tag", "text", "run_text", "control_no", "is_animated", "in_video", "anc_nos", "anc_tags")
+    groups = G.propose_groups(cut_lineage(cands)).filter(F.col("type") == "timer_label_value")
     return groups.select("page_id", "text", "type", F.size("member_ids").alias("members"), "reconstructed")
 
 
