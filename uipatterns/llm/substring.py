@@ -15,7 +15,11 @@ from uipatterns.llm.common import by_value, n_words, shared_folder, spare, text_
 
 by_value(__name__)
 
-ROUNDS = 6
+def rounds_for(window: int) -> int:
+    """More rounds make rarer keys, but symbols near the window's length serve few windows: 2 below 30 words (0.15 keys a word at 20), else 3 (0.11 at 30)."""
+    return 2 if window < 30 else 3
+
+
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -77,12 +81,28 @@ def recompress(ranges: Ranges, edges: np.ndarray, rounds: int):
         yield at, low, high
 
 
+def smallest(names: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the smallest name of each range stands, the first of equals: two overlapping power-of-two ranges answer each."""
+    out, size = np.empty(len(begin), np.int64), end - begin
+    best, width = np.arange(len(names)), 1
+    while len(begin):
+        now = (size >= width) & (size < 2 * width)
+        a, b = best[begin[now]], best[end[now] - width]
+        out[now] = np.where(names[a] <= names[b], a, b)
+        if not (size >= 2 * width).any():
+            return out
+        a, b = best[:-width], best[width:]
+        best, width = np.where(names[a] <= names[b], a, b), 2 * width
+    return out
+
+
 def anchor_windows(ranges: Ranges, edges: np.ndarray, window: int, rounds: int):
     """(key, first window, last window + 1): the windows of the documents, in segments that share an anchor.
 
-    A window's anchor is the leftmost boundary of the highest round that
-    depends on nothing outside the window; the key names that round and the
-    words on which the boundary depends.  Equal windows thus have equal keys.
+    A window's anchor is a boundary of the highest round that has one that
+    depends on nothing outside the window, and of these the one of smallest
+    name.  The name stands for the words on which the boundary depends, so
+    equal windows have equal keys, and neighbouring windows mostly share one.
     A window without such a boundary is its own segment and key.
     """
     total = int(edges[-1])
@@ -98,18 +118,16 @@ def anchor_windows(ranges: Ranges, edges: np.ndarray, window: int, rounds: int):
         at, low, high = at[fit], low[fit], high[fit]
         if not len(at):
             continue
+        names = _mix(ranges.names(low, high) + np.uint64(1000 * (k + 1)) * np.uint64(window) + (at - low).astype(np.uint64))
         starts = np.flatnonzero(free)
-        before = np.cumsum(np.bincount(low, minlength=total + 1))
-        first = np.where(starts > 0, before[starts - 1], 0)
-        ok = first < len(at)
-        starts, first = starts[ok], first[ok]
-        ok = high[first] <= starts + window
-        starts, first = starts[ok], first[ok]
-        used = np.unique(first)
-        named = np.zeros(len(at), np.uint64)
-        named[used] = _mix(ranges.names(low[used], high[used]) + np.uint64(1000 * (k + 1)) * np.uint64(window) + (at[used] - low[used]).astype(np.uint64))
-        key[starts] = named[first]
-        owner[starts] = at[first] * (rounds + 1) + k
+        before, upto = np.cumsum(np.bincount(low, minlength=total + 1)), np.cumsum(np.bincount(high, minlength=total + 1))
+        begin = np.where(starts > 0, before[starts - 1], 0)
+        end = upto[np.minimum(starts + window, total)]
+        ok = begin < end
+        starts = starts[ok]
+        chosen = smallest(names, begin[ok], end[ok])
+        key[starts] = names[chosen]
+        owner[starts] = at[chosen] * (rounds + 1) + k
         free[starts] = False
     alone = np.flatnonzero(free)
     key[alone] = ranges.names(alone, alone + window)
@@ -253,7 +271,7 @@ def _apply(batches, window: int, names: tuple[str, ...], schema: pa.Schema):
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, folder: str | None = None,
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """``docs`` without the words of passages that stand earlier too.
 
@@ -262,10 +280,10 @@ def remove_repeats(
     row) goes; windows are judged on the input.  Adds n_words, n_removed and
     removed_spans (word numbers [start, stop)).
 
-    1. Recompression names the words, runs and pairs of all rows by what they
+    1. ``rounds`` rounds of recompression name the words, runs and pairs of all rows by what they
        hold, so names agree across tasks without a dictionary.  Each window is
        anchored at its highest symbol boundary that depends on nothing outside
-       it; some seven windows share an anchor, which is one row.
+       it; neighbouring windows share an anchor, which is one row.
     2. Rows of one key are brought together; keys seen once are done.  Repeats
        within a batch of rows are known there already and send one row, so a
        passage shared by a third of all rows sends one row per batch.
@@ -281,6 +299,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "substring")
+    rounds = rounds or rounds_for(window)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tk"), F.col(text_col).cast("string").alias("text"))
     sized = keyed.filter("text is not null").withColumn("bytes", F.octet_length("text"))
     segments = written(sized.mapInArrow(
