@@ -29,7 +29,7 @@ def cheapest_size(left: int, need: int, costs: dict[int, int]) -> int:
     Only sizes that hold the item count; the least cost per word that the bin
     can still receive wins, ties go to the smaller size.
     """
-    return min((c for c in costs if c >= need), key=lambda c: (costs[c] / min(c, max(left, need)), c))
+    return min((c for c in costs if c >= need), key=lambda c: (costs[c] / min(c, max(left, need, 1)), c))
 
 
 def best_fit(lengths: list[int], costs: dict[int, int]) -> list[tuple[int, int, int]]:
