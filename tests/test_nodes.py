@@ -116,3 +116,37 @@ def test_page_lang_step_host(spark):
         "html string, url string")
     got = rows.select(X.page_lang(F.col("html")), X.infer_step(F.col("url")), X.host_of(F.col("url"))).collect()
     assert [tuple(r) for r in got] == [("ne", "payment", "a.example"), ("en", "cart", "b.example"), ("en", "product", "not a url")]
+
+
+def test_twins_equal_the_comparison_of_all_pairs():
+    import random
+    from collections import Counter
+
+    from uipatterns.sources.html import with_twins
+
+    rng = random.Random(1)
+    for _ in range(400):
+        sets = [frozenset(rng.sample("abcdefghij", rng.randint(0, 6))) for _ in range(rng.randint(1, 12))]
+        want = {a for i, a in enumerate(sets) for j, b in enumerate(sets)
+                if i != j and (not a and not b or min(len(a), len(b)) > 0 and 2 * len(a & b) >= min(len(a), len(b)))}
+        assert with_twins(Counter(sets)) == want
+
+
+def test_many_siblings_with_partly_shared_classes_parse_in_seconds():
+    import time
+
+    from uipatterns.sources.html import _tree_of
+
+    start = time.time()
+    for cls in ("t{m} u{i}", "card item a{i} b{i} c{i}", "card t{m} x{i}"):
+        items = "".join(f'<li class="{cls.format(m=i % 3, i=f"{i // 26:x}q{i % 26}")}">x</li>' for i in range(20_000))
+        tree, failed = _tree_of(f"<ul>{items}</ul>")
+        assert not failed and len(tree.nodes) == 20_001
+    assert time.time() - start < 30
+
+
+def test_a_comment_child_makes_no_leaf_text(page):
+    from uipatterns.operators.nodes import explode_nodes
+
+    rows = explode_nodes(page("<p><span>ab</span><!-- --><span>cd</span></p><p><span>ab</span> <span>cd</span></p>")).filter("tag = 'p'").orderBy("node_no").collect()
+    assert [r["leaf_text"] for r in rows] == [None, "ab cd"]

@@ -90,23 +90,14 @@ def explode_nodes(
         trimmed = F.transform(parts, trim_space)
         return collapse_space(F.array_join(F.filter(trimmed, lambda x: x != ""), " "))
 
-    def has_twin(nodes: Column, n: Column) -> Column:
-        mine = class_tokens(node_attr(n, "class"))
-        look_alike = F.exists(
-            nodes[n["parent_no"]]["kids"],
-            lambda k: (k["tag"] == n["tag"]) & (k["no"] != n["node_no"])
-            & looks_like_twin(class_tokens(node_attr(nodes[k["no"]], "class")), mine),
-        )
-        return F.when(n["parent_no"].isNull() | (n["twin_hint"] == 0), False).when(n["twin_hint"] == 2, True).otherwise(look_alike)
-
-    def brief(n: Column, card: Column) -> Column:
+    def brief(n: Column) -> Column:
         get = lambda name: node_attr(n, name)
         return F.struct(
             n["node_no"].alias("node_no"), n["tag"].alias("tag"), get("id").alias("id"), get("class").alias("cls"),
             get("role").alias("role"), get("style").alias("style"),
             (get("aria-hidden") == "true").alias("aria_hidden"), has_attr(n, "hidden").alias("hidden"),
             has_attr(n, "href").alias("href"), n["sub_end"].alias("sub_end"), n["sib_no"].alias("sib_no"),
-            n["sib_n"].alias("sib_n"), card.alias("is_card"),
+            n["sib_n"].alias("sib_n"), n["twin"].alias("is_card"),
         )
 
     def leaf_of(pieces: Column, n: Column) -> Column:
@@ -141,7 +132,7 @@ def explode_nodes(
 
     def spread(page: Column) -> Column:
         nodes, pieces = page["nodes"], page["pieces"]
-        briefs = F.transform(nodes, lambda n: brief(n, has_twin(nodes, n)))
+        briefs = F.transform(nodes, brief)
         rows = F.transform(nodes, lambda n: F.struct(n.alias("n"), texts(pieces, n).alias("t")))
         if candidates_only:
             rows = F.filter(rows, lambda x: text_gate(x["t"]["text"], MIN_TEXT, MAX_TEXT))

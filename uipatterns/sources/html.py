@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 NODE_TYPE = (
     "struct<node_no:int,parent_no:int,depth:int,sub_end:int,tag:string,attrs:map<string,string>,"
-    "anc:array<int>,piece_lo:int,piece_hi:int,text_len:int,sib_no:int,sib_n:int,twin_hint:int,"
+    "anc:array<int>,piece_lo:int,piece_hi:int,text_len:int,sib_no:int,sib_n:int,twin:boolean,"
     "kids:array<struct<no:int,tag:string,lo:int,hi:int>>>"
 )
 
@@ -44,9 +44,38 @@ PARAGRAPH_SCOPE = {"button", "td", "th", "caption", "object", "template", "html"
 # --- end of fixed values -----------------------------------------------------
 
 
+COMMENT = "#comment"
 _GENERATED = re.compile("[0-9]{3}")
 
 
+def with_twins(families: Counter) -> set[frozenset]:
+    """The class-token sets of siblings that have a twin: an equal set, or one that shares half of the smaller set.
+
+    Only distinct sets are compared.  A token of a set of one or two makes
+    twins of all sets that hold it.  A set of s tokens, three or more, must
+    share ceil(s / 2) with a set as large or larger, so one of its s -
+    ceil(s / 2) + 1 rarest tokens: those alone are looked up, and the tokens
+    that all siblings carry are not.
+    """
+    found = {s for s, n in families.items() if n > 1}
+    holders = defaultdict(list)
+    for s in families:
+        for t in s:
+            holders[t].append(s)
+    for t, sets in holders.items():
+        small = [s for s in sets if len(s) <= 2]
+        if small and len(sets) > 1:
+            found.update(sets)
+    for s in families:
+        need = -(-len(s) // 2)
+        if len(s) >= 3:
+            for t in sorted(s, key=lambda t: (len(holders[t]), t))[:len(s) - need + 1]:
+                for other in holders[t]:
+                    if other is not s and len(other) >= len(s) and not (s in found and other in found) and len(s & other) >= need:
+                        found.update((s, other))
+    return found
+
+
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -86,7 +115,11 @@ class _Tree(HTMLParser):
                 return
 
     def handle_comment(self, data):
+        """A comment is a child that is neither text nor an inline element."""
         self.text_joins = False
+        if self.open:
+            at = len(self.pieces)
+            self.open[-1]["kids"].append({"no": None, "tag": COMMENT, "lo": at, "hi": at})
 
     def handle_data(self, data):
         if not self.open:
@@ -125,21 +158,17 @@ class _Tree(HTMLParser):
             self.close()
         finally:
             self._close_to(0)
-        same_tag, same_kind, with_token = Counter(), Counter(), Counter()
+        same_tag, families = Counter(), defaultdict(list)
         for node in self.nodes:
             family = node["parent_no"], node["tag"]
             tokens = frozenset(t for t in dict(node["attrs"]).get("class", "").split() if not _GENERATED.search(t))
-            node["_family"], node["_tokens"] = family, tokens
             same_tag[family] += 1
-            same_kind[family, tokens] += 1
-            with_token.update((family, t) for t in tokens)
+            families[family].append((node, tokens))
             node["sib_no"] = same_tag[family]
-        for node in self.nodes:
-            family, tokens = node.pop("_family"), node.pop("_tokens")
-            node["sib_n"] = same_tag[family]
-            # 2: an equal sibling exists, 1: one shares a token, 0: neither.
-            shares = any(with_token[family, t] > 1 for t in tokens)
-            node["twin_hint"] = 2 if same_kind[family, tokens] > 1 else int(shares)
+        for family, members in families.items():
+            twins = with_twins(Counter(tokens for _, tokens in members)) if family[0] is not None else set()
+            for node, tokens in members:
+                node["sib_n"], node["twin"] = same_tag[family], tokens in twins
 
 
 def _tree_of(html: str | None):
@@ -153,7 +182,7 @@ def _tree_of(html: str | None):
         for node in tree.nodes:
             node.setdefault("sib_no", 1)
             node.setdefault("sib_n", 1)
-            node.setdefault("twin_hint", 0)
+            node.setdefault("twin", False)
     return tree, failed
 
 
@@ -161,7 +190,8 @@ _INT, _TEXT = pa.int32(), pa.string()
 _NODE_ARROW = pa.struct([
     *[(name, _INT) for name in ("node_no", "parent_no", "depth", "sub_end")],
     ("tag", _TEXT), ("attrs", pa.map_(_TEXT, _TEXT)), ("anc", pa.list_(_INT)),
-    *[(name, _INT) for name in ("piece_lo", "piece_hi", "text_len", "sib_no", "sib_n", "twin_hint")],
+    *[(name, _INT) for name in ("piece_lo", "piece_hi", "text_len", "sib_no", "sib_n")],
+    ("twin", pa.bool_()),
     ("kids", pa.list_(pa.struct([("no", _INT), ("tag", _TEXT), ("lo", _INT), ("hi", _INT)]))),
 ])
 
