@@ -131,32 +131,64 @@ def test_stream_dedupe_equals_batch(spark, tmp_path):
     assert live.late_rows(df, str(START + datetime.timedelta(seconds=3)), watermark="1 second").count() == 2
 
 
-def test_findings_table_replaces_deletes_and_evicts(spark):
-    one = [("scarcity", "likely")]
-    schema = "document string, cand_id string, seen_at timestamp, findings array<struct<label:string,confidence:string>>"
-    empty = spark.createDataFrame([], live.STATE)
-    at = lambda s: START + datetime.timedelta(seconds=s)
-    first = live.upsert_findings(empty, spark.createDataFrame([("d", c, at(i), one) for i, c in enumerate("abc")], schema), 3)
-    second = live.upsert_findings(first, spark.createDataFrame([("d", "a", at(9), [("scarcity", "possible")]), ("d", "b", at(9), []), ("d", "x", at(9), one), ("d", "y", at(10), one)], schema), 3)
-    assert {r.cand_id for r in second.collect()} == {"c", "x", "y"}
-    assert {r.cand_id for r in live.upsert_findings(second, spark.createDataFrame([], schema), 3).collect()} == {"c", "x", "y"}
-    assert live.document_scores(second).first().page_score == 30
+FOUND = "cand_id string, seen_at timestamp, findings array<struct<label:string,confidence:string>>"
 
 
-def test_stream_findings_keeps_tables(spark, tmp_path):
-    schema = "url string, cand_id string, seen_at timestamp, findings array<struct<label:string,confidence:string>>"
+def test_findings_table_replaces_and_deletes_without_a_cap(spark):
     one = [("scarcity", "likely")]
-    batches = [[("d1#x", "a", one), ("d2", "b", one)], [("d1", "c", one), ("d3", "e", one)], [("d2", "b", []), ("d1", "a", [])]]
+    schema = f"document string, {FOUND}"
+    empty = spark.createDataFrame([], live.STATE)
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    first = live.upsert_findings(empty, spark.createDataFrame([("d", c, at(i), one) for i, c in enumerate("abc")], schema))
+    second = live.upsert_findings(first, spark.createDataFrame([("d", "a", at(9), [("scarcity", "possible")]), ("d", "b", at(9), []), ("d", "x", at(9), one), ("d", "y", at(10), one)], schema))
+    assert {r.cand_id for r in second.collect()} == {"a", "c", "x", "y"}
+    kept, gone = live.keep_latest(second, 3)
+    assert {r.cand_id for r in kept.collect()} == {"c", "x", "y"} and {r.cand_id for r in gone.collect()} == {"a"}
+    assert live.document_scores(kept).first().page_score == 30
+    many = spark.createDataFrame([("d", f"c{i}", at(i), one) for i in range(700)], schema)
+    assert live.upsert_findings(empty, many).count() == 700
+
+
+def test_stream_findings_survive_restarts_late_rows_and_a_new_checkpoint(spark, tmp_path):
+    one, schema = [("scarcity", "likely")], f"url string, {FOUND}"
+    batches = [[("d1#x", "a", 0, one), ("d2", "b", 0, one)], [("d1", "c", 1, one), ("d3", "e", 1, one)], [("d2", "b", 2, []), ("d1", "a", 2, [])],
+               [("d2", "b", 1, one), *[("d4", f"m{i}", 3, one) for i in range(700)]]]
     for i, rows in enumerate(batches):
-        data = [(f"https://a.example/{u}", c, START + datetime.timedelta(seconds=i), f) for u, c, f in rows]
+        data = [(f"https://a.example/{u}", c, START + datetime.timedelta(seconds=s), f) for u, c, s, f in rows]
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").json(str(tmp_path / f"in/{i}"))
-    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    out = str(tmp_path / "out")
     for i in range(len(batches)):  # one run per batch, so that state is read back after a restart
         stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/[0-{i}]")
-        live.stream_findings(stream, out, cp, {"availableNow": True}, 4).awaitTermination(120)
-    got = {(r.document[-2:], r.cand_id) for r in live.read_findings(spark, out).collect()}
-    assert got == {("d1", "c"), ("d3", "e")}
-    assert {(r.document[-2:], r.page_score) for r in live.read_scores(spark, out).collect()} == {("d1", 10), ("d3", 10)}
+        live.stream_findings(stream, out, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
+    want = {("d1", "c"), ("d3", "e"), *[("d4", f"m{i}") for i in range(700)]}
+    found = lambda: {(r.document[-2:], r.cand_id) for r in live.read_findings(spark, out).collect()}
+    assert found() == want
+    assert [(r.document[-2:], r.cand_id) for r in live.read_dead_letters(spark, out).collect()] == [("d2", "b")]
+    assert {(r.document[-2:], r.page_score) for r in live.read_scores(spark, out).collect()} == {("d1", 10), ("d3", 10), ("d4", 100)}
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/[0-3]")
+    live.stream_findings(stream, out, str(tmp_path / "cp2"), {"availableNow": True}).awaitTermination(120)
+    assert found() == want  # a new checkpoint over the old log
+
+
+def test_silent_findings_expire(spark, tmp_path):
+    import time
+
+    schema = f"url string, {FOUND}"
+    for i, c in enumerate("ab"):
+        spark.createDataFrame([("u", c, START, [("scarcity", "likely")])], schema).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
+    for i in range(2):
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/[0-{i}]")
+        live.stream_findings(stream, str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True}, "1 second").awaitTermination(120)
+        time.sleep(2)
+    assert "b" in {r.cand_id for r in live.read_findings(spark, str(tmp_path / "out")).collect()}
+    assert {r.cand_id for r in spark.read.schema(live.CHANGES).parquet(str(tmp_path / "out")).filter("kind = 'expired'").collect()} == {"a"}
+
+
+def test_ties_have_one_answer(spark):
+    rows = [("k", START, t) for t in ("9 left", "7 left", "8 left")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, "key string, ts timestamp, text string").coalesce(1)
+        assert [(r.strictly_decreasing, r.changes) for r in value_trend(df).collect()] == [(False, 2)]
 
 
 def test_value_trend(spark):
@@ -166,6 +198,6 @@ def test_value_trend(spark):
 
 
 def test_fencing_and_policy(spark):
-    df = spark.createDataFrame([("a --- b ```c``` <|end|>\n d",), ("this violates things",), ("an issue of FRAUD",), ("plain issue",)], "t string")
+    df = spark.createDataFrame([("a --- b ```c``` <|end|>\n d",), ("this violates things",), ("an issue of FRAUD",), ("plain issue",), ("éfraud and fraudé",)], "t string")
     got = df.select(X.sanitize_untrusted(F.col("t")), X.policy_violation(F.col("t"))).collect()
-    assert got[0][0] == "a b c d" and [r[1] for r in got] == [None, "violates", "FRAUD", None]
+    assert got[0][0] == "a b c d" and [r[1] for r in got] == [None, "violates", "FRAUD", None, None]

@@ -23,24 +23,25 @@ def cadence_batch(
     """Per key: the longest run of ticks, the run at the end, and both verdicts.
 
     Text without digits forgets everything before it.  An unchanged text is
-    ignored, a change outside the pace starts the count again.  Keys are worked
+    ignored, a change outside the pace starts the count again.  Sightings of one
+    instant follow each other by text.  Keys are worked
     on in time chunks, so one busy element does not sit in one task.
     """
     rows = obs.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(text).alias("text")).withColumn(
         "digits", F.col("text").rlike("[0-9]"))
     chunk = time_chunk("ts", chunk_seconds)
-    seen = previous_row(rows, ["key"], ["ts"], {"_text": "text", "_digits": "digits"}, chunk)
+    seen = previous_row(rows, ["key"], ["ts", "text"], {"_text": "text", "_digits": "digits"}, chunk)
     fresh = ~F.coalesce(F.col("_digits"), F.lit(False))
     changed = F.col("digits") & (fresh | (F.col("_text") != F.col("text")))
     # The changes are few next to the sightings and every step below reads them twice.
-    changes = cut_lineage(seen.filter(changed).select("key", "ts", fresh.alias("fresh")))
-    changes = previous_row(changes, ["key"], ["ts"], {"_ts": "ts"}, chunk)
+    changes = cut_lineage(seen.filter(changed).select("key", "ts", "text", fresh.alias("fresh")))
+    changes = previous_row(changes, ["key"], ["ts", "text"], {"_ts": "ts"}, chunk)
     gap = (F.unix_micros("ts") - F.unix_micros("_ts")) / 1000
     tick = ~F.col("fresh") & F.coalesce(gap.between(min_ms, max_ms), F.lit(False))
     changes = changes.withColumn("tick", tick)
-    runs = running_sums(changes, ["key"], [F.col("ts")], {"run": (~F.col("tick")).cast("int")}, chunk)
+    runs = running_sums(changes, ["key"], [F.col("ts"), F.col("text")], {"run": (~F.col("tick")).cast("int")}, chunk)
     per_run = runs.groupBy("key", "run").agg(F.count_if("tick").alias("ticks"))
-    ends = rows.groupBy("key").agg(F.max_by("digits", "ts").alias("alive"))
+    ends = rows.groupBy("key").agg(F.max_by("digits", F.struct("ts", "text")).alias("alive"))
     return per_run.groupBy("key").agg(
         F.max("ticks").alias("longest"), F.max_by("ticks", "run").alias("current")
     ).join(ends, "key", "right").select(
@@ -70,7 +71,7 @@ def cadence_stream(
             state.remove()
             return
         last, at, run = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["ts", "text"], kind="stable")
         for now, value in zip(rows["ts"].astype("int64") // 1_000, rows["text"]):
             if last is not None and now < at:
                 continue  # arrived after a later one was counted
@@ -98,10 +99,13 @@ def cadence_stream(
 
 
 def value_trend(obs: DataFrame, key: str = "key", ts: str = "ts", text: str = "text", chunk_seconds: int = 3600) -> DataFrame:
-    """How the first number in a text moves: only down (a shrinking stock) or at all."""
+    """How the first number in a text moves: only down (a shrinking stock) or at all.
+
+    Readings of one instant follow each other by value.
+    """
     number = F.regexp_extract(text, "([0-9]+)", 1).try_cast("bigint")
     rows = obs.select(F.col(key).alias("key"), F.col(ts).alias("ts"), number.alias("value")).filter("value is not null")
-    seen = previous_row(rows, ["key"], ["ts"], {"_before": "value"}, time_chunk("ts", chunk_seconds))
+    seen = previous_row(rows, ["key"], ["ts", "value"], {"_before": "value"}, time_chunk("ts", chunk_seconds))
     step = F.when(F.col("_before").isNotNull(), F.col("value") < F.col("_before"))
     return seen.groupBy("key").agg(
         F.count(F.lit(1)).alias("observations"), F.coalesce(F.bool_and(step), F.lit(False)).alias("strictly_decreasing"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from uipatterns.functions.text import churn_key, strip_fragment
 from uipatterns.operators.scoring import points, score_band, score_of
-from uipatterns.schema import MAX_PER_PAGE
 
 
 def churn_rows(df: DataFrame) -> DataFrame:
@@ -38,21 +40,23 @@ STATE = (
     "document string, cand_id string, seen_at timestamp, first_seen timestamp, "
     "findings array<struct<label:string,confidence:string>>"
 )
+CHANGES = "document string, cand_id string, seen_at timestamp, findings array<struct<label:string,confidence:string>>, kind string"
 
 
-def upsert_findings(state: DataFrame, batch: DataFrame, cap: int = MAX_PER_PAGE) -> DataFrame:
-    """Findings per document after a batch.
-
-    The newest row per candidate replaces the older one, an empty finding list
-    deletes it, and of each document the ``cap`` latest to appear are kept.
-    """
+def upsert_findings(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Findings per document after a batch: the newest row per candidate counts, an empty finding list deletes it."""
     both = state.unionByName(batch.withColumn("first_seen", F.col("seen_at")).select(state.columns))
     newest = both.groupBy("document", "cand_id").agg(
         F.max("seen_at").alias("seen_at"), F.min("first_seen").alias("first_seen"),
         F.max_by("findings", F.struct("seen_at", "findings")).alias("findings"))
-    alive = newest.filter(F.size("findings") > 0)
+    return newest.filter(F.size("findings") > 0).select(state.columns)
+
+
+def keep_latest(state: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Of each document the ``cap`` latest findings to appear, and those that had to go."""
     latest = Window.partitionBy("document").orderBy(F.col("first_seen").desc(), F.col("cand_id"))
-    return alive.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= cap).drop("_rn").select(state.columns)
+    ranked = state.withColumn("_rn", F.row_number().over(latest))
+    return ranked.filter(F.col("_rn") <= cap).drop("_rn"), ranked.filter(F.col("_rn") > cap).drop("_rn")
 
 
 def document_scores(state: DataFrame) -> DataFrame:
@@ -61,53 +65,81 @@ def document_scores(state: DataFrame) -> DataFrame:
     return sums.select("document", score_of(F.col("_p")).alias("page_score")).withColumn("band", score_band(F.col("page_score")))
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{STATE}, bucket int").parquet(f"{path}/state").filter("document is not null").drop("bucket")
-
+def finding_changes(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
+    """What a stream of sightings changes, one row per change, and what it doesn't.
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("document string, page_score int, band string, bucket int").parquet(f"{path}/scores").filter(
-        "document is not null").drop("bucket")
+    State is keyed by document and candidate, so no document is too large for
+    a task: the time of the newest sighting and its findings.  ``kind`` is
+    ``upsert``, ``delete`` (no finding left; the key stays known as deleted, so
+    an older row can't bring it back), ``stale`` (older than what is known: the
+    dead letters) or ``expired`` (silent for ``ttl``).  The clock of ``ttl`` is that
+    of arrival: the watermark is on the arrival time, so no row is ever dropped as late.
+    Rows of one trigger are put in order of time, then findings.
+    """
+    import json
 
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
-def stream_findings(
-    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64,
-) -> StreamingQuery:
-    """Keep tables of current findings and scores up to date.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    wait = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
-    Both are cut into ``buckets`` by a hash of the document, and a micro-batch
-    reads and replaces only the buckets its documents fall into.  The merge is
-    the same when it runs twice, so a batch that is tried again does no harm.
-    At most one pass per second by default.
-    """
-    bucket = F.pmod(F.xxhash64("document"), F.lit(buckets)).cast("int")
-
-    def replace(rows: DataFrame, touched: list[int], name: str, batch_id: int) -> None:
-        # The merged rows are complete on disk before the files they came from go.
-        stage = f"{path}/stage/{name}/batch={batch_id}"
-        rows.withColumn("bucket", bucket).write.mode("overwrite").parquet(stage)
-        spark = rows.sparkSession
-        kept = spark.read.schema(rows.withColumn("bucket", bucket).schema).parquet(stage)
-        # An empty row per bucket, so that a bucket without findings is replaced too.
-        blank = spark.createDataFrame([(b,) for b in touched], "bucket int")
-        kept.unionByName(blank, allowMissingColumns=True).repartition("bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(strip_fragment(F.col("url")).alias("document"), "cand_id", "seen_at", "findings")
-        touched = [r.b for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
-        if not touched:
+    def step(group, frames, state):
+        document, cand = group
+        if state.hasTimedOut:
+            at, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"document": [document], "cand_id": [cand], "at": [at], "found": ["[]"], "kind": ["expired"]})
             return
-        if batch_id == 0:
-            old = spark.createDataFrame([], STATE)
-        else:
-            mine = spark.read.schema(f"{STATE}, bucket int").parquet(f"{path}/state")
-            old = mine.filter(F.col("bucket").isin(touched) & F.col("document").isNotNull()).drop("bucket")
-        replace(upsert_findings(old, rows), touched, "state", batch_id)
-        now = spark.read.schema(f"{STATE}, bucket int").parquet(f"{path}/state")
-        current = now.filter(F.col("bucket").isin(touched) & F.col("document").isNotNull())
-        replace(document_scores(current), touched, "scores", batch_id)
-
-    return (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "1 second"})).start())
+        at, found = state.get if state.exists else (None, "[]")
+        rows = pd.concat(list(frames)).sort_values(["at", "found"], kind="stable")
+        out = []
+        for now, said in zip(rows["at"], rows["found"]):
+            if at is not None and now < at:
+                out.append((int(now), said, "stale"))
+                continue
+            if said != found or at is None:
+                out.append((int(now), said, "upsert" if json.loads(said) else "delete"))
+            at, found = int(now), said
+        state.update((at, found))
+        arrived = max(int(rows["arrived"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
+        state.setTimeoutTimestamp(arrived + wait)
+        yield pd.DataFrame({"document": [document] * len(out), "cand_id": [cand] * len(out), "at": [x[0] for x in out],
+                            "found": [x[1] for x in out], "kind": [x[2] for x in out]})
+
+    rows = stream.select(strip_fragment(F.col("url")).alias("document"), "cand_id", F.unix_micros("seen_at").alias("at"),
+                         F.to_json(F.coalesce("findings", F.array().cast("array<struct<label:string,confidence:string>>"))).alias("found"),
+                         F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds")
+    made = rows.groupBy("document", "cand_id").applyInPandasWithState(
+        step, "document string, cand_id string, at long, found string, kind string", "at long, found string",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select("document", "cand_id", F.timestamp_micros("at").alias("seen_at"),
+                       F.from_json("found", "array<struct<label:string,confidence:string>>").alias("findings"), "kind")
+
+
+def stream_findings(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ttl: str = "1 day") -> StreamingQuery:
+    """Append the changes of a stream to a log at ``path``; at most one pass per second by default.
+
+    The file sink writes each micro-batch once.  A new checkpoint over an old
+    log starts with empty state and loses nothing: readers take the newest
+    change of each key from the whole log.
+    """
+    return (finding_changes(stream, ttl).writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start())
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The findings that stand now: the newest change of each key, unless it took the finding away."""
+    log = spark.read.schema(CHANGES).parquet(path).filter("kind <> 'stale'")
+    order = F.struct("seen_at", (F.col("kind") == "expired").alias("last"), "findings")
+    newest = log.groupBy("document", "cand_id").agg(F.max_by(F.struct("findings", "seen_at"), order).alias("n"), F.min("seen_at").alias("first_seen"))
+    return newest.filter(F.size("n.findings") > 0).select("document", "cand_id", "n.seen_at", "first_seen", "n.findings")
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    """Sightings that came after a newer one of their key."""
+    return spark.read.schema(CHANGES).parquet(path).filter("kind = 'stale'").drop("kind")
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return document_scores(read_findings(spark, path))
