@@ -19,10 +19,7 @@ from uipatterns.sources import tables as TB
 
 
 def _scratch(spark) -> str:
-    root = shared_folder(spark)
-    if root is None:
-        raise RuntimeError("this query writes files: set spark.checkpoint.dir to a shared folder")
-    return f"{root}/uipatterns-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/uipatterns-{uuid.uuid4().hex}"
 
 
 _PART = "CASE WHEN row_id % 10 < 2 THEN 'test' WHEN row_id % 10 < 4 THEN 'val' ELSE 'train' END"
@@ -65,8 +62,9 @@ def s03(spark, sf):
 def s06(spark, sf):
     root = _scratch(spark)
     caps = I.captures(spark, sf)
-    # The first captures, then all: later captures replace earlier ones.
-    A.write_archive(caps.filter("minute(captured_at) = 1"), root)
+    # First captures a day early, then all: later captures replace earlier ones, also those of another day.
+    early = caps.filter("minute(captured_at) = 1").withColumn("captured_at", F.col("captured_at") - F.expr("INTERVAL 1 DAY"))
+    A.write_archive(early, root)
     A.write_archive(caps, root)
     return A.read_archive(spark, root).select("scan_id", "host", F.unix_seconds("captured_at").alias("captured_s"), F.size("entries").alias("n"))
 

@@ -8,8 +8,6 @@ splitting skewed join partitions.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -22,6 +20,8 @@ SETTINGS = {
     # A batch of whole HTML pages is far heavier than a batch of short rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoint files go with the last reference to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,28 +34,23 @@ def build_session(app_name: str = "uipatterns", master: str | None = None, **ext
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors share, as the session names it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    A local run without one gets a temporary folder.  On a cluster without one
-    the answer is None: a folder of one machine is lost with it.
+    It is ``spark.checkpoint.dir``; where the session names none, a folder
+    below the warehouse, which is shared too.  The same on one machine and on
+    a cluster.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder or not spark.sparkContext.master.startswith("local"):
-        return folder
-    return tempfile.mkdtemp(prefix="uipatterns-")
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder and read it back, for results that several branches of a plan read.
 
-    For results that several branches of a plan read.  Without a shared folder
-    the plan is returned unchanged: recomputing is slower but right.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints``, as
+    ``build_session`` sets it, the files go when nothing refers to them.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -40,9 +40,10 @@ def read_traces(spark: SparkSession, path: str, one_per_file: bool = True) -> tu
 def write_archive(traces: DataFrame, path: str) -> None:
     """Write the newest capture per scan under host/year/month/day.
 
-    Only partitions that get new captures are rewritten.  What they hold already
-    is read, merged with the new captures, and written back, so a re-sent scan
-    replaces its earlier capture and other scans stay.
+    A scan stays in the partition of its first capture, so a re-sent scan
+    replaces its earlier capture whatever day it comes on.  Only partitions
+    that get captures are read and rewritten: the archive's scan ids are read
+    alone to find them, then the partitions by a filter on their names.
     """
     spark = traces.sparkSession
     keyed = latest_per_scan(traces).withColumns({
@@ -51,9 +52,16 @@ def write_archive(traces: DataFrame, path: str) -> None:
     day = ["host", "year", "month", "day"]
     merged = keyed
     if _exists(spark, path):
-        old = read_archive(spark, path).join(keyed.select(*day).distinct(), day, "left_semi")
-        both = keyed.unionByName(old, allowMissingColumns=True)
-        merged = latest_per_scan(both.select(keyed.columns))
+        archive = read_archive(spark, path)
+        known = archive.select("scan_id", F.struct(*day).alias("_at")).join(keyed.select("scan_id").distinct(), "scan_id", "left_semi").groupBy(
+            "scan_id").agg(F.min("_at").alias("_at"))
+        placed = keyed.join(known, "scan_id", "left").withColumns({c: F.coalesce(F.col("_at")[c], F.col(c)) for c in day}).drop("_at")
+        # One row per host and day of this batch.
+        days = [tuple(r) for r in placed.select(*day).distinct().collect()]
+        touched = F.struct(*day).isin([F.struct(*[F.lit(v) for v in d]) for d in days]) if len(days) <= 200 else None
+        old = archive.filter(touched) if touched is not None else archive.join(
+            spark.createDataFrame(days, "host string, year string, month string, day string"), day, "left_semi")
+        merged = latest_per_scan(placed.unionByName(old, allowMissingColumns=True).select(keyed.columns))
     # The read above must be finished before its files are replaced.
     stage = f"{path.rstrip('/')}_stage/{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(stage)
