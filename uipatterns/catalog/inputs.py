@@ -104,11 +104,11 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("</ul></body></html>")).alias("html"))
 
 
-_CHUNK = "<(h1|li|p|a|b)[^>]*>([^<]{3,200})<"
+_CHUNK = "</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)"
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short texts between tags of ``pages``, in order of appearance."""
+    """Every text between two tags of ``pages``, whole, with the tag before it, in order of appearance."""
     found = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(_CHUNK), F.lit(g)).alias(n) for g, n in ((1, "tag"), (2, "text"))])
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("n", "c")).select(
         "page_id", (F.col("n") + 1).cast("bigint").alias("n"), "c.tag", "c.text")

@@ -57,10 +57,10 @@ for _name, _rule in (
 # Runs of paced changes, for the other engine: one hour to twelve hours apart.
 SQL_RUNS = I.SQL_OBSERVATIONS + """,
 o1 AS (SELECT *, regexp_matches(text, '[0-9]') AS digits, lag(text) OVER w AS before, lag(regexp_matches(text, '[0-9]')) OVER w AS bd
-  FROM observations WINDOW w AS (PARTITION BY key ORDER BY ts)),
+  FROM observations WINDOW w AS (PARTITION BY key ORDER BY ts, text)),
 o2 AS (SELECT key, ts, NOT coalesce(bd, false) AS fresh FROM o1 WHERE digits AND (NOT coalesce(bd, false) OR before <> text)),
-o3 AS (SELECT *, NOT fresh AND coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts)) BETWEEN 3600000000 AND 43200000000, false) AS tick FROM o2),
-o4 AS (SELECT *, sum((NOT tick)::INT) OVER (PARTITION BY key ORDER BY ts) AS run FROM o3),
+o3 AS (SELECT *, NOT fresh AND coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts, text)) BETWEEN 3600000000 AND 43200000000, false) AS tick FROM o2),
+o4 AS (SELECT *, sum((NOT tick)::INT) OVER (PARTITION BY key ORDER BY ts, text) AS run FROM o3),
 o5 AS (SELECT key, run, count(*) FILTER (WHERE tick) AS ticks FROM o4 GROUP BY ALL),
 ends AS (SELECT key, max_by(digits, ts) AS alive FROM o1 GROUP BY key),
 runs AS (SELECT e.key, coalesce(max(ticks), 0) AS longest, CASE WHEN alive THEN coalesce(max_by(ticks, run), 0) ELSE 0 END AS current
@@ -255,10 +255,10 @@ _NAMES_SQL = "[" + ", ".join(_q(n) for n in LABELS) + "]"
 @query("m10_threshold_problems",
        f"""SELECT n.label, round(t.threshold, 6) AS threshold, CASE WHEN t.threshold IS NULL THEN 'missing or not a number' ELSE 'out of range' END AS problem
            FROM (SELECT unnest({_NAMES_SQL}) AS label) n LEFT JOIN (SELECT {_NAMES_SQL}[p_partkey % 6 + 1] AS label, avg(p_size) / 25 AS threshold FROM part
-           WHERE p_partkey % 6 < 5 GROUP BY ALL) t ON t.label = n.label WHERE t.threshold IS NULL OR NOT (t.threshold > 0 AND t.threshold < 1)""")
+           GROUP BY ALL) t ON t.label = n.label WHERE t.threshold IS NULL OR NOT (t.threshold > 0 AND t.threshold < 1)""")
 def m10(spark, sf):
     k = (F.col("p_partkey") % 6).cast("int")
-    table = I.table(spark, sf, "part").filter(k < 5).groupBy(F.get(F.array(*[F.lit(n) for n in LABELS]), k).alias("label")).agg(
+    table = I.table(spark, sf, "part").groupBy(F.get(F.array(*[F.lit(n) for n in LABELS]), k).alias("label")).agg(
         (F.avg("p_size") / 25).alias("threshold")).withColumn("profile", F.lit("precision"))
     return S.threshold_problems(table, "precision").withColumn("threshold", F.round("threshold", 6))
 

@@ -173,10 +173,12 @@ def p01(spark, sf):
 
 
 @query("p02_policy_violation",
-       f"SELECT row_id, nullif(regexp_extract(t, '{X.FORBIDDEN}', 1, 'i'), '') AS term FROM (SELECT row_id, text || CASE p_size % 4 WHEN 0 THEN ' is ILLEGAL here' WHEN 1 THEN ' an issue' WHEN 2 THEN ' violates law' ELSE '' END AS t FROM microcopy)", M)
+       rf"""SELECT row_id, nullif(regexp_extract(t, '(?:^|[^\pL\pM\pN_]){X.FORBIDDEN[2:-2]}(?:$|[^\pL\pM\pN_])', 1, 'i'), '') AS term
+          FROM (SELECT row_id, text || CASE p_size % 6 WHEN 0 THEN ' is ILLEGAL here' WHEN 1 THEN ' an issue' WHEN 2 THEN ' violates law' WHEN 3 THEN ' éfraud' WHEN 4 THEN ' fraudé, sue' ELSE '' END AS t FROM microcopy)""", M)
 def p02(spark, sf):
-    k = F.col("p_size") % 4
-    tail = F.when(k == 0, " is ILLEGAL here").when(k == 1, " an issue").when(k == 2, " violates law").otherwise("")
+    k = F.col("p_size") % 6
+    tail = F.when(k == 0, " is ILLEGAL here").when(k == 1, " an issue").when(k == 2, " violates law").when(k == 3, " éfraud").when(
+        k == 4, " fraudé, sue").otherwise("")
     return I.microcopy(spark, sf).select("row_id", X.policy_violation(F.concat("text", tail)).alias("term"))
 
 
@@ -222,14 +224,14 @@ def w02(spark, sf):
 @query("w03_document_scores",
        """SELECT document, floor(least(1.0, sum(pts) / 20.0) * 100 + 0.5)::INT AS page_score FROM (SELECT document, pts FROM (
           SELECT event_type AS document, user_id, max_by(value, ts) AS last_value, min(ts) AS first_seen, CASE WHEN max_by(value, ts) > 20 THEN 2 ELSE 1 END AS pts
-          FROM events GROUP BY ALL) WHERE last_value > 10 QUALIFY row_number() OVER (PARTITION BY document ORDER BY first_seen DESC, user_id::VARCHAR) <= 6) GROUP BY document""")
+          FROM events GROUP BY ALL) WHERE last_value > 10) GROUP BY document""")
 def w03(spark, sf):
     ev = I.table(spark, sf, "events")
     found = F.when(F.col("value") > 10, F.array(F.struct(F.lit("scarcity").alias("label"), F.when(F.col("value") > 20, "likely").otherwise("possible").alias("confidence"))))
     rows = ev.select(
         F.col("event_type").alias("document"), F.col("user_id").cast("string").alias("cand_id"), F.col("ts").cast("timestamp").alias("seen_at"),
         F.coalesce(found, F.array().cast("array<struct<label:string,confidence:string>>")).alias("findings"))
-    state = live.upsert_findings(spark.createDataFrame([], live.STATE), rows, 6)
+    state = live.upsert_findings(spark.createDataFrame([], live.STATE), rows)
     return live.document_scores(state).select("document", "page_score")
 
 
@@ -253,7 +255,7 @@ def w06(spark, sf):
 
 @query("w07_value_trend",
        """SELECT key, count(*) AS observations, coalesce(bool_and(v < b) FILTER (WHERE b IS NOT NULL), false) AS strictly_decreasing, count(*) FILTER (WHERE v <> b) AS changes FROM (
-          SELECT key, v, lag(v) OVER (PARTITION BY key ORDER BY ts) AS b FROM (SELECT key, ts, try_cast(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS v FROM observations) WHERE v IS NOT NULL) GROUP BY key""", OB)
+          SELECT key, v, lag(v) OVER (PARTITION BY key ORDER BY ts, v) AS b FROM (SELECT key, ts, try_cast(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS v FROM observations) WHERE v IS NOT NULL) GROUP BY key""", OB)
 def w07(spark, sf):
     return value_trend(I.observations(spark, sf), text="text", chunk_seconds=86_400)
 

@@ -13,7 +13,7 @@ from uipatterns.operators.nodes import (
     style_value, visible_only,
 )
 from uipatterns.operators.roles import infer_role
-from uipatterns.schema import DEFAULT_ROLE, MAX_PER_PAGE, MAX_TEXT, MIN_TEXT
+from uipatterns.schema import DEFAULT_ROLE, MAX_TEXT, MIN_TEXT
 
 # --- fixed values: controls whose label is a statement of its own ----------------
 CONTROL_TAGS = ["a", "button", "input", "select", "textarea"]
@@ -136,7 +136,8 @@ def collapse_nested(cands: DataFrame) -> DataFrame:
     )
 
 
-def cap_per_page(df: DataFrame, n: int = MAX_PER_PAGE, order: str = "node_no") -> DataFrame:
+def cap_per_page(df: DataFrame, n: int, order: str = "node_no") -> DataFrame:
+    """The first ``n`` of each page; the page plan doesn't use it."""
     first = Window.partitionBy("page_id").orderBy(order)
     return df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uipatterns.functions.text import ascii_regex, collapse_space
+from uipatterns.functions.text import collapse_space
 from uipatterns.schema import LABEL_DESCRIPTIONS
 
 # --- fixed values ------------------------------------------------------------------
@@ -34,8 +34,9 @@ def sanitize_untrusted(text: Column) -> Column:
 
 
 def policy_violation(text: Column) -> Column:
-    """The first legal term in ``text`` as written, else null."""
-    return F.nullif(F.regexp_extract(text, ascii_regex(FORBIDDEN, True), 1), F.lit(""))
+    """The first legal term in ``text`` as written, else null.  Word edges are those of all scripts."""
+    inner = FORBIDDEN.removeprefix(r"\b").removesuffix(r"\b")
+    return F.nullif(F.regexp_extract(text, rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}_]){inner}(?![\p{{L}}\p{{M}}\p{{N}}_])", 1), F.lit(""))
 
 
 def evidence_tier(source: Column) -> Column:

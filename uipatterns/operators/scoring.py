@@ -171,15 +171,17 @@ def threshold_problems(thresholds: DataFrame, profile: str, labels: list[str] =
         F.when(F.col("threshold").isNull(), "missing or not a number")
         .when(~((F.col("threshold") > 0) & (F.col("threshold") < 1)) | F.isnan("threshold"), "out of range")
     )
-    return need.join(mine, "label", "left").withColumn("problem", problem).filter("problem is not null")
+    single = need.join(mine, "label", "left").withColumn("problem", problem).filter("problem is not null")
+    twice = mine.groupBy("label").agg(F.min("threshold").alias("threshold"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").join(need, "label", "left_semi")
+    return single.unionByName(twice.select("label", "threshold", F.lit("given more than once").alias("problem")))
 
 
 def load_thresholds(thresholds: DataFrame, profile: str, labels: list[str] = LABELS) -> dict[str, float]:
     """The checked thresholds of one profile.  One row per label, so it is small by nature."""
-    bad = threshold_problems(thresholds, profile, labels).limit(len(labels)).collect()
+    bad = threshold_problems(thresholds, profile, labels).limit(2 * len(labels)).collect()
     if bad:
         raise ValueError(f"profile {profile!r}: " + "; ".join(f"{r.label}: {r.problem}" for r in bad))
-    rows = thresholds.filter((F.col("profile") == profile) & F.col("label").isin(labels)).limit(len(labels) + 1).collect()
+    rows = thresholds.filter((F.col("profile") == profile) & F.col("label").isin(labels)).collect()
     return {r.label: float(r.threshold) for r in rows}
 
 

@@ -45,7 +45,6 @@ LANGS = ["en", "hi", "ne"]
 MIN_TEXT = 3
 MAX_TEXT = 200
 MAX_SNIPPET_CHARS = 2000
-MAX_PER_PAGE = 600
 MAX_TRACE_ENTRIES = 5000
 # --- end of fixed values ----------------------------------------------------
 
