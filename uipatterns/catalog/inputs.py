@@ -104,6 +104,17 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("</ul></body></html>")).alias("html"))
 
 
+def part_pages(spark: SparkSession, sf_dir: str, forms: list[str], depth: int = 0) -> DataFrame:
+    """One HTML page per 32 parts.  Part k is shown in form k % len(forms), where # stands for its name and number."""
+    p = table(spark, sf_dir, "part")
+    shape = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("p_partkey") % len(forms)).cast("int"))
+    item = F.concat(F.lit("<li>" + "<div>" * depth), F.replace(shape, F.lit("#"), F.concat("p_name", F.lit(" no "), F.col("p_partkey").cast("string"))), F.lit("</div>" * depth + "</li>"))
+    return p.withColumn("page_id", F.floor(F.col("p_partkey") / 32)).groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), "").alias("items")
+    ).select("page_id", F.lit("https://shop.example/list").alias("url"),
+             F.concat(F.lit('<html lang="en"><body><ul>'), "items", F.lit("</ul></body></html>")).alias("html"))
+
+
 _CHUNK = "</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)"
 
 

@@ -132,6 +132,43 @@ def x12(spark, sf):
     return N.explode_nodes(I.shop_pages(spark, sf)).filter("tag in ('s', 'span', 'b')").select("page_id", N.stable_selector().alias("selector"))
 
 
+_HIDING = [
+    '<p style="display: none"><b>#</b></p>', '<p hidden><b>#</b></p>', '<p style="visibility:hidden"><b style="visibility:visible">#</b></p>',
+    '<p style="visibility: hidden"><b>#</b></p>', '<p style="opacity:0"><b>#</b></p>', '<p><b>#</b></p>',
+    '<p style="display:none"><b style="position:fixed">#</b></p>']
+
+
+@query("x07_visible_styled",
+       """SELECT p_partkey // 32 AS page_id, count(*) FILTER (p_partkey % 7 = 5) AS p, count(*) FILTER (p_partkey % 7 IN (2, 4, 5, 6)) AS b
+          FROM part GROUP BY 1""")
+def x07_styled(spark, sf):
+    shown = N.visible_only(N.explode_nodes(I.part_pages(spark, sf, _HIDING)))
+    return shown.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "b").alias("b"))
+
+
+_BARS = [
+    '<nav style="position:fixed"><b>#</b></nav>', '<div class="site-header" style="position: sticky"><b>#</b></div>',
+    '<div style="position:fixed"><b>#</b></div>', '<nav><b>#</b></nav>', '<div role="banner" style="position:fixed"><i><b>#</b></i></div>',
+    '<div id="topbar" style="position:sticky"><b>#</b></div>', '<div id="subtopbars" style="position:sticky"><b>#</b></div>']
+
+
+@query("x08_sticky_bars", "SELECT p_partkey // 32 AS page_id, count(*) FILTER (p_partkey % 7 IN (2, 3, 6)) AS b FROM part GROUP BY 1")
+def x08_bars(spark, sf):
+    rest = N.drop_sticky_chrome(N.explode_nodes(I.part_pages(spark, sf, _BARS)))
+    return rest.groupBy("page_id").agg(F.count_if(F.col("tag") == "b").alias("b"))
+
+
+_PLAYERS = [
+    '<div class="plyr"><b>#</b></div>', '<p><video src="#"></video></p><b>#</b>', '<div id="x vjs-tech"><b>#</b></div>',
+    '<div class="plyrs"><b>#</b></div>', '<b>#</b>', '<div class="Media-Player"><p></p><i><b>#</b></i></div>']
+
+
+@query("f04_video_cards", "SELECT p_partkey // 32 AS page_id, count(*) AS n, count(*) FILTER (p_partkey % 6 IN (0, 1, 2, 5)) AS in_video FROM part GROUP BY 1")
+def f04_cards(spark, sf):
+    nodes = N.explode_nodes(I.part_pages(spark, sf, _PLAYERS, depth=5)).withColumn("v", N.in_video_player()).filter("tag = 'b'")
+    return nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("v").alias("in_video"))
+
+
 @query("x13_guess_lang", "SELECT row_id, CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'dev' ELSE 'en' END AS lang FROM microcopy", I.SQL_MICROCOPY)
 def x13(spark, sf):
     return I.microcopy(spark, sf).select("row_id", X.guess_lang(F.col("text")).alias("lang"))

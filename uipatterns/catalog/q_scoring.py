@@ -9,6 +9,7 @@ from uipatterns.catalog.q_pages import FIELD_SQL, ROLE_SQL
 from uipatterns.catalog.registry import any_hit, collapse_sql, hit, query
 from uipatterns.operators import rules as R
 from uipatterns.operators import scoring as S
+from uipatterns.operators.nodes import explode_nodes
 from uipatterns.plans import page_scan
 from uipatterns.schema import LABEL_DESCRIPTIONS, LABELS
 from uipatterns.streaming.cadence import cadence_batch
@@ -58,11 +59,11 @@ for _name, _rule in (
 SQL_RUNS = I.SQL_OBSERVATIONS + """,
 o1 AS (SELECT *, regexp_matches(text, '[0-9]') AS digits, lag(text) OVER w AS before, lag(regexp_matches(text, '[0-9]')) OVER w AS bd
   FROM observations WINDOW w AS (PARTITION BY key ORDER BY ts, text)),
-o2 AS (SELECT key, ts, NOT coalesce(bd, false) AS fresh FROM o1 WHERE digits AND (NOT coalesce(bd, false) OR before <> text)),
+o2 AS (SELECT key, ts, text, NOT coalesce(bd, false) AS fresh FROM o1 WHERE digits AND (NOT coalesce(bd, false) OR before <> text)),
 o3 AS (SELECT *, NOT fresh AND coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts, text)) BETWEEN 3600000000 AND 43200000000, false) AS tick FROM o2),
 o4 AS (SELECT *, sum((NOT tick)::INT) OVER (PARTITION BY key ORDER BY ts, text) AS run FROM o3),
 o5 AS (SELECT key, run, count(*) FILTER (WHERE tick) AS ticks FROM o4 GROUP BY ALL),
-ends AS (SELECT key, max_by(digits, ts) AS alive FROM o1 GROUP BY key),
+ends AS (SELECT key, max_by(digits, {'ts': ts, 'text': text}) AS alive FROM o1 GROUP BY key),
 runs AS (SELECT e.key, coalesce(max(ticks), 0) AS longest, CASE WHEN alive THEN coalesce(max_by(ticks, run), 0) ELSE 0 END AS current
   FROM ends e LEFT JOIN o5 ON o5.key = e.key GROUP BY e.key, alive)"""
 
@@ -83,6 +84,30 @@ def r04(spark, sf):
     return rows.select("row_id", R.prechecked_optin().alias("fires"))
 
 
+_BOXES = ['<label><input type="checkbox" checked>Send me offers about #</label>', '<label><input type="checkbox">Send me offers about #</label>',
+          '<input id="c" type="checkbox" checked aria-label="Join the newsletter on #">', '<input type="checkbox" checked aria-label="I agree to #">', '<b>#</b>']
+
+
+@query("r04_checked_boxes_of_pages", "SELECT p_partkey // 32 AS page_id, count(*) AS fired FROM part WHERE p_partkey % 5 IN (0, 2) GROUP BY 1")
+def r04_pages(spark, sf):
+    hits = page_scan.checkbox_hits(I.part_pages(spark, sf, _BOXES))
+    return hits.filter(F.exists("rule_hits", lambda h: h["rule"] == "prechecked_optin")).groupBy("page_id").agg(F.count(F.lit(1)).alias("fired"))
+
+
+_PAIRS = ['<div><div><button>Accept all of #</button><a class="btn">No thanks, #</a></div></div>'] * 2 + ['<div><b>#</b></div>']
+
+
+@query("r06_areas_of_pages", "SELECT p_partkey // 32 AS page_id, count(*) AS fired FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 4 = 0 GROUP BY 1")
+def r06_pages(spark, sf):
+    # Measured areas: of every fourth part the accepting button is four times as large.
+    pages = I.part_pages(spark, sf, _PAIRS)
+    nodes = explode_nodes(pages, candidate_texts=True).filter(F.col("tag").isin("button", "a"))
+    number = F.regexp_extract("text", " no ([0-9]+)$", 1).try_cast("int")
+    area = F.when((F.col("tag") == "button") & (number % 4 == 0), 400.0).otherwise(100.0)
+    hits = page_scan.candidates_with_hits(pages, layout=nodes.select("page_id", "node_no", area.alias("area")))
+    return hits.filter(F.exists("rule_hits", lambda h: h["rule"] == "cta_asymmetry")).groupBy("page_id").agg(F.count(F.lit(1)).alias("fired"))
+
+
 @query("r05_hidden_optout",
        """SELECT row_id, role = 'decline' AND (p_size < 11 OR p_retailprice / 300 < 3.0 OR coalesce(CASE WHEN p_size % 2 = 0 THEN p_size / 50.0 END < 0.6, false)) AS fires
           FROM microcopy""", M)

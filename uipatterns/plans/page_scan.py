@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uipatterns.functions.ids import occurrence_id
+from uipatterns.functions.text import collapse_space, infer_step
 from uipatterns.operators.candidates import page_candidates
-from uipatterns.operators.rules import run_rules
+from uipatterns.operators.nodes import explode_nodes, prune, stable_selector, visible_only
+from uipatterns.operators.rules import add_accept_area, add_label_text, run_rules
 from uipatterns.operators.scoring import (
     decide, merged_columns, model_input, points, score_band, score_distinct, score_of, to_score, withhold_reason,
 )
@@ -16,8 +19,28 @@ from uipatterns.operators.scoring import (
 from uipatterns.session import cut_lineage
 
 
+def checkbox_hits(pages: DataFrame) -> DataFrame:
+    """Checkboxes that start checked and whose label asks for consent.
+
+    A checkbox has no text of its own and so is no candidate; its rule is
+    evaluated here on the element, and its label becomes its text.  Only pages
+    that hold the word are parsed.
+    """
+    nodes = explode_nodes(pages.filter(F.lower("html").contains("checkbox")), text_content=True)
+    boxes = visible_only(prune(add_label_text(nodes))).select(
+        "page_id", "url", "lang", infer_step(F.col("url")).alias("step"), "node_no", "tag", "attrs", "checked", "label_text",
+        stable_selector().alias("selector"), F.lit("checkbox").alias("role"), F.lit("unknown").alias("field"), F.lit("").alias("text"))
+    hits = run_rules(boxes).filter(F.size("rule_hits") > 0).withColumn("text", collapse_space("label_text"))
+    return hits.withColumn("cand_id", occurrence_id(F.col("lang"), F.col("selector"), F.col("text"))).drop("label_text")
+
+
 def candidates_with_hits(pages: DataFrame, animated: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
-    return run_rules(page_candidates(pages, layout, animated))
+    """Candidates with the rules that fire.  A ``layout`` with ``area`` also lets decline controls be compared with the buttons near them."""
+    cands = page_candidates(pages, layout, animated)
+    if layout is not None and "area" in layout.columns:
+        area = layout.select("page_id", "node_no", F.col("area").cast("double").alias("area"))
+        cands = add_accept_area(cands, explode_nodes(pages).join(area, ["page_id", "node_no"], "left"))
+    return run_rules(cands).unionByName(checkbox_hits(pages), allowMissingColumns=True)
 
 
 def rule_findings(cands: DataFrame) -> DataFrame:
@@ -28,12 +51,12 @@ def rule_findings(cands: DataFrame) -> DataFrame:
     return merged_columns(rows).drop("rule")
 
 
-def page_report(pages: DataFrame, animated: DataFrame | None = None) -> DataFrame:
+def page_report(pages: DataFrame, animated: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
     """One row per page: candidates, findings by confidence, score and band.
 
     Rules only.  Pages without any candidate are in the result with score 0.
     """
-    cands = candidates_with_hits(pages, animated)
+    cands = candidates_with_hits(pages, animated, layout)
     labels = F.array_distinct(F.transform("rule_hits", lambda h: h["label"]))
     sums = cands.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("candidates"), F.sum(F.size(labels)).alias("likely"))
@@ -46,7 +69,7 @@ def page_report(pages: DataFrame, animated: DataFrame | None = None) -> DataFram
 
 def scan_pages(
     pages: DataFrame, scorer: Callable[[DataFrame], DataFrame], thresholds: dict[str, float],
-    animated: DataFrame | None = None,
+    animated: DataFrame | None = None, layout: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Candidates with merged findings, and page scores.
 
@@ -54,7 +77,7 @@ def scan_pages(
     input is scored once.
     """
     # Scoring and merging both read the candidates: parse the pages once.
-    cands = cut_lineage(candidates_with_hits(pages, animated).select(
+    cands = cut_lineage(candidates_with_hits(pages, animated, layout).select(
         "page_id", "cand_id", "selector", "text", "tag", "role", "field", "rule_hits",
         model_input(F.col("text"), F.col("tag"), F.col("role")).alias("model_input")))
     asked = to_score(cands).select("page_id", "cand_id", "model_input")
