@@ -41,6 +41,8 @@ def test_thresholds_are_checked(spark):
             S.load_thresholds(bad, "p")
     with pytest.raises(ValueError):
         S.load_thresholds(good, "other")
+    with pytest.raises(ValueError, match="more than once"):
+        S.load_thresholds(good.unionByName(good.filter("label = 'scarcity'").withColumn("threshold", F.lit(0.7))), "p")
     with pytest.raises(ValueError):
         S.check_label_order(LABELS[::-1])
 

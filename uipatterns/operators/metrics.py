@@ -59,10 +59,16 @@ def per_class(df: DataFrame, by: tuple[str, ...] = ("label",)) -> DataFrame:
     return rates(counts(df, list(by))).select(*by, "precision", "recall", "f1", "support", "predicted")
 
 
-def average_precision(df: DataFrame, chunks: int = 4096) -> DataFrame:
-    """Average precision per label; equal scores are one step; null without positives."""
+def average_precision(df: DataFrame, chunks: int = 64) -> DataFrame:
+    """Average precision per label; equal scores are one step; null without positives.
+
+    Steps are worked on in chunks of log odds, ``chunks`` to a unit, so scores
+    that crowd near 0 or 1, as a classifier's do, are spread as well.
+    """
     steps = df.groupBy("label", "prob").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    falling = -F.floor(F.col("prob") * chunks)
+    p = F.col("prob")
+    rising = F.when(p <= 0, -1_000_000).when(p >= 1, 1_000_000).otherwise(F.floor(F.ln(p / (1 - p)) * chunks))
+    falling = -rising
     cum = running_sums(steps, ["label"], [F.col("prob").desc()], {"tp": F.col("pos"), "seen": F.col("n")}, falling)
     # Sum of (recall step) x precision, with recall's denominator taken out.
     return cum.groupBy("label").agg(
@@ -298,13 +304,14 @@ def ablation(gold: DataFrame, model: DataFrame, rules: DataFrame, benign: str =
 
 
 def latency_report(timings: DataFrame, budget_ms: float | None = None, percents: tuple[int, ...] = (50, 95),
-                   chunk_ms: float = 1.0) -> DataFrame:
+                   chunks: int = 4096) -> DataFrame:
     """Nearest-rank percentiles per case, and whether the last one keeps the budget.
 
-    ``timings``: ``case, ms``.  Equal values are counted first, then added up.
+    ``timings``: ``case, ms``.  Equal values are counted first, then added up,
+    in chunks of the logarithm, so that any scale of values is spread.
     """
     steps = timings.groupBy("case", "ms").agg(F.count(F.lit(1)).alias("n"))
-    cum = running_sums(steps, ["case"], [F.col("ms")], {"upto": F.col("n")}, F.floor(F.col("ms") / chunk_ms))
+    cum = running_sums(steps, ["case"], [F.col("ms")], {"upto": F.col("n")}, F.when(F.col("ms") > 0, F.floor(F.ln("ms") * chunks)).otherwise(-10_000_000))
     total = timings.groupBy("case").agg(F.count(F.lit(1)).alias("total"), F.min("ms").alias("min"), F.max("ms").alias("max"))
     joined = cum.join(total, "case")
 

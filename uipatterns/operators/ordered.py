@@ -63,7 +63,7 @@ def row_numbers(
     return running_sums(df, group, order, {name: F.lit(1)}, chunk)
 
 
-def hash_chunk(hashed: str, digits: int = 3) -> Column:
+def hash_chunk(hashed: str, digits: int = 4) -> Column:
     """Ordered chunks of a hexadecimal hash: even by construction."""
     return F.substring(F.col(hashed), 1, digits)
 

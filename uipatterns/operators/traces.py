@@ -72,14 +72,22 @@ def trace_index(traces: DataFrame) -> DataFrame:
 
 
 def find_traces(index: DataFrame, host: str | None = None, label: str | None = None, limit: int = 50,
-                offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """One result page, newest first, and the totals with and without the filter."""
+                offset: int = 0, after: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """One result page, newest first, and the totals with and without the filter.
+
+    Deep pages go on ``after`` the (captured_at, scan_id) of the last row seen,
+    which costs the same as the first page; ``offset`` keeps all rows before it.
+    """
     hit = F.lit(True)
     if host is not None:
         hit = hit & (F.col("host") == host)
     if label is not None:
         hit = hit & F.array_contains("labels", label)
-    page = index.filter(hit).orderBy(F.col("captured_at").desc(), "scan_id").offset(offset).limit(limit)
+    rest = F.lit(True)
+    if after is not None:
+        at, scan = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        rest = (F.col("captured_at") < at) | ((F.col("captured_at") == at) & (F.col("scan_id") > scan))
+    page = index.filter(hit & rest).orderBy(F.col("captured_at").desc(), "scan_id").offset(offset).limit(limit)
     return page, index.agg(F.count(F.lit(1)).alias("total_indexed"), F.count_if(hit).alias("total_matching"))
 
 
