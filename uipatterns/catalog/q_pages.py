@@ -344,6 +344,36 @@ def f12(spark, sf):
     return groups.select("page_id", "text", "type", F.size("member_ids").alias("members"), "reconstructed")
 
 
+_GROUPS = ['<time>Ends in<span>09:52</span></time>', '<div>3190.01<span>Rs.</span></div>', '<div>Rs. 10 and<b>Rs. 20</b></div>',
+           '<div>Remaining time<b>00:10</b></div>', '<div>#</div>']
+
+
+@query("f12_group_types",
+       """SELECT p_partkey // 32 AS page_id, ['timer_label_value', 'currency_amount', 'price_comparison', 'other'][p_partkey % 5 + 1] AS type, count(*) AS n
+          FROM part WHERE p_partkey % 5 < 4 GROUP BY ALL""")
+def f12_types(spark, sf):
+    groups = G.propose_groups(cut_lineage(C.page_candidates(I.part_pages(spark, sf, _GROUPS))))
+    return groups.groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Items of an earlier snapshot and the same items later, one form per outcome.
+_EARLIER = ["<b>(#)</b>"] * 5 + ['<b id="#">(#)</b><b id="#">(#) more</b>']
+_LATER = ["<b>(#)</b>", "<b>(#), now</b>", "<p><b>(#)</b></p>", "<p><b>(#)</b></p><p><b>(#)</b></p>", "<b>gone</b>", '<b id="#">(#) more and more</b>']
+
+
+@query("f15_outcomes",
+       """SELECT p_partkey // 32 AS page_id, count(*) FILTER (p_partkey % 6 = 0) AS registry, count(*) FILTER (p_partkey % 6 IN (1, 5)) AS selector,
+          count(*) FILTER (p_partkey % 6 = 2) AS reresolved, count(*) FILTER (p_partkey % 6 = 3) AS ambiguous,
+          count(*) FILTER (p_partkey % 6 IN (4, 5)) AS not_found, count(*) FILTER (p_partkey % 6 = 5) AS claimed FROM part GROUP BY 1""")
+def f15_outcomes(spark, sf):
+    found = C.page_candidates(I.part_pages(spark, sf, _EARLIER)).select("page_id", "cand_id", "tag", "text", "selector")
+    nodes = N.prune(N.explode_nodes(I.part_pages(spark, sf, _LATER), text_content=True, candidate_texts=True))
+    nodes = nodes.withColumn("selector", N.stable_selector()).withColumn("cand_id", ids.occurrence_id(F.col("lang"), F.col("selector"), F.col("text")))
+    out = G.resolve_snapshot(cut_lineage(found), cut_lineage(nodes.select("page_id", "node_no", "cand_id", "tag", "selector", "text_content")))
+    return out.groupBy("page_id").agg(*[F.count_if(F.col("outcome") == o).alias(o.replace("-", "_")) for o in (
+        "registry", "selector", "reresolved", "ambiguous", "not-found", "claimed")])
+
+
 @query("f13_churn_key", "SELECT row_id, 'p' || template_id || '|' || regexp_replace(text, '[0-9]+', '#', 'g') AS churn FROM microcopy", I.SQL_MICROCOPY)
 def f13(spark, sf):
     return I.microcopy(spark, sf).select("row_id", X.churn_key(F.concat(F.lit("p"), F.col("template_id").cast("string")), F.col("text")).alias("churn"))
