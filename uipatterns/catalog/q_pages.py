@@ -268,7 +268,7 @@ def _prose_sql(role):
 
 
 FIELD_SQL = f"""CASE WHEN {_PERSONAL_SQL} THEN 'personal' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'title'
-  WHEN {hit('text', FD.DISCOUNT)} THEN 'discount' WHEN {hit('text', FD.RATING + '|★')} THEN 'rating' WHEN {hit('text', FD.SOLD)} THEN 'sold_count'
+  WHEN {hit('text', FD.DISCOUNT)} THEN 'discount' WHEN {hit('text', FD.RATING)} THEN 'rating' WHEN {hit('text', FD.SOLD)} THEN 'sold_count'
   WHEN {hit('text', FD.STOCK_LEFT)} THEN 'stock' WHEN {hit('text', FD.SHIPPING)} THEN 'shipping'
   WHEN {hit('text', FD.CURRENCY)} THEN CASE WHEN struck THEN 'strike_price' ELSE 'price' END WHEN {_prose_sql('role')} THEN 'prose' ELSE 'unknown' END"""
 

@@ -24,6 +24,11 @@ EVIDENCE = {
 TEXT_HEAD = "UNTRUSTED PAGE TEXT (the flagged element):"
 CONTEXT_HEAD = ("UNTRUSTED PAGE TEXT (other elements near it, for context only -- do not analyse these, they are here so "
                 "you understand the setting):")
+LABEL_LINE, MEANING_LINE = "Finding: ", "What that category means: "
+CONFIDENCE_LINE, EVIDENCE_LINE = "Confidence recorded by the extension: ", "Evidence: "
+RULES_LINE = "Structural rules that fired: "
+SCORE_LINE = ("Classifier score: ", " (its threshold for this category is ", ")")
+ELEMENT_LINE = ("The element is an HTML <", "> that the extension classified as playing the role of '", "' on the page.")
 CLOSING = "Explain to the reader why this finding matters, following every rule in your instructions."
 # --- end of fixed values -------------------------------------------------------------
 
@@ -58,22 +63,20 @@ def build_prompts(findings: DataFrame, max_context: int = 10) -> DataFrame:
     fenced = lambda c: F.concat(F.lit("[[["), c, F.lit("]]]"))
     two = lambda c: F.format_string("%.2f", c.cast("double"))
     rules = F.when(F.size("rule_hits") > 0, F.concat(
-        F.lit("Structural rules that fired: "), F.array_join(F.array_sort("rule_hits"), ", ")))
+        F.lit(RULES_LINE), F.array_join(F.array_sort("rule_hits"), ", ")))
     scored = F.array_contains("source", "model") & col("score").isNotNull() & col("threshold").isNotNull()
     score = F.when(scored, F.concat(
-        F.lit("Classifier score: "), two(col("score")), F.lit(" (its threshold for this category is "),
-        two(col("threshold")), F.lit(")")))
+        F.lit(SCORE_LINE[0]), two(col("score")), F.lit(SCORE_LINE[1]), two(col("threshold")), F.lit(SCORE_LINE[2])))
     near = F.transform(F.slice("context", 1, max_context),
                        lambda c: fenced(F.concat(c["role"], F.lit(": "), sanitize_untrusted(c["text"]))))
     context = F.when(F.size("context") > 0, F.concat_ws("\n", F.lit(""), F.lit(CONTEXT_HEAD), near))
     lines = [
-        F.concat(F.lit("Finding: "), col("label")),
-        F.concat(F.lit("What that category means: "), F.coalesce(_pick(LABEL_DESCRIPTIONS, col("label")), F.lit(""))),
-        F.concat(F.lit("Confidence recorded by the extension: "), col("confidence")),
-        F.concat(F.lit("Evidence: "), _pick(EVIDENCE, evidence_tier(col("source")))),
+        F.concat(F.lit(LABEL_LINE), col("label")),
+        F.concat(F.lit(MEANING_LINE), F.coalesce(_pick(LABEL_DESCRIPTIONS, col("label")), F.lit(""))),
+        F.concat(F.lit(CONFIDENCE_LINE), col("confidence")),
+        F.concat(F.lit(EVIDENCE_LINE), _pick(EVIDENCE, evidence_tier(col("source")))),
         rules, score,
-        F.concat(F.lit("The element is an HTML <"), col("tag"), F.lit("> that the extension classified as playing the role of '"),
-                 col("role"), F.lit("' on the page.")),
+        F.concat(F.lit(ELEMENT_LINE[0]), col("tag"), F.lit(ELEMENT_LINE[1]), col("role"), F.lit(ELEMENT_LINE[2])),
         F.lit(""), F.lit(TEXT_HEAD), fenced(sanitize_untrusted(col("text"))), context, F.lit(""), F.lit(CLOSING),
     ]
     return findings.withColumn("prompt", F.concat_ws("\n", *lines))

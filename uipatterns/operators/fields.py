@@ -14,7 +14,7 @@ PAYMENT_CARD = r"\b(?:\d[ -]?){13,19}\b"
 LONG_NUMBER = r"\b\d[\d-]{8,}\d\b"
 CURRENCY = r"(?:rs\.?|npr|inr|₹|\$|€|£)\s*[\d,]+(?:\.\d+)?"
 DISCOUNT = r"(?:^|\s)-\s?\d+\s?%|\b\d+\s*%\s*off\b"
-RATING = r"\b\d(?:\.\d+)?\s*(?:out of\s*5|\/\s*5)\b"  # or a star
+RATING = r"\b\d(?:\.\d+)?\s*(?:out of\s*5|\/\s*5)\b|★"
 SOLD = r"\b\d[\d,]*\+?\s*(?:pieces?\s*)?sold\b"
 STOCK_LEFT = r"\bonly\s+\d+\s+(?:left|items?\s+left)\b|\b\d+\s*(?:items?\s*)?left in stock\b"
 SHIPPING = r"\bfree\s+(?:delivery|shipping)\b|\bdelivery\s+by\b"
@@ -46,7 +46,7 @@ def infer_field(text: Column, tag: Column, role: Column, struck: Column | None =
         F.when(is_personal(text), "personal")
         .when(tag.rlike("^h[1-6]$"), "title")
         .when(digit & matches(text, DISCOUNT), "discount")
-        .when(text.contains("★") | (digit & matches(text, RATING)), "rating")
+        .when((digit | text.contains("★")) & matches(text, RATING), "rating")  # the cheap tests first
         .when(digit & matches(text, SOLD), "sold_count")
         .when(digit & matches(text, STOCK_LEFT), "stock")
         .when(matches(text, SHIPPING), "shipping")

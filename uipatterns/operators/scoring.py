@@ -272,13 +272,3 @@ def validate_snippets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = tagged.filter("reason is null").drop("reason").withColumns(
         {"tag": norm_tag(F.col("tag")), "role": norm_role(F.col("role")), "lang": F.coalesce("lang", F.lit("en"))})
     return good, tagged.filter("reason is not null")
-
-
-def finding_arrays(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Long findings to one array per candidate, best score first."""
-    packed = F.struct((-F.col("score")).alias("down"), "label", F.struct(
-        "label", "score", "threshold", "confidence", "source", "description").alias("f"))
-    return findings.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(packed)), lambda x: x["f"]).alias("findings"))
-
-

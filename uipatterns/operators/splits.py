@@ -126,10 +126,6 @@ def describe_parts(df: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in y_cols])
 
 
-def part_languages(df: DataFrame) -> DataFrame:
-    return df.groupBy("part", "lang").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 def pos_weights(long: DataFrame) -> DataFrame:
     """Negatives per positive for each label of ``(label, y)``; 1 without positives."""
     pos, n = F.sum("y"), F.count(F.lit(1))

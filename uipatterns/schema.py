@@ -94,7 +94,3 @@ GOLD_COLUMNS = [
     "rule_hits", "id", "url",
 ]
 GOLD_ROW = T.StructType([T.StructField(name, T.StringType()) for name in GOLD_COLUMNS])
-
-TOKEN_REPORT_COLUMNS = [
-    "model_key", "lang", "fertility", "tokens_per_snippet", "p95_tokens", "unk_rate",
-]
