@@ -43,6 +43,17 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select([v.alias(k) for k, v in kept.items()]).select([F.col(k).alias(k[:-2]) for k in kept])
 
 
+def hash_sample(df: DataFrame, size: int, *key: str) -> DataFrame:
+    """About ``size`` rows of ``df``, all if it has fewer: those of smallest key hash, the same in every run.
+
+    The hash is even, so a threshold finds them in one pass without sorting;
+    the caller still limits what it collects.
+    """
+    rows = df.count()
+    part = 1.0 if rows <= size else size / rows
+    return df if part >= 1 else df.filter(F.shiftrightunsigned(F.xxhash64(*key), 11) < F.lit(int(part * 2 ** 53)))
+
+
 def n_words(text: str) -> Column:
     """Number of words of a text; 0 for a null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from uipatterns.llm.common import by_value, spare
+from uipatterns.llm.common import by_value, hash_sample, spare
 
 by_value(__name__)
 
@@ -29,14 +29,26 @@ def lines_of(text: bytes) -> list[bytes]:
     return [x for x in text.split(b"\n") if x.strip()] or [b""]
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each line, its length, first line of each text and the total)."""
+def line_features(texts: list[bytes], limit: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line, its length, first line of each text and the total), worked out ``limit`` bytes of text at a time."""
+    parts, begin, size = [], 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            parts.append(_features(texts[begin:i]))
+            begin, size = i, 0
+        size += len(text)
+    parts.append(_features(texts[begin:]))
+    counts = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = [lines_of(t) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
     lines = [x for c in cut for x in c]
     length = np.array([len(x) for x in lines], np.int64)
     data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    owner = np.repeat(np.arange(len(lines)), length + 1)
+    owner = np.repeat(np.arange(len(lines), dtype=np.int64), length + 1)
     kinds = np.bincount(owner * (len(_KINDS) + 1) + _TABLE[data], minlength=len(lines) * (len(_KINDS) + 1)).reshape(len(lines), -1)
     solid = np.bincount(owner, weights=~_SPACE[data], minlength=len(lines))
     n, distinct, again, seen_before, short = (np.zeros(len(lines)) for _ in range(5))
@@ -183,14 +195,14 @@ def held_out(id_col: str):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 6_000, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Train on a bounded sample: the ``sample`` labelled ids outside the held-out fold of smallest hash, texts of up to ``longest`` characters.
+    """Train on a bounded sample: about ``sample`` labelled ids outside the held-out fold, those of smallest hash, texts of up to ``longest`` characters.
 
     Null labels are left out; an id labelled twice gets its larger label.
     The ids (at most ``sample``) are broadcast, so no text is shuffled.
     """
     known = labels.filter("quality is not null").filter(f"`{id_col}` is not null").filter(~held_out(id_col)).groupBy(
         F.col(id_col).alias("_id")).agg(F.max(F.col("quality").cast("int")).alias("_quality"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = hash_sample(known, sample, "_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).filter(F.coalesce(F.length(text_col), F.lit(0)) <= longest)
     got = rows.select(F.col("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), "_quality").toPandas().sort_values(["_id", "_text"])
     return train([t.encode("utf-8", "surrogatepass") for t in got["_text"]], got["_quality"].to_numpy())
