@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uipatterns.llm.common import by_value, shared_folder, written
+from uipatterns.llm.common import by_value, hash_sample, shared_folder, written
 
 by_value(__name__)
 
@@ -62,16 +62,14 @@ class Encoder:
         cut = [self.pieces(t) for t in texts]
         known = self.known
         new = list({p for parts in cut for p in parts if p not in known})
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = list({p for parts in cut for p in parts})
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = np.array(e.ids, "<u4").tobytes()
         out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        full = len(known) > self.remembered  # what came first, and so is common, stays
         for piece in new:
-            if len(piece) > 100:  # hardly seen again, and of any size
+            if full or len(piece) > 100:  # hardly seen again, and of any size
                 del known[piece]
         return out
 
@@ -105,13 +103,14 @@ def _groups(batch, column: str = "text", limit: int = 4_000_000):
 
 
 def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = 2_000, size: int = 64_000) -> bytes:
-    """A zstandard dictionary from the ids of a bounded sample: the ``sample`` texts of up to 20,000 characters of smallest hash.
+    """A zstandard dictionary from the ids of a bounded sample: about ``sample`` documents of smallest hash.
 
-    The sample has at most 20,000 x ``sample`` characters at any corpus size.
-    Too little to train on gives an empty dictionary.
+    Texts of up to 20,000 characters count, so the sample has at most 20,000 x
+    ``sample`` characters at any corpus size.  Too little to train on gives an
+    empty dictionary.
     """
-    short = docs.filter(F.length("text").between(1, 20_000)).select("text").distinct()
-    texts = [r["text"] for r in short.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+    few = hash_sample(docs, sample, "doc_id").filter(F.length("text").between(1, 20_000)).select("text").distinct()
+    texts = [r["text"] for r in few.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
     samples = _encoded(texts, path, end)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 50 else b""
