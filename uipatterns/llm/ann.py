@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from uipatterns.llm.common import by_value, fresh, shared_folder, written
+from uipatterns.llm.common import by_value, fresh, hash_sample, shared_folder, written
 
 by_value(__name__)
 
@@ -164,7 +164,7 @@ def build_index(
 ) -> Index | None:
     """Posting lists over all usable rows.
 
-    Centroids are fitted on the ``sample`` rows of smallest id hash (at most
+    Centroids are fitted on about ``sample`` rows of smallest id hash (at most
     20,000 vectors at any size); there are about sqrt(rows) lists, at most
     ``most_lists``.  Every row goes to its nearest list and, near a boundary,
     to up to ``copies`` lists within (1 + ``replicate``) of the nearest.
@@ -183,7 +183,7 @@ def build_index(
     if facts["a"] != facts["b"]:
         raise ValueError(f"vectors have {facts['a']} to {facts['b']} components")
     norm = math.sqrt(facts["m"])
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    few = hash_sample(rows, sample, "id").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     points = lift(np.stack(few["v"].to_numpy()).astype(np.float64), norm)
     k = max(1, min(most_lists, round(math.sqrt(facts["n"])), len(points) // 4))
     k = len(starts := np.unique(points[:k], axis=0))
