@@ -263,7 +263,9 @@ def near_duplicates(
     key = ["bucket", "i", "j"]
     a = rest.filter("comp <> main").select("bucket", part("ln").alias("i"), spread("rn").alias("j"), "sh", "comp", "n", "sig")
     b = fresh(rest.select("bucket", spread("ln").alias("i"), part("rn").alias("j"), "sh", "comp", "n", "sig"))
-    sifted = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(
+    # Few bytes and much work: as many tasks as the session has shuffle partitions, whatever their size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sifted = a.repartition(tasks, *key).groupBy(*key).cogroup(b.repartition(tasks, *key).groupBy(*key)).applyInPandas(
         lambda x, y: _sift_cell(x, y, least, percent), "bucket long, i int, j int, side int, sh binary, comp binary")
     sifted = written(sifted, folder, "sifted")
     more = sifted.join(full, "sh").groupBy(*key).applyInPandas(lambda x: _confirm_cell(x, percent), "u binary, v binary")
