@@ -151,7 +151,7 @@ def _texts(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
-def _slices(batch, limit: int = 4_000_000):
+def _slices(batch, limit: int = 1_500_000):
     """Parts of a batch of at most ``limit`` bytes of text, or one row."""
     n = np.asarray(batch.column("bytes"))
     begin, size = 0, 0
@@ -259,7 +259,7 @@ def _spans(starts: list[int], window: int) -> list[tuple[int, int]]:
 def _apply(batches, window: int, names: tuple[str, ...], schema: pa.Schema):
     """Replace the text of rows with removals; the others pass as they are."""
     text_col, copy, starts, count, removed, spans = names
-    for batch in batches:
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         texts, gone, cuts = [], [], []
         for t, whole, ps, n in zip(*(batch.column(c).to_pylist() for c in (text_col, copy, starts, count))):
             cut = [(0, n)] if whole and n >= window else _spans(ps or [], window)
