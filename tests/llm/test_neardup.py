@@ -66,6 +66,18 @@ def test_one_of_each_class_stays(spark):
     assert drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unrelated_texts_under_one_id_all_stay(spark):
+    alone = [(None, " ".join(f"n{i}x{j}" for j in range(20))) for i in range(30)] + [(7, " ".join(f"s{i}x{j}" for j in range(20))) for i in range(5)]
+    near = [(d, alone[i][1] + " more") for d, i in ((None, 0), (7, 1), (9, 31), (7, 32))]
+    df = spark.createDataFrame(alone + near + alone[3:5], "doc_id long, text string")
+    classes = near_duplicates(df, words=5, percent=80).select("label", "tk").distinct()
+    assert classes.count() == 39 and classes.select("label").distinct().count() == 35
+    kept = [(r["text"], r["doc_id"]) for r in drop_near_duplicates(df, words=5, percent=80).collect()]
+    assert len(kept) == 35 and all(len([k for k in kept if k[0].removesuffix(" more") == t]) == 1 for _, t in alone)
+    of = {t.removesuffix(" more"): d for t, d in kept}
+    assert [of[t] for _, t in alone] == [None] * 30 + [7] * 5
+
+
 def test_signature_values_agree_as_often_as_the_sets():
     factors, rng = multipliers(400), np.random.default_rng(1)
     x = rng.integers(0, 2 ** 63, 1000).astype(np.uint64)

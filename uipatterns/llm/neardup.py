@@ -183,11 +183,13 @@ def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
     permutations: int = 48, rows: int = 4, chunk: int = 256, folder: str | None = None,
 ) -> DataFrame:
-    """(id, tk, n_shingles, component_id, kept): the near-duplicate class of every row.
+    """(id, tk, n_shingles, component_id, kept, label): the near-duplicate class of every row.
 
     Rows are linked if their sets of ``words``-word shingles (A-Z in lower
     case) share ``percent`` % of their union or more; classes are the
-    connected components, ``component_id`` the smallest id in them.
+    connected components, ``component_id`` the smallest id in them.  Unrelated
+    classes whose rows share ids (or have none) can have one ``component_id``;
+    ``label`` names the class itself.
 
     1. One pass signs every row: each of ``permutations`` hash functions gives
        its minimum and its maximum, so 48 evaluations make 96 values, in 24
@@ -205,7 +207,7 @@ def near_duplicates(
        result and are skipped.  No pair is emitted that joins nothing new.
 
     Result for odd rows: no words or null text: n_shingles 0, a class of its
-    own (component_id is its own id, kept); null id: part of classes like
+    own (component_id is its own id, kept, no label); null id: part of classes like
     other rows, null counts as the smallest id; repeated rows (same id and
     text) all come back with the same class; empty table: empty result.
     Extra columns are ignored.  ``tk`` tells apart texts that share an id.
@@ -275,23 +277,23 @@ def near_duplicates(
 
     classes = sets.select("sh", "doc_id").join(labels.toDF("sh", "label"), "sh", "left").select("sh", "doc_id", F.coalesce("label", "sh").alias("label"))
     least_id = classes.groupBy("label").agg(F.min(F.struct("doc_id"))["doc_id"].alias("component_id"))
-    of = classes.select("sh", "label").join(least_id, "label").select("sh", "component_id", F.lit(True).alias("classed"))
+    of = classes.select("sh", "label").join(least_id, "label").select("sh", "label", "component_id", F.lit(True).alias("classed"))
     out = signed.select("doc_id", "tk", "n_shingles", "sh").join(of, "sh", "left")
     return out.select(
-        "doc_id", "tk", "n_shingles", F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "doc_id", "tk", "n_shingles", F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("doc_id"))).alias("kept"), "label")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, all columns as they were.
 
-    The row of the smallest id stays; of rows that share that id, the one of
-    the smallest text key, and of wholly equal rows one.  Rows without words
-    all stay.
+    The row of the smallest id stays; of rows of the class that share that id,
+    the one of the smallest text key, and of wholly equal rows one.  Unrelated
+    texts under one id, or without any, all stay.  Rows without words all stay.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.filter("kept and n_shingles > 0").groupBy("component_id", "tk").count()
-    keep = kept.groupBy("component_id").agg(F.min(F.struct("tk", "count")).alias("m")).select(
+    kept = found.filter("kept and n_shingles > 0").groupBy("label", "component_id", "tk").count()
+    keep = kept.groupBy("label", "component_id").agg(F.min(F.struct("tk", "count")).alias("m")).select(
         F.col("component_id").alias("_id"), F.col("m.tk").alias("_tk"), F.col("m.count").alias("_rows"))
     keyed = docs.withColumn("_tk0", text_key(text_col)).withColumn("_empty", ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     words = keyed.filter("not _empty").join(
