@@ -66,6 +66,23 @@ def test_repeated_rows_are_one_document_and_empty_table(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_have_candidates_of_their_own(spark, tmp_path):
+    shared = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, " ".join(f"d{d}w{i}" for i in range(d)) + " " + shared) for d in range(1, 40)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {(r["text"], r["n_removed"]) for r in remove_repeats(df, window=20, folder=str(tmp_path)).collect()}
+    lists = [len(r["segments"]) for r in spark.read.parquet(f"{tmp_path}/wanted").collect()]
+    assert len(lists) == 39 and max(lists) <= 30
+    assert got == {(rows[0][1], 0)} | {(" ".join(t.split()[:-30]), 30) for _, t in rows[1:39]}
+
+
+def test_a_passage_at_one_place_of_two_texts_of_one_id_stays_once(spark):
+    shared = " ".join(f"p{i}" for i in range(30))
+    for spread in (1, 4):
+        df = spark.createDataFrame([(d, f"{shared} {d}{x} end") for d in (None, 3) for x in "abcd"], "doc_id long, text string").repartition(spread)
+        assert sorted(r["n_removed"] for r in remove_repeats(df, window=30).collect()) == [0] + [30] * 7
+
+
 def test_untouched_spaces_stay():
     assert cut_words(b" a  b\nc\td e", [(1, 3)]) == b" a  d e"
     assert cut_words(b"a b c ", [(1, 3)]) == b"a"

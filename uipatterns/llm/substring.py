@@ -164,7 +164,7 @@ def _slices(batch, limit: int = 4_000_000):
         yield batch.slice(begin)
 
 
-SEGMENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("known", pa.int8())])
+SEGMENTS = pa.schema([("key", pa.int64()), ("owner", pa.int32()), ("p0", pa.int32()), ("p1", pa.int32()), ("known", pa.int8())])
 
 
 def _emit_segments(batches, window: int, rounds: int):
@@ -189,9 +189,9 @@ def _emit_segments(batches, window: int, rounds: int):
             several = np.concatenate([ordered[1:] == ordered[:-1], [False]])
             known = np.empty(len(key), np.int8)
             known[order] = np.where(~new, 1, np.where(several, 2, 0))
-            owner = part.column("doc_id").take(pa.array(np.asarray(rows)[doc], pa.int64()))
+            owner = part.column("owner").take(pa.array(np.asarray(rows)[doc], pa.int64()))
             yield pa.RecordBatch.from_arrays([
-                pa.array(key.view(np.int64)), owner.cast(pa.int64()), pa.array((a - edges[doc]).astype(np.int32)),
+                pa.array(key.view(np.int64)), owner, pa.array((a - edges[doc]).astype(np.int32)),
                 pa.array((b - edges[doc]).astype(np.int32)), pa.array(known)], schema=SEGMENTS)
 
 
@@ -219,11 +219,12 @@ def _emit_windows(batches, window: int):
             ids = part.column("doc_id").to_pylist()
             rank = {d: i for i, d in enumerate(sorted(set(ids), key=lambda d: (d is not None, d)))}
             by_id = np.array([rank[d] for d in ids])[doc]
-            order = np.lexsort((place, by_id, w2, w1))
+            by_text = np.array(part.column("tk").to_pylist(), np.int64)[doc]
+            order = np.lexsort((by_text, place, by_id, w2, w1))
             new = np.concatenate([[True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             later = np.empty(len(at), bool)
-            later[order] = (by_id[order] != by_id[lead]) | (place[order] != place[lead])
+            later[order] = (by_id[order] != by_id[lead]) | (place[order] != place[lead]) | (by_text[order] != by_text[lead])
             owner = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays([
                 pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), part.column("doc_id").take(owner).cast(pa.int64()),
@@ -294,19 +295,21 @@ def remove_repeats(
     Odd rows: null text: 0 words, stays null; fewer than ``window`` words: as
     they are; text that vanishes: empty; null id: counts as the smallest;
     repeated rows (same id and text): one document, all come back alike; texts
-    that share an id start "earlier" by their place alone.  Empty table: empty
+    that share an id start "earlier" by their place, then by their text key.  Empty table: empty
     result.  Clashing column names: the new ones get an underscore.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "substring")
     rounds = rounds or rounds_for(window)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tk"), F.col(text_col).cast("string").alias("text"))
-    sized = keyed.filter("text is not null").withColumn("bytes", F.octet_length("text"))
+    # The owner is a short name of (id, text): rows that share an id have lists of their own, and two rows that share
+    # a name only look at each other's candidates too.
+    sized = keyed.filter("text is not null").withColumn("bytes", F.octet_length("text")).withColumn("owner", F.hash("doc_id", "tk"))
     segments = written(sized.mapInArrow(
-        lambda b: _emit_segments(b, window, rounds), "key long, doc_id long, p0 int, p1 int, known byte"), folder, "segments")
+        lambda b: _emit_segments(b, window, rounds), "key long, owner int, p0 int, p1 int, known byte"), folder, "segments")
     seen = segments.filter("known <> 1").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1 and known = 0")
-    of_doc = seen.select("doc_id", "p0", "p1").unionByName(segments.filter("known > 0").select("doc_id", "p0", "p1")).groupBy(
-        F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("p0", "p1")).alias("segments"))
+    of_doc = seen.select("owner", "p0", "p1").unionByName(segments.filter("known > 0").select("owner", "p0", "p1")).groupBy(
+        F.col("owner").alias("d")).agg(F.collect_set(F.struct("p0", "p1")).alias("segments"))
 
     # Rows of equal texts: text key, length and a second hash.
     narrow = keyed.filter("text is not null").select("doc_id", "tk", F.struct("tk", F.octet_length("text"), F.crc32(F.encode("text", "UTF-8"))).alias("same"))
@@ -314,13 +317,13 @@ def remove_repeats(
     copies = written(narrow.join(first, "same").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "tk").distinct(), folder, "copies")
 
     wanted = written(of_doc, folder, "wanted")
-    found = sized.join(wanted.hint("shuffle_hash"), sized["doc_id"].eqNullSafe(wanted["d"]))
+    found = sized.join(wanted.hint("shuffle_hash"), sized["owner"] == wanted["d"])
     named = found.select("doc_id", "tk", "text", "bytes", "segments").mapInArrow(
         lambda b: _emit_windows(b, window), "w1 long, w2 long, doc_id long, tk long, p int, later boolean")
     named = written(named.join(copies.withColumn("copy", F.lit(True)), (named["doc_id"].eqNullSafe(copies["doc_id"])) & (named["tk"] == copies["tk"]), "left_anti"), folder, "windows")
     whole = Window.partitionBy("w1", "w2")
-    other = named.filter("not later").withColumn("first", F.min(F.struct("doc_id", "p")).over(whole)).filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("p") == F.col("first.p"))))
+    other = named.filter("not later").withColumn("first", F.min(F.struct("doc_id", "p", "tk")).over(whole)).filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("p") == F.col("first.p")) & (F.col("tk") == F.col("first.tk"))))
     gone = named.filter("later").select("doc_id", "tk", "p").unionByName(other.select("doc_id", "tk", "p")).groupBy("doc_id", "tk").agg(
         F.collect_set("p").alias("starts"), F.lit(False).alias("copy"))
     info = written(gone.unionByName(copies.select("doc_id", "tk", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))), folder, "gone")
