@@ -39,3 +39,15 @@ def test_targets_copies_and_odd_rows(spark):
     out = mix(df)
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in plan)
     assert mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_have_coins_of_their_own(spark):
+    import corpus_pipeline
+
+    rows = [(None, f"a{i} " * 10, "en", s, 1) for s in ("s0", "s1", "s2") for i in range(300)] + [(7, f"b{i} " * 10, "en", "s1", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {r["source"]: r["target"] for r in repetition_plan(df).collect()}
+    taken = {}
+    for r in corpus_pipeline.mix_sources(spark, df, "").collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + 10
+    assert all(abs(taken.get(s, 0) - t) <= 0.1 * t for s, t in target.items()) and any(t % 3000 for t in target.values())
