@@ -56,6 +56,26 @@ def test_token_ids_equal_those_of_whole_texts(spark):
     assert not got
 
 
+def test_token_ids_of_a_literal_control_string(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from uipatterns.llm.queries import QUERIES
+
+    says = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>x  <|endoftext|>\n", "it's  <|endoftext|>'s", "plain", "<|endoftext", "é<|endoftext|> "]
+    spark.createDataFrame(list(enumerate(says)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tok, at = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    got = {r["doc_id"]: r for r in QUERIES["op4_token_output"](spark, str(tmp_path)).collect()}
+    for d, text in enumerate(says):
+        plain = tok.encode(text, add_special_tokens=False).ids
+        ids = np.array([*plain, 0], "<u4")
+        assert (50256 in plain) == ("<|endoftext|>" in text)
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_search_recall(spark):
     from uipatterns.llm.queries import QUERIES
 

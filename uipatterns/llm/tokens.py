@@ -40,14 +40,16 @@ class Encoder:
     A byte-level pre-tokenizer always cuts before a single space between two
     other characters, so a text's ids are those of its pieces (cut there, the
     space leading) one after the other.  Short pieces are remembered, up to a
-    bound; each is encoded by the tokenizers library once.
+    bound; each is encoded by the tokenizers library once.  ``escape`` makes
+    the control strings in a text ordinary text; without it each is its one
+    added id, as in the library's plain call (they must hold no spaces).
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 1_000_000, escape: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are text
+        self.tokenizer.encode_special_tokens = escape  # control strings in a text are text
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
@@ -74,20 +76,20 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, escape: bool = True) -> Encoder:
     """The process's encoder of a vocabulary; kept with the library's module, so the next task of a worker finds it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, escape) not in kept:
+        kept[path, escape] = Encoder(path, escape=escape)
+    return kept[path, escape]
 
 
-def _encoded(texts: list[str | None], path: str, end: int) -> list[bytes]:
+def _encoded(texts: list[str | None], path: str, end: int, escape: bool = True) -> list[bytes]:
     tail = np.array([end], "<u4").tobytes()
-    return [ids + tail for ids in encoder(path).encode([t or "" for t in texts])]
+    return [ids + tail for ids in encoder(path, escape).encode([t or "" for t in texts])]
 
 
 def _groups(batch, column: str = "text", limit: int = 4_000_000):
@@ -102,7 +104,7 @@ def _groups(batch, column: str = "text", limit: int = 4_000_000):
         yield batch.slice(begin)
 
 
-def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = 2_000, size: int = 64_000) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = 2_000, size: int = 64_000, escape: bool = True) -> bytes:
     """A zstandard dictionary from the ids of a bounded sample: about ``sample`` documents of smallest hash.
 
     Texts of up to 20,000 characters count, so the sample has at most 20,000 x
@@ -111,7 +113,7 @@ def train_dictionary(docs: DataFrame, path: str, end: int, sample: int = 2_000,
     """
     few = hash_sample(docs, sample, "doc_id").filter(F.length("text").between(1, 20_000)).select("text").distinct()
     texts = [r["text"] for r in few.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
-    samples = _encoded(texts, path, end)
+    samples = _encoded(texts, path, end, escape)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 50 else b""
     except zstandard.ZstdError:
@@ -139,7 +141,7 @@ def place_of(uri: str) -> tuple[pafs.FileSystem, str]:
 SHARD = "shard long, path string, docs long, tokens long, bytes long"
 
 
-def _write_shard(batches, folder: str, path: str, end: int, dictionary: bytes):
+def _write_shard(batches, folder: str, path: str, end: int, dictionary: bytes, escape: bool):
     """One partition's documents, in order, as one shard: a temporary name first, renamed when whole."""
     fs, root = place_of(folder)
     shard = TaskContext.get().partitionId()
@@ -150,7 +152,7 @@ def _write_shard(batches, folder: str, path: str, end: int, dictionary: bytes):
             if out is None:
                 out = fs.open_output_stream(temporary, buffer_size=1 << 20)
                 at = out.write(MAGIC + dictionary_hash(dictionary))
-            for d, ids in zip(part.column("doc_id").to_pylist(), _encoded(part.column("text").to_pylist(), path, end)):
+            for d, ids in zip(part.column("doc_id").to_pylist(), _encoded(part.column("text").to_pylist(), path, end, escape)):
                 frame = press.compress(ids)
                 index.append((MISSING if d is None else d, at, len(frame), len(ids) // 4))
                 tokens += len(ids) // 4
@@ -167,7 +169,7 @@ def _write_shard(batches, folder: str, path: str, end: int, dictionary: bytes):
 
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer_path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    shards: int | None = None, sample: int = 2_000,
+    shards: int | None = None, sample: int = 2_000, escape: bool = True,
 ) -> DataFrame:
     """Encode every whole text, append ``end``, and write shards in ascending id order; returns the manifest.
 
@@ -178,18 +180,20 @@ def write_tokens(
     run again writes the same bytes; manifest.json, written last, lists the
     shards with the running number of ids before each, the dictionary and its hash.
 
+    Control strings in a text (``<|endoftext|>``) are ordinary text; without
+    ``escape`` each is its added id, as in the library's plain call.
     Null text: encoded as empty, so only the end id.  Null id: sorts first.
     Repeated ids: each row is a document; texts decide their order.  Empty
     table: a manifest without shards.  Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dictionary = train_dictionary(rows, tokenizer_path, end, sample)
+    dictionary = train_dictionary(rows, tokenizer_path, end, sample, escape=escape)
     fs, root = place_of(folder)
     fs.create_dir(root, recursive=True)
     spark = docs.sparkSession
     count = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(count, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = written(ordered.mapInArrow(lambda b: _write_shard(b, folder, tokenizer_path, end, dictionary), SHARD), folder, "_shards").orderBy("shard").collect()
+    made = written(ordered.mapInArrow(lambda b: _write_shard(b, folder, tokenizer_path, end, dictionary, escape), SHARD), folder, "_shards").orderBy("shard").collect()
     start, listed = 0, []
     for r in made:  # one row per shard
         listed.append({"path": r["path"], "docs": r["docs"], "tokens": r["tokens"], "bytes": r["bytes"], "start": start})
