@@ -43,3 +43,9 @@ def test_every_word_has_one_place(spark):
             assert end <= size
     assert sum(1 for r in got if r["piece_words"] == 0) == 6
     assert pack(df.limit(0)).count() == 0
+
+
+def test_small_partitions_are_packed_together(spark):
+    df = spark.createDataFrame([(i, "w " * 30) for i in range(60)], "doc_id long, text string").repartition(30, "doc_id")
+    got = pack(df, capacities=(64, 128, 256)).collect()
+    assert len({r["bin"] for r in got}) == 8 and sum(r["piece_words"] for r in got) == 60 * 30

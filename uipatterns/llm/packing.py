@@ -107,7 +107,7 @@ def _pack_batches(batches, costs: dict[int, int], block: int, schema: pa.Schema,
 
 def pack(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
-    capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, block: int = 50_000,
+    capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, block: int = 50_000, least: int = 5_000,
 ) -> DataFrame:
     """Places of all words of ``docs`` in sequences of the permitted lengths.
 
@@ -115,11 +115,19 @@ def pack(
     0), piece_start (its first word in the row), piece_words, bin, bin_offset,
     bin_capacity.  Rows longer than the largest capacity are cut into pieces;
     full pieces are bins of their own.  The other pieces, one per row, are
-    packed by best fit in blocks of up to ``block`` rows of one partition, so
-    there is no shuffle, no hot key, and a task holds one block of lengths.
+    packed by best fit in blocks of up to ``block`` rows.  The rows (kept
+    columns and lengths, no text) are dealt in turn into blocks of even size,
+    of ``least`` rows or more, so small partitions of the input are packed
+    together; there is no hot key, and a task holds one block of lengths.
     Bins are not shared between blocks: a block wastes a few sequences of the
     thousands it fills.
 
+    Where each capacity is at most half of the next, two bins of one smaller
+    capacity fit into one of the next and save its opening, so the least total
+    cost has at most one bin of each smaller capacity in a block: the largest
+    is opened until the block's end.  For other capacities that is a rule of
+    thumb: sizes are not chosen from the lengths still to be placed.
+
     A null or empty text is one piece of 0 words in some bin.  Repeated rows
     are packed each.  Nulls in kept columns stay.  An empty table gives none.
     A kept column that has a new column's name keeps it; the new one gets an underscore.
@@ -136,4 +144,7 @@ def pack(
 
         return _pack_batches(batches, costs, block, to_arrow_schema(out), length, names)
 
-    return docs.select(*[F.col(c) for c in keep], n_words(text_col).alias(length)).mapInArrow(run, out)
+    rows = docs.count()
+    # A tenth of a block is left free, since dealing in turn is even to a row of each partition dealt from.
+    blocks = max(-(-rows * 10 // (block * 9)), min(rows // least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    return docs.select(*[F.col(c) for c in keep], n_words(text_col).alias(length)).repartition(blocks).mapInArrow(run, out)
