@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uipatterns.llm import ann, chat, divergence, mixing, neardup, packing, quality, ranked, substring, tokens, topk, warc
+from uipatterns.llm import ann, chat, divergence, mixing, neardup, packing, quality, ranked, substring, syncmers, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,8 @@ SELECT * FROM o WHERE part = 'pair' OR "rank" <= 200"""
 @query("op12_source_divergence", DIVERGENCE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_document_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
