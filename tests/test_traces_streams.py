@@ -8,7 +8,7 @@ from uipatterns.operators import traces as T
 from uipatterns.sources import archive as A
 from uipatterns.sources import tables as TB
 from uipatterns.schema import DATASET_ROW, GOLD_COLUMNS
-from uipatterns.streaming import live
+from uipatterns.streaming import ledger, live
 from uipatterns.streaming.cadence import cadence_batch, cadence_stream, value_trend
 
 START = datetime.datetime(2024, 1, 1)
@@ -165,9 +165,61 @@ def test_stream_findings_survive_restarts_late_rows_and_a_new_checkpoint(spark,
     assert found() == want
     assert [(r.document[-2:], r.cand_id) for r in live.read_dead_letters(spark, out).collect()] == [("d2", "b")]
     assert {(r.document[-2:], r.page_score) for r in live.read_scores(spark, out).collect()} == {("d1", 10), ("d3", 10), ("d4", 100)}
-    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/[0-3]")
+    # a new checkpoint over the old table: its first batches bring old rows, an older one and new ones
+    more = [("d1", "c", 0, [("scarcity", "possible")]), ("d2", "b", 1, one), ("d5", "n", 1, one), ("d3", "e", 9, [("scarcity", "possible")])]
+    data = [(f"https://a.example/{u}", c, START + datetime.timedelta(seconds=s), f) for u, c, s, f in more]
+    spark.createDataFrame(data, schema).coalesce(1).write.json(str(tmp_path / "in/4"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/[3-4]")
     live.stream_findings(stream, out, str(tmp_path / "cp2"), {"availableNow": True}).awaitTermination(120)
-    assert found() == want  # a new checkpoint over the old log
+    want = want | {("d5", "n")}
+    scores = {("d1", 10), ("d3", 5), ("d4", 100), ("d5", 10)}
+
+    def check():
+        assert found() == want
+        assert {(r.document[-2:], r.page_score) for r in live.read_scores(spark, out).collect()} == scores
+        assert [(r.document[-2:], r.cand_id) for r in live.read_dead_letters(spark, out).collect()] == [("d2", "b")]
+
+    check()
+    assert live.compact_findings(spark, out) and not live.compact_findings(spark, out)
+    seen = ledger.view(spark, out)
+    assert seen.snapshot and not seen.tail
+    check()
+    assert ledger.tidy(spark, out) == 0  # a reader may still be at it
+    assert ledger.tidy(spark, out, 0) >= 6
+    check()
+    # the deletion is in the snapshot: a third checkpoint can't bring d2 back, and its new rows arrive
+    spark.createDataFrame([("https://a.example/d6", "z", START, one)], schema).coalesce(1).write.json(str(tmp_path / "in/5"))
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/[0,5]")
+    live.stream_findings(stream, out, str(tmp_path / "cp3"), {"availableNow": True}).awaitTermination(120)
+    want, scores = want | {("d6", "z")}, scores | {("d6", 10)}
+    check()
+    assert len(ledger.view(spark, out).tail) == 1
+
+
+def test_a_batch_is_written_once(spark, tmp_path):
+    path, one = str(tmp_path / "t"), [("scarcity", "likely")]
+    rows = lambda c: spark.createDataFrame([("d", c, START, one, "upsert")], live.CHANGES)
+    assert ledger.append(rows("a"), path, "r1", 0)
+    # a try that died between its rows and its entry is not read, and the next try replaces it
+    rows("lost").write.parquet(f"{path}/changes/r1/{1:012d}")
+    assert {r.cand_id for r in live.read_findings(spark, path).collect()} == {"a"}
+    assert ledger.append(rows("b"), path, "r1", 1) and not ledger.append(rows("again"), path, "r1", 1)
+    assert ledger.append(rows("c"), path, "r2", 0)
+    assert {r.cand_id for r in live.read_findings(spark, path).collect()} == {"a", "b", "c"}
+    assert live.compact_findings(spark, path) and ledger.tidy(spark, path, 0) == 3
+    assert not ledger.append(rows("again"), path, "r1", 1)  # covered by the snapshot
+    assert ledger.append(rows("d"), path, "r1", 2)
+    assert {r.cand_id for r in live.read_findings(spark, path).collect()} == {"a", "b", "c", "d"}
+
+
+def test_of_two_compactions_one_counts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    row = spark.createDataFrame([("d", "a", START, [("scarcity", "likely")], "upsert")], live.CHANGES)
+    ledger.append(row, path, "r", 0)
+    seen = ledger.view(spark, path)
+    tables = {"state": live.newest_changes(spark, path, seen), "dead": live.dead_letters(spark, seen)}
+    assert ledger.commit_snapshot(spark, path, seen, tables) and not ledger.commit_snapshot(spark, path, seen, tables)
+    assert len(ledger.Files(spark, path).names(f"{path}/snapshots")) == 1 and live.read_findings(spark, path).count() == 1
 
 
 def test_silent_findings_expire(spark, tmp_path):
@@ -181,7 +233,7 @@ def test_silent_findings_expire(spark, tmp_path):
         live.stream_findings(stream, str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True}, "1 second").awaitTermination(120)
         time.sleep(2)
     assert "b" in {r.cand_id for r in live.read_findings(spark, str(tmp_path / "out")).collect()}
-    assert {r.cand_id for r in spark.read.schema(live.CHANGES).parquet(str(tmp_path / "out")).filter("kind = 'expired'").collect()} == {"a"}
+    assert {r.cand_id for r in live.newest_changes(spark, str(tmp_path / "out"), ledger.view(spark, str(tmp_path / "out"))).filter("kind = 'expired'").collect()} == {"a"}
 
 
 def test_ties_have_one_answer(spark):

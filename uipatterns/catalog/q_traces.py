@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from uipatterns.catalog import inputs as I
@@ -12,6 +14,7 @@ from uipatterns.operators import gold as G
 from uipatterns.operators import rules as R
 from uipatterns.operators import traces as T
 from uipatterns.schema import DARK_LABELS, LABEL_DESCRIPTIONS
+from uipatterns.session import shared_folder
 from uipatterns.streaming import live
 from uipatterns.streaming.cadence import cadence_batch, value_trend
 
@@ -221,20 +224,37 @@ def w02(spark, sf):
     return out.select("key", "longest", "current")
 
 
-@query("w03_document_scores",
-       """SELECT document, floor(least(1.0, sum(pts) / 20.0) * 100 + 0.5)::INT AS page_score FROM (SELECT document, pts FROM (
+_W03 = """SELECT document, floor(least(1.0, sum(pts) / 20.0) * 100 + 0.5)::INT AS page_score FROM (SELECT document, pts FROM (
           SELECT event_type AS document, user_id, max_by(value, ts) AS last_value, min(ts) AS first_seen, CASE WHEN max_by(value, ts) > 20 THEN 2 ELSE 1 END AS pts
-          FROM events GROUP BY ALL) WHERE last_value > 10) GROUP BY document""")
-def w03(spark, sf):
-    ev = I.table(spark, sf, "events")
+          FROM events GROUP BY ALL) WHERE last_value > 10) GROUP BY document"""
+
+
+def _sightings(events):
     found = F.when(F.col("value") > 10, F.array(F.struct(F.lit("scarcity").alias("label"), F.when(F.col("value") > 20, "likely").otherwise("possible").alias("confidence"))))
-    rows = ev.select(
+    return events.select(
         F.col("event_type").alias("document"), F.col("user_id").cast("string").alias("cand_id"), F.col("ts").cast("timestamp").alias("seen_at"),
         F.coalesce(found, F.array().cast("array<struct<label:string,confidence:string>>")).alias("findings"))
-    state = live.upsert_findings(spark.createDataFrame([], live.STATE), rows)
+
+
+@query("w03_document_scores", _W03)
+def w03(spark, sf):
+    state = live.upsert_findings(spark.createDataFrame([], live.STATE), _sightings(I.table(spark, sf, "events")))
     return live.document_scores(state).select("document", "page_score")
 
 
+@query("w03_live_table", _W03)
+def w03_table(spark, sf):
+    """All events through the stream and its table: two checkpoints with half of the events each, a compaction between them."""
+    root = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    for half in (1, 0):  # the second checkpoint brings other rows, and in part older ones
+        events = spark.readStream.schema(I.table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet").filter(F.col("event_id") % 2 == half)
+        rows = _sightings(events).withColumnRenamed("document", "url")
+        live.stream_findings(rows, f"{root}/table", f"{root}/checkpoint{half}", {"availableNow": True}).awaitTermination()
+        if half:
+            live.compact_findings(spark, f"{root}/table")
+    return live.read_scores(spark, f"{root}/table").select("document", "page_score")
+
+
 @query("w04_document_keys",
        """SELECT split_part(url, '#', 1) AS document, count(DISTINCT page_id % 3) AS elements, count(*) AS rows FROM pages GROUP BY 1""")
 def w04(spark, sf):

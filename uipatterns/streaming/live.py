@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from uipatterns.functions.text import churn_key, strip_fragment
 from uipatterns.operators.scoring import points, score_band, score_of
+from uipatterns.streaming import ledger
 
 
 def churn_rows(df: DataFrame) -> DataFrame:
@@ -41,6 +42,8 @@ STATE = (
     "findings array<struct<label:string,confidence:string>>"
 )
 CHANGES = "document string, cand_id string, seen_at timestamp, findings array<struct<label:string,confidence:string>>, kind string"
+SNAPSHOT = f"{STATE}, kind string"
+SNAPSHOT_COLUMNS = ["document", "cand_id", "seen_at", "first_seen", "findings", "kind"]
 
 
 def upsert_findings(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -118,27 +121,52 @@ def finding_changes(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
 
 
 def stream_findings(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ttl: str = "1 day") -> StreamingQuery:
-    """Append the changes of a stream to a log at ``path``; at most one pass per second by default.
+    """Append the changes of a stream to the table at ``path``; at most one pass per second by default.
 
-    The file sink writes each micro-batch once.  A new checkpoint over an old
-    log starts with empty state and loses nothing: readers take the newest
-    change of each key from the whole log.
+    Batches are written once each, by (checkpoint, batch); see ``ledger``.  A
+    new checkpoint over an old table starts with empty state and its own run:
+    all it sends arrives, and readers take the newest change of each key from
+    all runs, so an older row can't bring a deleted finding back.
     """
-    return (finding_changes(stream, ttl).writeStream.format("parquet").outputMode("append").option("path", path)
+    return (finding_changes(stream, ttl).writeStream.outputMode("append").foreachBatch(ledger.appender(path, checkpoint))
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start())
 
 
+def newest_changes(spark: SparkSession, path: str, seen: ledger.View) -> DataFrame:
+    """The newest change of each key, deletions and expiries too: the newest snapshot and later changes, nothing older."""
+    log = ledger.tail_rows(spark, seen, CHANGES).filter("kind <> 'stale'").withColumn("first_seen", F.col("seen_at")).select(*SNAPSHOT_COLUMNS)
+    if seen.snapshot:
+        log = log.unionByName(spark.read.schema(SNAPSHOT).parquet(f"{seen.snapshot}/state"))
+    order = F.struct("seen_at", (F.col("kind") == "expired").alias("last"), "findings")
+    newest = log.groupBy("document", "cand_id").agg(
+        F.max_by(F.struct("findings", "seen_at", "kind"), order).alias("n"), F.min("first_seen").alias("first_seen"))
+    return newest.select("document", "cand_id", "n.seen_at", "first_seen", "n.findings", "n.kind")
+
+
+def dead_letters(spark: SparkSession, seen: ledger.View) -> DataFrame:
+    late = ledger.tail_rows(spark, seen, CHANGES).filter("kind = 'stale'").drop("kind")
+    return late.unionByName(spark.read.schema(late.schema).parquet(f"{seen.snapshot}/dead")) if seen.snapshot else late
+
+
+def compact_findings(spark: SparkSession, path: str) -> bool:
+    """Put the newest change of each key into a new snapshot; False if there is nothing new or another compaction came first.
+
+    Deletions stay in it, else a late row under a new checkpoint could bring a finding back.
+    """
+    seen = ledger.view(spark, path)
+    if not seen.tail:
+        return False
+    return ledger.commit_snapshot(spark, path, seen, {"state": newest_changes(spark, path, seen), "dead": dead_letters(spark, seen)})
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """The findings that stand now: the newest change of each key, unless it took the finding away."""
-    log = spark.read.schema(CHANGES).parquet(path).filter("kind <> 'stale'")
-    order = F.struct("seen_at", (F.col("kind") == "expired").alias("last"), "findings")
-    newest = log.groupBy("document", "cand_id").agg(F.max_by(F.struct("findings", "seen_at"), order).alias("n"), F.min("seen_at").alias("first_seen"))
-    return newest.filter(F.size("n.findings") > 0).select("document", "cand_id", "n.seen_at", "first_seen", "n.findings")
+    return newest_changes(spark, path, ledger.view(spark, path)).filter(F.size("findings") > 0).drop("kind")
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     """Sightings that came after a newer one of their key."""
-    return spark.read.schema(CHANGES).parquet(path).filter("kind = 'stale'").drop("kind")
+    return dead_letters(spark, ledger.view(spark, path))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
