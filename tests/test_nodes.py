@@ -150,3 +150,56 @@ def test_a_comment_child_makes_no_leaf_text(page):
 
     rows = explode_nodes(page("<p><span>ab</span><!-- --><span>cd</span></p><p><span>ab</span> <span>cd</span></p>")).filter("tag = 'p'").orderBy("node_no").collect()
     assert [r["leaf_text"] for r in rows] == [None, "ab cd"]
+
+
+def test_deep_pages_take_linear_time(spark, page):
+    import time
+
+    from uipatterns.sources.html import _tree_of
+
+    def took(n):
+        start = time.process_time()
+        tree, failed = _tree_of("<b>" * n + "<div><a href='x'>" * n + "</zz>" * n)
+        assert not failed and len(tree.nodes) == 3 * n and max(len(x["anc"]) for x in tree.nodes) < 40
+        return time.process_time() - start
+
+    took(1000)
+    assert took(20_000) < 8 * took(5_000) + 0.5
+
+
+def test_questions_about_far_ancestors(page):
+    """What lies above the last 24 steps still counts."""
+    deep = "<i>" * 40
+    body = (f'<label><form role="dialog"><a href="/x">{deep}in all{"</i>" * 40}</a></form></label>'
+            f'<div hidden>{deep}unseen{"</i>" * 40}</div><div style="color: rgb(1, 2, 3)"><s>{deep}old price{"</i>" * 40}</s></div>'
+            f'<div style="visibility:hidden">{deep}dark{"</i>" * 40}</div><div aria-hidden="true">{deep}mute{"</i>" * 40}</div>'
+            f'<div style="visibility:hidden"><div style="visibility:visible">{deep}lit up{"</i>" * 40}</div></div>')
+    rows = {r.text: r for r in extract_candidates(N.explode_nodes(page(body), candidate_texts=True)).filter("own").collect()}
+    assert set(rows) == {"in all", "old price", "lit up"}
+    one = rows["in all"]
+    assert one.in_label and one.in_form and one.in_dialog and one.link_no == one.control_no == one.node_no - 40
+    assert rows["old price"].struck and not rows["lit up"].struck and one.block_no >= 0
+    # a member of an inline run longer than the path still finds the candidate that holds it
+    run = f"<p>Ends in{deep}<b>09:52</b>{'</i>' * 40}</p>"
+    from uipatterns.operators.groups import propose_groups
+
+    assert [(r.text, r.type) for r in propose_groups(page_candidates(page(run))).collect()] == [("Ends in 09:52", "timer_label_value")]
+
+
+def test_rows_are_the_same_without_skipped_subtrees(page):
+    body = ('<div><svg><g><video></video><text id="t">x</text></g></svg><script>var a = "<p>no</p>"</script><p>one</p><template><p>never</p></template>'
+            '<p>two</p></div><noscript><b>three</b></noscript><ul><li class="c">a b</li><li class="c">c d</li></ul>')
+    cols = ["node_no", "parent_no", "sub_end", "text", "selector", "card_no", "in_video", "block_no"]
+    some = lambda df: sorted(tuple(r) for r in extract_candidates(df).select(*cols).collect())
+    got = some(N.explode_nodes(page(body), candidates_only=True))
+    assert got == some(N.explode_nodes(page(body), candidate_texts=True)) and [r[3] for r in got] == ["one", "two", "a b", "c d"]
+
+
+def test_page_report_parses_once(spark, page):
+    from uipatterns.plans.page_scan import page_report
+
+    body = '<label><input type="checkbox" checked>Send me offers</label><p>Only 3 left</p><b>-</b>'
+    df = page_report(page(body, "", body).unionByName(page("<p>alone</p>")))
+    assert sorted((r.page_id, r.candidates, r.findings) for r in df.collect()) == [(1, 4, 2), (1, 4, 2), (2, 0, 0), (3, 3, 2)]
+    plan = page_report(page(body))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -107,7 +107,8 @@ def test_prechecked_optin_label_order(page):
     body = ('<label for="a">Send me offers</label><input type="checkbox" id="a" checked><label>Join the newsletter <input type="checkbox" checked></label>'
             '<input type="checkbox" aria-label="SMS alerts" checked><span id="n">Marketing mail</span><input type="checkbox" aria-labelledby="n" checked>'
             '<label>I agree <input type="checkbox" checked></label><label>Get emails <input type="checkbox"></label>')
-    df = R.add_label_text(N.explode_nodes(page(body), text_content=True)).withColumns({"role": F.lit("checkbox"), "field": F.lit("unknown"), "text": F.lit("")})
+    df = N.explode_nodes(page(body), candidates_only=True, kinds=True).filter("kind = 'checkbox'").withColumns({
+        "role": F.lit("checkbox"), "field": F.lit("unknown"), "text": F.lit(""), "checked": F.map_contains_key("attrs", F.lit("checked"))})
     got = [(r.label_text.strip(), r.fires) for r in df.withColumn("fires", R.prechecked_optin()).orderBy("node_no").collect()]
     assert got == [("Send me offers", True), ("Join the newsletter", True), ("SMS alerts", True), ("Marketing mail", True), ("I agree", False), ("Get emails", False)]
 
@@ -118,7 +119,7 @@ def test_cta_asymmetry_takes_the_nearest_scope(page):
     area = F.when(F.col("text") == "Accept all", 400.0).when(F.col("text") == "No thanks", 100.0).when(F.col("text").startswith("Huge"), 9000.0)
     nodes = nodes.withColumn("area", area)
     cands = extract_candidates(nodes, layout=nodes.select("page_id", "node_no", "area"))
-    out = R.add_accept_area(cands, nodes).filter("text = 'No thanks'")
+    out = R.add_accept_area(cands, nodes.filter(N.is_button(F.col("tag"), F.col("attrs")))).filter("text = 'No thanks'")
     assert out.select("area", "accept_area").first() == (100.0, 400.0)
     assert ("cta_asymmetry", "obstruction") in fired(out)
 

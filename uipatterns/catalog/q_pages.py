@@ -339,8 +339,8 @@ def f11(spark, sf):
           2 AS members, true AS reconstructed FROM part""")
 def f12(spark, sf):
     cands = C.page_candidates(I.shop_pages(spark, sf)).select(
-        "page_id", "node_no", "sub_end", "cand_id", "tag", "text", "run_text", "control_no", "is_animated", "in_video", "anc_nos", "anc_tags")
-    groups = G.propose_groups(cut_lineage(cands)).filter(F.col("type") == "timer_label_value")
+        "page_id", "node_no", "sub_end", "cand_id", "tag", "text", "run_text", "control_no", "is_animated", "in_video", "block_no")
+    groups = G.propose_groups(cands).filter(F.col("type") == "timer_label_value")
     return groups.select("page_id", "text", "type", F.size("member_ids").alias("members"), "reconstructed")
 
 
@@ -352,7 +352,7 @@ _GROUPS = ['<time>Ends in<span>09:52</span></time>', '<div>3190.01<span>Rs.</spa
        """SELECT p_partkey // 32 AS page_id, ['timer_label_value', 'currency_amount', 'price_comparison', 'other'][p_partkey % 5 + 1] AS type, count(*) AS n
           FROM part WHERE p_partkey % 5 < 4 GROUP BY ALL""")
 def f12_types(spark, sf):
-    groups = G.propose_groups(cut_lineage(C.page_candidates(I.part_pages(spark, sf, _GROUPS))))
+    groups = G.propose_groups(C.page_candidates(I.part_pages(spark, sf, _GROUPS)))
     return groups.groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 

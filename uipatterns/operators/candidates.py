@@ -9,16 +9,16 @@ from uipatterns.functions.ids import occurrence_id
 from uipatterns.functions.text import contrast_ratio, infer_step, parse_rgb, text_gate, trim_space
 from uipatterns.operators.fields import card_root, infer_field, refine_titles
 from uipatterns.operators.nodes import (
-    ancestors, attr, bind, drop_sticky_chrome, explode_nodes, in_video_player, near, prune, stable_selector,
-    style_value, visible_only,
+    ancestors, attr, bind, explode_nodes, in_sticky_chrome, in_video_player, is_skipped, is_visible, near, stable_selector,
+    style_value,
 )
 from uipatterns.operators.roles import infer_role
 from uipatterns.schema import DEFAULT_ROLE, MAX_TEXT, MIN_TEXT
+from uipatterns.sources.html import CONTROL_ROLES, CONTROL_TAGS, GROUP_INLINE
 
-# --- fixed values: controls whose label is a statement of its own ----------------
-CONTROL_TAGS = ["a", "button", "input", "select", "textarea"]
-CONTROL_ROLES = ["button", "link"]
-# --- end of fixed values -----------------------------------------------------------
+
+#: So many nearest ancestors of a candidate are kept as scopes.
+NEAR_SCOPES = 16
 
 
 def _nearest(test) -> Column:
@@ -27,6 +27,12 @@ def _nearest(test) -> Column:
     return F.try_element_at(hits, F.lit(-1))
 
 
+def _last_above(test) -> Column:
+    """Number of the innermost ancestor that passes ``test``."""
+    hits = F.transform(F.filter(ancestors(), test), lambda n: n["node_no"])
+    return F.try_element_at(hits, F.lit(-1))
+
+
 def _stated(prop: str) -> Column:
     """The nearest value an inline style on the path states for ``prop``."""
     styled = F.filter("path", lambda n: n["style"].isNotNull())
@@ -44,19 +50,29 @@ def extract_candidates(
     ``layout`` may give measured ``font_px``, ``contrast``, ``opacity`` and
     ``area`` by ``(page_id, node_no)``; inline style is used otherwise.
     ``animated`` lists the ``(page_id, selector)`` whose text ticks.
+
+    Rows with a ``kind`` keep it; those other than candidates have no text,
+    card or id, so the steps for candidates pass them through.
     """
-    ok = prune(nodes.filter(text_gate(F.col("text"), MIN_TEXT, MAX_TEXT)))
-    ok = drop_sticky_chrome(visible_only(ok))
+    shown = ~is_skipped() & is_visible()
+    passes = text_gate(F.col("text"), MIN_TEXT, MAX_TEXT) & shown & ~in_sticky_chrome("chrome_top" in nodes.columns)
+    tagged = "kind" in nodes.columns
+    plain = F.col("kind") == "candidate" if tagged else F.lit(True)
+    if tagged:
+        passes = F.when(plain, passes).when(F.col("kind") == "checkbox", shown).otherwise(True)
+    only = lambda c: F.when(plain, c) if tagged else c
+    ok = nodes.filter(passes)
     style = attr("style")
     number = lambda c: F.regexp_extract(c, r"^([0-9.]+)", 1).try_cast("double")
     rows = ok.select(
         "page_id", "url", "lang", infer_step(F.col("url")).alias("step"),
-        "node_no", "parent_no", "sub_end", "depth", "tag", "attrs", "text", "run_text",
+        "node_no", "parent_no", "sub_end", "depth", "tag", "attrs", only(F.col("text")).alias("text"), "run_text",
+        *(["kind", "label_text"] if tagged else []),
         stable_selector().alias("selector"),
-        F.exists("text_parts", lambda t: trim_space(t) != "").alias("own"),
-        F.transform(ancestors(), lambda n: n["node_no"]).alias("anc_nos"),
-        F.transform(ancestors(), lambda n: n["tag"]).alias("anc_tags"),
-        card_root().alias("card_no"),
+        (F.exists("text_parts", lambda t: trim_space(t) != "") | ~plain).alias("own"),
+        F.transform(ancestors(NEAR_SCOPES), lambda n: F.struct(n["node_no"].alias("no"), n["sub_end"].alias("end"))).alias("scopes"),
+        F.coalesce(_last_above(lambda n: ~n["tag"].isin(GROUP_INLINE)), F.lit(-1)).alias("block_no"),
+        only(card_root()).alias("card_no"),
         _nearest(lambda n: (n["tag"] == "a") & n["href"]).alias("link_no"),
         _nearest(lambda n: n["tag"].isin(CONTROL_TAGS) | n["role"].isin(CONTROL_ROLES)).alias("control_no"),
         near(lambda n: n["tag"] == "label").alias("in_label"),
@@ -99,7 +115,10 @@ def extract_candidates(
 def dedupe_occurrences(cands: DataFrame) -> DataFrame:
     """First in document order per page and occurrence id."""
     same = Window.partitionBy("page_id", "cand_id").orderBy("node_no")
-    return cands.withColumn("_rn", F.row_number().over(same)).filter("_rn = 1").drop("_rn")
+    first = F.col("_rn") == 1
+    if "kind" in cands.columns:
+        first = first | (F.col("kind") != "candidate")
+    return cands.withColumn("_rn", F.row_number().over(same)).filter(first).drop("_rn")
 
 
 def collapse_nested(cands: DataFrame) -> DataFrame:
@@ -143,10 +162,15 @@ def cap_per_page(df: DataFrame, n: int, order: str = "node_no") -> DataFrame:
 
 
 def page_candidates(
-    pages: DataFrame, layout: DataFrame | None = None, animated: DataFrame | None = None,
+    pages: DataFrame, layout: DataFrame | None = None, animated: DataFrame | None = None, kinds: bool = False,
 ) -> DataFrame:
-    """Pages to final candidates: extraction, duplicates, nesting, card titles."""
-    cands = extract_candidates(explode_nodes(pages, candidates_only=True), layout, animated)
+    """Pages to final candidates: extraction, duplicates, nesting, card titles.
+
+    ``kinds=True`` carries the other kinds of rows of the same parse along (see
+    ``explode_nodes``); buttons only where the layout has their ``area``.
+    """
+    areas = layout is not None and "area" in layout.columns
+    cands = extract_candidates(explode_nodes(pages, candidates_only=True, kinds=kinds, buttons=kinds and areas), layout, animated)
     # One exchange: every later step works within a page and reuses it.
     by_page = cands.repartition("page_id")
     return refine_titles(collapse_nested(dedupe_occurrences(by_page)))

@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uipatterns.functions.text import collapse_space, matches
+from uipatterns.operators.sweeps import groups_of_page
 from uipatterns.schema import MAX_TEXT, MIN_TEXT
+from uipatterns.sources.html import GROUP_INLINE
 
 # --- fixed values ------------------------------------------------------------------
-GROUP_INLINE = [
-    "a", "abbr", "b", "bdo", "big", "br", "button", "cite", "code", "dfn", "em", "i", "img", "input", "kbd",
-    "label", "mark", "output", "q", "s", "samp", "select", "small", "span", "strong", "sub", "sup",
-    "textarea", "time", "tt", "u", "var", "wbr",
-]
 CLOCK = r"\b\d{1,2}:\d{2}(:\d{2})?\b"
 TIMER_LABEL = r"\b(ends?|starts?|closes?|expires?|left)\b|मा सकिदै|सकिन|समाप्त|बाँकी|खत्म|शेष"
 VIDEO_READOUT = r"\bremaining time\b|\belapsed\b|\bduration\b|\bcurrent time\b|\bplayback\b"
@@ -44,43 +41,26 @@ def group_type(text: Column, fragments: Column, in_video: Column) -> Column:
 def propose_groups(cands: DataFrame) -> DataFrame:
     """One group per candidate that contains others through inline elements only.
 
-    A member looks upward only as far as the inline run goes, so the join is on
-    ``(page_id, node_no)`` and a block element ends the search.
+    A sweep over the page's candidates in document order (``groups_of_page``)
+    finds the members: no join, and no exchange beyond the one by page that
+    candidates already have.
     """
-    tags, n = F.col("anc_tags"), F.size("anc_tags")
-    # Ancestors a member may belong to: up to and including the first block one.
-    blocks = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.element_at(tags, i).isin(GROUP_INLINE))
-    start = F.coalesce(F.array_max(blocks), F.lit(1))
-    members = (
-        cands.filter((n > 0) & F.col("tag").isin(GROUP_INLINE))
-        .select("page_id", F.struct("node_no", "cand_id", "text", "is_animated").alias("member"),
-                F.col("control_no").alias("m_control"), F.explode(F.slice("anc_nos", start, n)).alias("node_no"))
-    )
-    outer = cands.select("page_id", "node_no", "sub_end", "cand_id", "text", "run_text", "control_no",
-                         "is_animated", "in_video")
-    grouped = (
-        members.join(outer, ["page_id", "node_no"])
-        .filter(F.col("m_control").isNull() | F.col("m_control").eqNullSafe(F.col("control_no")))
-        .filter(F.length("run_text").between(MIN_TEXT, MAX_TEXT))
-        .groupBy("page_id", "node_no")
-        .agg(F.first(F.struct("sub_end", "cand_id", "text", "run_text", "is_animated", "in_video")).alias("o"),
-             F.array_sort(F.collect_list("member")).alias("members"))
-    )
-    fragments = F.concat(F.array("o.text"), F.transform("members", lambda m: m["text"]))
+    kind = cands.schema["page_id"].dataType.simpleString()
+    grouped = cands.select(
+        "page_id", "node_no", "sub_end", "cand_id", "text", "run_text", "control_no", "block_no", F.col("tag").isin(GROUP_INLINE).alias("may_join"),
+        F.coalesce(F.length("run_text").between(MIN_TEXT, MAX_TEXT), F.lit(False)).alias("may_hold"), "is_animated", "in_video",
+    ).groupBy("page_id").applyInPandas(groups_of_page, f"""page_id {kind}, node_no int, cand_id string, text string, run_text string,
+        is_animated boolean, in_video boolean, members array<struct<node_no:int,cand_id:string,text:string,is_animated:boolean>>""")
+    fragments = F.concat(F.array("text"), F.transform("members", lambda m: m["text"]))
     rows = grouped.select(
-        "page_id", "node_no", F.col("o.sub_end").alias("sub_end"), F.col("o.cand_id").alias("group_id"),
-        F.col("o.run_text").alias("text"),
-        F.concat(F.array("o.cand_id"), F.transform("members", lambda m: m["cand_id"])).alias("member_ids"),
-        fragments.alias("fragments"), group_type(F.col("o.run_text"), fragments, F.col("o.in_video")).alias("type"),
-        (F.col("o.is_animated") | F.exists("members", lambda m: m["is_animated"])).alias("animated"),
-        (F.col("o.run_text") != F.col("o.text")).alias("reconstructed"),
+        "page_id", "node_no", F.col("cand_id").alias("group_id"), F.col("run_text").alias("text"),
+        F.concat(F.array("cand_id"), F.transform("members", lambda m: m["cand_id"])).alias("member_ids"),
+        fragments.alias("fragments"), group_type(F.col("run_text"), fragments, F.col("in_video")).alias("type"),
+        (F.col("is_animated") | F.exists("members", lambda m: m["is_animated"])).alias("animated"),
+        (F.col("run_text") != F.col("text")).alias("reconstructed"),
     )
     reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
-    same = Window.partitionBy("page_id", "text").orderBy("node_no")
-    inner = F.coalesce(F.lead("node_no").over(same) <= F.col("sub_end"), F.lit(False))
-    return rows.withColumns({"_inner": inner, "reason": reason[F.col("type")]}).filter("not _inner").drop(
-        "_inner", "sub_end"
-    )
+    return rows.withColumn("reason", reason[F.col("type")])
 
 
 def neighbour_context(
@@ -88,27 +68,31 @@ def neighbour_context(
 ) -> DataFrame:
     """Candidates near each target: climb until an ancestor holds ``enough`` others.
 
-    ``targets`` are candidates (``page_id, node_no, cand_id, anc_nos``).
+    ``targets`` are candidates (``page_id, node_no, cand_id, scopes``);
+    ``levels`` is at most the number of scopes kept.  A scope is a range of
+    element numbers, so running counts give how many candidates it holds and
+    which come first in it; no candidate meets its ancestors.
     """
-    inside = cands.select(
-        "page_id", "node_no", "text", "tag", "role", F.explode("anc_nos").alias("scope")
-    )
-    counts = inside.groupBy("page_id", "scope").agg(F.count(F.lit(1)).alias("n"))
+    numbered = cands.select("page_id", "node_no", "text", "tag", "role", F.row_number().over(
+        Window.partitionBy("page_id").orderBy("node_no")).alias("place"))
     climbs = targets.select(
         "page_id", F.col("cand_id").alias("target_id"), F.col("node_no").alias("target_no"),
-        F.posexplode(F.reverse(F.slice("anc_nos", -F.least(F.size("anc_nos"), F.lit(levels)), F.lit(levels))))
-        .alias("level", "scope"),
-    ).join(counts, ["page_id", "scope"])
-    # The target itself lies in every scope, hence n - 1 others.
-    met = (F.col("n") - 1) >= enough
-    chosen = climbs.groupBy("page_id", "target_id", "target_no").agg(
-        F.coalesce(F.min_by(F.when(met, F.col("scope")), F.when(met, F.col("level"))),
-                   F.max_by("scope", "level")).alias("scope")
-    )
-    order = Window.partitionBy("page_id", "scope").orderBy("node_no")
-    wanted = inside.join(chosen.select("page_id", "scope").distinct(), ["page_id", "scope"], "left_semi")
-    first = wanted.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= take + 1).drop("_rn")
-    near = chosen.join(first, ["page_id", "scope"]).filter("node_no <> target_no")
+        F.posexplode(F.reverse(F.slice("scopes", -F.least(F.size("scopes"), F.lit(levels)), F.lit(levels)))).alias("level", "scope"),
+    ).select("page_id", "target_id", "target_no", "level", "scope.no", "scope.end")
+    # The number of candidates up to each bound of a scope.
+    ends = climbs.select("page_id", F.explode(F.array("no", "end")).alias("at")).distinct().withColumn("one", F.lit(0))
+    points = ends.unionByName(numbered.select("page_id", F.col("node_no").alias("at"), F.lit(1).alias("one")))
+    upto = points.withColumn("upto", F.sum("one").over(Window.partitionBy("page_id").orderBy("at"))).filter("one = 0")
+    sized = (climbs.join(upto.select("page_id", F.col("at").alias("no"), F.col("upto").alias("lo")), ["page_id", "no"])
+             .join(upto.select("page_id", F.col("at").alias("end"), F.col("upto").alias("hi")), ["page_id", "end"]))
+    # The target itself lies in every scope, hence one less.
+    met = (F.col("hi") - F.col("lo") - 1) >= enough
+    scope = F.struct("lo", "hi")
+    chosen = sized.groupBy("page_id", "target_id", "target_no").agg(
+        F.coalesce(F.min_by(F.when(met, scope), F.when(met, F.col("level"))), F.max_by(scope, "level")).alias("s"))
+    first = chosen.select("page_id", "target_id", "target_no", F.explode(
+        F.sequence((F.col("s.lo") + 1).cast("int"), F.least(F.col("s.hi"), F.col("s.lo") + take + 1).cast("int"))).alias("place"))
+    near = first.join(numbered, ["page_id", "place"]).filter("node_no <> target_no")
     lines = F.slice(F.array_sort(F.collect_list(F.struct("node_no", F.substring("text", 1, chars).alias("text"),
                                                          "tag", "role"))), 1, take)
     return near.groupBy("page_id", "target_id").agg(

@@ -15,11 +15,9 @@ from uipatterns.functions.text import (
     ascii_regex, collapse_self_dup, collapse_space, own_text, page_lang, text_gate, trim_space,
 )
 from uipatterns.schema import MAX_TEXT, MIN_TEXT
-from uipatterns.sources.html import parse_pages
+from uipatterns.sources.html import NEAR_STEPS, SKIP_TAGS, parse_pages
 
 # --- fixed values: element names and patterns --------------------------------
-SKIP_TAGS = ["script", "style", "noscript", "svg", "head", "template"]
-
 INLINE_TAGS = [
     "a", "abbr", "acronym", "b", "bdo", "big", "br", "button", "cite", "code", "dfn", "em", "i", "img",
     "input", "kbd", "label", "map", "object", "output", "q", "s", "samp", "select", "small", "span",
@@ -33,7 +31,7 @@ CHROME_HINT = (
 VIDEO_PLAYER = r"\b(video-?player|media-?player|vjs-|plyr|ytp-)\b"
 # --- end of fixed values -------------------------------------------------------
 
-CHROME_DEPTH = 24
+CHROME_DEPTH = NEAR_STEPS
 VIDEO_DEPTH = 6
 
 
@@ -69,22 +67,28 @@ def candidate_text(own: Column, leaf: Column) -> Column:
 
 def explode_nodes(
     pages: DataFrame, text_content: bool = False, with_lang: bool = True, candidate_texts: bool = False,
-    candidates_only: bool = False,
+    candidates_only: bool = False, kinds: bool = False, buttons: bool = False,
 ) -> DataFrame:
     """One row per element, in document order within a page.
 
-    ``path`` lists the steps from the root down to the element itself with what
-    questions about ancestors need.  ``leaf_text`` is the joined text of an
+    ``path`` lists steps from the root down to the element itself with what
+    questions about ancestors need: the last 24, and of those above them the
+    nearest of each kind that a question asks about at any distance.  ``leaf_text`` is the joined text of an
     element whose children are all text or inline; ``run_text`` is the text of
     the whole subtree.  Both are null where they would be longer than a
     candidate may be.  ``text_content=True`` adds the unbounded text of every
     subtree, ``candidate_texts=True`` the ``text`` a candidate would have;
     ``candidates_only=True`` also leaves out elements without a usable one
-    before their paths are built.
+    before their paths are built, and skipped subtrees in the parser.
+
+    ``kinds=True`` (with ``candidates_only``) emits rows of several kinds from
+    the one parse: ``candidate``, ``checkbox`` with its ``label_text``,
+    ``button`` if ``buttons`` is set, and one ``page`` for each page, with or
+    without elements.  An element of two kinds is two rows.
     """
     if with_lang and "lang" not in pages.columns:
         pages = pages.withColumn("lang", page_lang(F.col("html")))
-    parsed = parse_pages(pages)
+    parsed = parse_pages(pages, skipped=not candidates_only)
 
     def joined(parts: Column) -> Column:
         trimmed = F.transform(parts, trim_space)
@@ -114,17 +118,27 @@ def explode_nodes(
         return bind(base, lambda t: t.withField(
             "text", bind(own_text(t["text_parts"]), lambda own: candidate_text(own, t["leaf_text"]))))
 
+    def usable(x: Column) -> Column:
+        return text_gate(x["t"]["text"], MIN_TEXT, MAX_TEXT)
+
+    def row_kinds(x: Column) -> Column:
+        named = [F.when(usable(x), "candidate"), F.when(x["n"]["label_text"].isNotNull(), "checkbox")]
+        if buttons:
+            named.append(F.when(is_button(x["n"]["tag"], x["n"]["attrs"]), "button"))
+        return F.array_compact(F.array(*named))
+
     def shape(pieces: Column, briefs: Column, x: Column) -> Column:
         n, t = x["n"], x["t"]
         run = F.when(n["text_len"] <= MAX_TEXT, joined(_slice_text(pieces, n["piece_lo"], n["piece_hi"])))
         fields = [
             *[n[c].alias(c) for c in ("node_no", "parent_no", "depth", "sub_end", "tag", "attrs")],
-            briefs[n["node_no"]]["is_card"].alias("is_card"),
-            F.transform(F.concat(n["anc"], F.array(n["node_no"])), lambda a: briefs[a]).alias("path"),
+            n["twin"].alias("is_card"), F.transform(F.concat(n["anc"], F.array(x["i"])), lambda a: briefs[a]).alias("path"),
             t["text_parts"].alias("text_parts"), t["leaf_text"].alias("leaf_text"), run.alias("run_text"),
         ]
         if candidate_texts or candidates_only:
             fields.append(t["text"].alias("text"))
+        if kinds:
+            fields += [n["label_text"].alias("label_text"), row_kinds(x).alias("kinds")]
         if text_content:
             content = F.array_join(_slice_text(pieces, n["piece_lo"], n["piece_hi"]), "")
             fields.append(content.alias("text_content"))
@@ -133,15 +147,27 @@ def explode_nodes(
     def spread(page: Column) -> Column:
         nodes, pieces = page["nodes"], page["pieces"]
         briefs = F.transform(nodes, brief)
-        rows = F.transform(nodes, lambda n: F.struct(n.alias("n"), texts(pieces, n).alias("t")))
-        if candidates_only:
-            rows = F.filter(rows, lambda x: text_gate(x["t"]["text"], MIN_TEXT, MAX_TEXT))
+        rows = F.transform(nodes, lambda n, i: F.struct(n.alias("n"), texts(pieces, n).alias("t"), i.alias("i")))
+        if kinds:
+            rows = F.filter(rows, lambda x: F.size(row_kinds(x)) > 0)
+        elif candidates_only:
+            rows = F.filter(rows, usable)
         return bind(briefs, lambda b: F.transform(rows, lambda x: shape(pieces, b, x)))
 
     kept = [c for c in parsed.columns if c not in ("pieces", "nodes")]
-    video_nos = F.transform(F.filter("nodes", lambda n: n["tag"] == "video"), lambda n: n["node_no"])
     rows = bind(F.struct("nodes", "pieces"), spread)
-    return parsed.select(*kept, video_nos.alias("video_nos"), F.inline(rows))
+    if not kinds:
+        return parsed.select(*kept, F.inline(rows))
+    spread_rows = parsed.select(*kept, F.posexplode_outer(rows).alias("_at", "_row")).select(*kept, "_at", "_row.*")
+    page = F.when(F.coalesce("_at", F.lit(0)) == 0, F.array(F.lit("page"))).otherwise(F.array().cast("array<string>"))
+    both = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), page)
+    return spread_rows.withColumn("kind", F.explode(both)).drop("_at", "kinds")
+
+
+def is_button(tag: Column, attrs: Column) -> Column:
+    get = lambda name: F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit(""))
+    named = F.arrays_overlap(F.split(get("class"), r"\s+"), F.array(F.lit("btn"), F.lit("button")))
+    return (tag == "button") | (get("role") == "button") | ((tag == "input") & (F.lower(get("type")) == "submit")) | ((tag == "a") & named)
 
 
 def attr(name: str) -> Column:
@@ -178,9 +204,13 @@ def class_and_id(attrs: Column) -> Column:
     return F.concat(get("class"), F.lit(" "), get("id"))
 
 
+def is_skipped() -> Column:
+    return near(lambda n: n["tag"].isin(SKIP_TAGS) | n["aria_hidden"])
+
+
 def prune(nodes: DataFrame) -> DataFrame:
     """Drop skipped subtrees and those marked ``aria-hidden="true"``."""
-    return nodes.filter(~near(lambda n: n["tag"].isin(SKIP_TAGS) | n["aria_hidden"]))
+    return nodes.filter(~is_skipped())
 
 
 def style_value(style: Column, prop: str) -> Column:
@@ -191,6 +221,10 @@ def style_value(style: Column, prop: str) -> Column:
 
 def visible_only(nodes: DataFrame) -> DataFrame:
     """Drop what the page hides through inline style or the ``hidden`` attribute."""
+    return nodes.filter(is_visible())
+
+
+def is_visible() -> Column:
     path = F.col("path")
     me = F.element_at(path, -1)
 
@@ -205,7 +239,7 @@ def visible_only(nodes: DataFrame) -> DataFrame:
     invisible = F.coalesce(F.try_element_at(stated, F.lit(-1)) == "hidden", F.lit(False))
     faded = F.coalesce(style_value(me["style"], "opacity").try_cast("double") == 0.0, F.lit(False))
     pinned = F.coalesce(style_value(me["style"], "position").isin("fixed", "sticky"), F.lit(False))
-    return nodes.filter(~(gone(me) | invisible | faded) & (pinned | ~F.exists(path, gone)))
+    return ~(gone(me) | invisible | faded) & (pinned | ~F.exists(path, gone))
 
 
 def drop_sticky_chrome(nodes: DataFrame) -> DataFrame:
@@ -215,6 +249,10 @@ def drop_sticky_chrome(nodes: DataFrame) -> DataFrame:
     ``chrome_top`` and ``chrome_height_ratio`` columns for the node's nearest
     pinned ancestor, which then also have to say that it sits near the top.
     """
+    return nodes.filter(~in_sticky_chrome("chrome_top" in nodes.columns))
+
+
+def in_sticky_chrome(measured: bool = False) -> Column:
     hint = ascii_regex(CHROME_HINT, True)
 
     def pinned_nav(n: Column) -> Column:
@@ -224,10 +262,10 @@ def drop_sticky_chrome(nodes: DataFrame) -> DataFrame:
                          | F.coalesce(n["cls"].rlike(hint), F.lit(False)))
 
     chrome = near(pinned_nav, CHROME_DEPTH)
-    if "chrome_top" in nodes.columns:
+    if measured:
         at_top = (F.col("chrome_top") <= 160) & (F.col("chrome_height_ratio") <= 0.4)
         chrome = chrome & F.coalesce(at_top, F.lit(True))
-    return nodes.filter(~chrome)
+    return chrome
 
 
 def stable_selector(max_parts: int = 6) -> Column:
@@ -263,6 +301,6 @@ def in_video_player() -> Column:
 
 __all__ = [
     "ancestors", "attr", "bind", "candidate_text", "class_and_id", "class_tokens", "drop_sticky_chrome",
-    "explode_nodes", "has_attr", "in_video_player", "looks_like_twin", "near", "node_attr", "path_end", "prune",
+    "explode_nodes", "has_attr", "in_sticky_chrome", "in_video_player", "is_button", "is_skipped", "is_visible", "looks_like_twin", "near", "node_attr", "path_end", "prune",
     "stable_selector", "style_value", "visible_only",
 ]

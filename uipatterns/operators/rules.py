@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uipatterns.functions.text import by_lang, matches, matches_one_of
-from uipatterns.operators.nodes import ancestors, class_and_id
+from uipatterns.operators.nodes import class_and_id
+from uipatterns.operators.sweeps import accept_areas
 
 # --- fixed values: rule patterns, limits and the fields a rule must not judge ----
 STOCK_COUNTER = [
@@ -176,80 +177,21 @@ def new_fee_lines(lines: DataFrame, session: str = "session_id") -> DataFrame:
     return fees.filter(F.col("step") == "payment").join(seen, [session, "text"], "left_anti")
 
 
-def add_label_text(nodes: DataFrame) -> DataFrame:
-    """Add ``label_text`` for checkboxes.  ``nodes`` needs ``text_content``.
+def add_accept_area(cands: DataFrame, buttons: DataFrame) -> DataFrame:
+    """Add ``accept_area`` to decline controls: the largest other button inside the
+    nearest of four ancestors that holds one.
 
-    Order: labels tied by ``for`` or by enclosing, then aria-label, then the
-    element named by aria-labelledby.
+    ``buttons`` has page_id, node_no and area of the page's buttons.  Buttons
+    and decline controls of a page meet in one sweep of numbers alone.
     """
-    get = lambda name: F.nullif(F.try_element_at("attrs", F.lit(name)), F.lit(""))
-    boxes = nodes.filter((F.col("tag") == "input") & (F.lower(get("type")) == "checkbox"))
-    boxes = boxes.withColumns({
-        "_id": get("id"), "_by": get("aria-labelledby"),
-        "_outer": F.try_element_at(
-            F.transform(F.filter("path", lambda n: n["tag"] == "label"), lambda n: n["node_no"]), F.lit(-1)
-        ),
-    })
-    labels = nodes.filter(F.col("tag") == "label").select(
-        "page_id", F.col("node_no").alias("l_no"), get("for").alias("l_for"), F.col("text_content").alias("l_text")
-    )
-    tied = (
-        boxes.select("page_id", "node_no", "_id").join(
-            labels.select("page_id", "l_no", "l_text", F.col("l_for").alias("_id")), ["page_id", "_id"]
-        ).select("page_id", "node_no", "l_no", "l_text")
-        .unionByName(
-            boxes.select("page_id", "node_no", F.col("_outer").alias("l_no")).join(labels, ["page_id", "l_no"])
-            .filter(F.col("l_for").isNull()).select("page_id", "node_no", "l_no", "l_text")
-        )
-        .distinct().groupBy("page_id", "node_no")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_no", "l_text"))),
-                                      lambda x: x["l_text"]), " ").alias("_tied"))
-    )
-    enclosing = labels.select("page_id", F.col("l_no").alias("_outer"), F.col("l_text").alias("_enclosing"))
-    named = nodes.filter(get("id").isNotNull()).groupBy("page_id", get("id").alias("_by")).agg(
-        F.min_by("text_content", "node_no").alias("_named")
-    )
-    out = (
-        boxes.join(tied, ["page_id", "node_no"], "left")
-        .join(enclosing, ["page_id", "_outer"], "left")
-        .join(named, ["page_id", "_by"], "left")
-    )
-    text = F.coalesce("_tied", "_enclosing", get("aria-label"), "_named", F.lit(""))
-    return out.withColumn("label_text", text).withColumn(
-        "checked", F.map_contains_key("attrs", "checked")
-    ).drop("_id", "_by", "_outer", "_tied", "_enclosing", "_named")
-
-
-def add_accept_area(cands: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``accept_area`` to decline controls: the largest other button inside the
-    nearest of four ancestors that holds one.  ``nodes`` needs ``area``."""
-    tokens = F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+")
-    type_attr = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("type")), F.lit("")))
-    button = (
-        (F.col("tag") == "button")
-        | F.coalesce(F.try_element_at("attrs", F.lit("role")) == "button", F.lit(False))
-        | ((F.col("tag") == "input") & (type_attr == "submit"))
-        | ((F.col("tag") == "a") & F.arrays_overlap(tokens, F.array(F.lit("btn"), F.lit("button"))))
-    )
-    inside = nodes.filter(button).select(
-        "page_id", F.col("node_no").alias("b_no"), F.coalesce("area", F.lit(0.0)).alias("b_area"),
-        F.explode(F.transform(ancestors(), lambda n: n["node_no"])).alias("scope"),
-    )
-    # Two are enough: at most one of them is the decline control itself.
-    best = Window.partitionBy("page_id", "scope").orderBy(F.col("b_area").desc(), "b_no")
-    top = inside.withColumn("rn", F.row_number().over(best)).filter("rn <= 2").drop("rn")
-    climbs = cands.filter(F.col("role") == "decline").select(
-        "page_id", "node_no",
-        F.explode(F.slice("anc_nos", -F.least(F.size("anc_nos"), F.lit(BUTTON_LEVELS)), F.lit(BUTTON_LEVELS)))
-        .alias("scope"),
-    )
-    near = (
-        climbs.join(top, ["page_id", "scope"]).filter("b_no <> node_no")
-        .groupBy("page_id", "node_no", "scope").agg(F.max("b_area").alias("b_area"))
-        .groupBy("page_id", "node_no").agg(F.max_by("b_area", "scope").alias("accept_area"))
-    )
+    kind = cands.schema["page_id"].dataType.simpleString()
+    scopes = F.slice("scopes", -F.least(F.size("scopes"), F.lit(BUTTON_LEVELS)), F.lit(BUTTON_LEVELS))
+    asks = cands.filter(F.col("role") == "decline").select("page_id", "node_no", F.lit(None).cast("double").alias("b_area"), scopes.alias("scopes"))
+    found = buttons.select("page_id", "node_no", F.coalesce(F.col("area").cast("double"), F.lit(0.0)).alias("b_area"))
+    near = found.unionByName(asks, allowMissingColumns=True).groupBy("page_id").applyInPandas(
+        accept_areas, f"page_id {kind}, node_no int, accept_area double")
     return cands.join(near, ["page_id", "node_no"], "left")
 
 
 __all__ = ["RULES", "class_and_id", "run_rules", "rule_hits_long", "rule_allowed", "new_fee_lines",
-           "add_label_text", "add_accept_area"]
+           "add_accept_area"]

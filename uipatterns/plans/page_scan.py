@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uipatterns.functions.ids import occurrence_id
-from uipatterns.functions.text import collapse_space, infer_step
+from uipatterns.functions.text import collapse_space
 from uipatterns.operators.candidates import page_candidates
-from uipatterns.operators.nodes import explode_nodes, prune, stable_selector, visible_only
-from uipatterns.operators.rules import add_accept_area, add_label_text, run_rules
+from uipatterns.operators.rules import add_accept_area, run_rules
 from uipatterns.operators.scoring import (
     decide, merged_columns, model_input, points, score_band, score_distinct, score_of, to_score, withhold_reason,
 )
@@ -19,28 +18,37 @@ from uipatterns.operators.scoring import (
 from uipatterns.session import cut_lineage
 
 
-def checkbox_hits(pages: DataFrame) -> DataFrame:
-    """Checkboxes that start checked and whose label asks for consent.
+def tagged_hits(pages: DataFrame, animated: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
+    """Rows of kind ``candidate`` with the rules that fire, ``checkbox`` where one fires, and one ``page`` for each page.
 
-    A checkbox has no text of its own and so is no candidate; its rule is
-    evaluated here on the element, and its label becomes its text.  Only pages
-    that hold the word are parsed.
+    All come from one parse.  A checkbox has no text of its own and so is no
+    candidate; its rule is evaluated on the element, with the label that the
+    parser found, and that label becomes its text.  With a ``layout`` that has
+    ``area``, decline controls are compared with the buttons near them.
     """
-    nodes = explode_nodes(pages.filter(F.lower("html").contains("checkbox")), text_content=True)
-    boxes = visible_only(prune(add_label_text(nodes))).select(
-        "page_id", "url", "lang", infer_step(F.col("url")).alias("step"), "node_no", "tag", "attrs", "checked", "label_text",
-        stable_selector().alias("selector"), F.lit("checkbox").alias("role"), F.lit("unknown").alias("field"), F.lit("").alias("text"))
-    hits = run_rules(boxes).filter(F.size("rule_hits") > 0).withColumn("text", collapse_space("label_text"))
-    return hits.withColumn("cand_id", occurrence_id(F.col("lang"), F.col("selector"), F.col("text"))).drop("label_text")
+    rows = page_candidates(pages, layout, animated, kinds=True)
+    if layout is not None and "area" in layout.columns:
+        rows = cut_lineage(rows)  # the sweep and the rows themselves read them
+        plain = rows.filter("kind = 'candidate'")
+        rows = add_accept_area(plain, rows.filter("kind = 'button'")).unionByName(
+            rows.filter("kind IN ('checkbox', 'page')"), allowMissingColumns=True)
+    box = F.col("kind") == "checkbox"
+    rows = rows.withColumns({
+        "role": F.when(box, "checkbox").otherwise(F.col("role")), "field": F.when(box, "unknown").otherwise(F.col("field")),
+        "text": F.when(box, "").otherwise(F.col("text"))})
+    hits = run_rules(rows).filter(F.when(box, F.size("rule_hits") > 0).otherwise(True))
+    hits = hits.withColumn("text", F.when(box, collapse_space("label_text")).otherwise(F.col("text")))
+    return hits.withColumn("cand_id", F.when(box, occurrence_id(F.col("lang"), F.col("selector"), F.col("text"))).otherwise(F.col("cand_id"))).drop("label_text")
+
+
+def checkbox_hits(pages: DataFrame) -> DataFrame:
+    """Checkboxes that start checked and whose label asks for consent."""
+    return tagged_hits(pages).filter("kind = 'checkbox'").drop("kind")
 
 
 def candidates_with_hits(pages: DataFrame, animated: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
-    """Candidates with the rules that fire.  A ``layout`` with ``area`` also lets decline controls be compared with the buttons near them."""
-    cands = page_candidates(pages, layout, animated)
-    if layout is not None and "area" in layout.columns:
-        area = layout.select("page_id", "node_no", F.col("area").cast("double").alias("area"))
-        cands = add_accept_area(cands, explode_nodes(pages).join(area, ["page_id", "node_no"], "left"))
-    return run_rules(cands).unionByName(checkbox_hits(pages), allowMissingColumns=True)
+    """Candidates and checkboxes with the rules that fire."""
+    return tagged_hits(pages, animated, layout).filter("kind <> 'page'").drop("kind")
 
 
 def rule_findings(cands: DataFrame) -> DataFrame:
@@ -56,15 +64,16 @@ def page_report(pages: DataFrame, animated: DataFrame | None = None, layout: Dat
 
     Rules only.  Pages without any candidate are in the result with score 0.
     """
-    cands = candidates_with_hits(pages, animated, layout)
+    rows = tagged_hits(pages, animated, layout)
+    page = F.col("kind") == "page"
     labels = F.array_distinct(F.transform("rule_hits", lambda h: h["label"]))
-    sums = cands.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("candidates"), F.sum(F.size(labels)).alias("likely"))
-    out = pages.select("page_id", "url").join(sums, "page_id", "left")
-    n = F.coalesce(F.col("likely"), F.lit(0))
-    return out.select(
-        "page_id", "url", F.coalesce("candidates", F.lit(0)).alias("candidates"), n.cast("bigint").alias("findings"),
-        score_of(n * 2).alias("page_score")).withColumn("band", score_band(F.col("page_score")))
+    # Within a page's partition: the one exchange of the candidates serves this too.
+    sums = rows.groupBy("page_id", "url").agg(
+        F.count_if(page).alias("pages"), F.count_if(~page).alias("candidates"), F.sum(F.when(page, 0).otherwise(F.size(labels))).alias("findings"))
+    out = sums.filter("pages > 0").select(
+        "page_id", "url", "candidates", F.col("findings").cast("bigint").alias("findings"), score_of(F.col("findings") * 2).alias("page_score"),
+        F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("copy"))
+    return out.drop("copy").withColumn("band", score_band(F.col("page_score")))
 
 
 def scan_pages(

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 NODE_TYPE = (
     "struct<node_no:int,parent_no:int,depth:int,sub_end:int,tag:string,attrs:map<string,string>,"
     "anc:array<int>,piece_lo:int,piece_hi:int,text_len:int,sib_no:int,sib_n:int,twin:boolean,"
-    "kids:array<struct<no:int,tag:string,lo:int,hi:int>>>"
+    "kids:array<struct<no:int,tag:string,lo:int,hi:int>>,label_text:string>"
 )
 
 # --- fixed values: the HTML standard's void elements and implied end tags ---
@@ -41,8 +41,20 @@ ENDS_SIBLING = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 PARAGRAPH_SCOPE = {"button", "td", "th", "caption", "object", "template", "html"}
+# Elements whose subtrees hold no interface text, controls, and elements that don't end a run of text.
+SKIP_TAGS = ["script", "style", "noscript", "svg", "head", "template"]
+CONTROL_TAGS = ["a", "button", "input", "select", "textarea"]
+CONTROL_ROLES = ["button", "link"]
+GROUP_INLINE = [
+    "a", "abbr", "b", "bdo", "big", "br", "button", "cite", "code", "dfn", "em", "i", "img", "input", "kbd",
+    "label", "mark", "output", "q", "s", "samp", "select", "small", "span", "strong", "sub", "sup",
+    "textarea", "time", "tt", "u", "var", "wbr",
+]
 # --- end of fixed values -----------------------------------------------------
 
+#: Steps of a node's path that are always there: itself and its nearest ancestors.
+NEAR_STEPS = 24
+
 
 COMMENT = "#comment"
 _GENERATED = re.compile("[0-9]{3}")
@@ -76,12 +88,63 @@ def with_twins(families: Counter) -> set[frozenset]:
     return found
 
 
+_STATED = {p: re.compile(rf"(?:^|;)\s*{p}\s*:\s*([^;!]+)", re.ASCII) for p in (
+    "display", "visibility", "color", "background-color", "text-decoration(?:-line)?")}
+
+
+def lasting_kinds(tag: str, attrs: dict[str, str]) -> list[str]:
+    """What an ancestor is that a question may ask about from any depth below it."""
+    found = [] if tag in GROUP_INLINE else ["block"]
+    if tag in SKIP_TAGS or attrs.get("aria-hidden") == "true":
+        found.append("skipped")
+    if tag in ("label", "form"):
+        found.append(tag)
+    if tag in ("s", "del"):
+        found.append("struck")
+    if tag == "a" and "href" in attrs:
+        found.append("link")
+    if tag in CONTROL_TAGS or attrs.get("role") in CONTROL_ROLES:
+        found.append("control")
+    if attrs.get("role") == "dialog":
+        found.append("dialog")
+    if "hidden" in attrs:
+        found.append("gone")
+    if "style" in attrs:
+        found.append("styled")
+        for name, pattern in _STATED.items():
+            m = pattern.search(attrs["style"].lower())
+            value = m[1].strip(" ") if m else ""
+            if name == "display":
+                found += ["gone"] if value == "none" else []
+            elif value and (name == "visibility" or value != "transparent"):
+                found.append(name)
+    return found
+
+
 class _Tree(HTMLParser):
-    def __init__(self) -> None:
+    """A page's elements.
+
+    ``anc`` of a node is what its path is made of: its nearest ancestors, and
+    of those above them the nearest of each lasting kind.  That is carried
+    down the stack, so time and memory stay in proportion to the page however
+    deep its elements lie.
+    """
+
+    def __init__(self, skipped: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
+        self.inside_skipped = 0
+        self.count = 0
+        self.videos: list[int] = []
+        self.labels: list[dict] = []  # open ones
+        self.ids: dict[str, dict] = {}
+        self.labels_for: dict[str, list[dict]] = defaultdict(list)
+        self.boxes: list[tuple[dict, dict, dict | None]] = []
         self.nodes: list[dict] = []
+        self.all: list[tuple[int | None, str, str, dict]] = []  # skipped ones too: siblings count them
         self.pieces: list[str] = []
         self.open: list[dict] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
         self.chars = 0
         self.text_joins = False
 
@@ -94,25 +157,75 @@ class _Tree(HTMLParser):
         named: dict[str, str] = {}
         for name, value in attrs:
             named.setdefault(name, value or "")
+        depth = len(self.open)
+        far = parent["_far"] if parent else {}
+        if depth >= NEAR_STEPS:
+            leaving = self.open[depth - NEAR_STEPS]
+            kinds = lasting_kinds(leaving["tag"], leaving["_named"])
+            if kinds:
+                far = far | {kind: leaving["_at"] for kind in kinds}
+        skips = self.inside_skipped or tag in SKIP_TAGS
         node = {
-            "node_no": len(self.nodes), "parent_no": parent["node_no"] if parent else None,
-            "depth": len(self.open), "tag": tag, "attrs": list(named.items()),
-            "anc": [n["node_no"] for n in self.open], "piece_lo": len(self.pieces), "kids": [], "_from": self.chars,
+            "node_no": self.count, "parent_no": parent["node_no"] if parent else None, "depth": depth, "tag": tag,
+            "attrs": list(named.items()), "anc": sorted(set(far.values())) + [n["_at"] for n in self.open[max(0, depth - NEAR_STEPS + 1):]],
+            "piece_lo": len(self.pieces), "kids": [], "label_text": None,
+            "_at": len(self.nodes), "_from": self.chars, "_far": far, "_named": named, "_skips": bool(skips),
         }
-        self.nodes.append(node)
+        self.count += 1
+        self.all.append((node["parent_no"], tag, named.get("class", ""), node))
+        if self.skipped or not skips:
+            self.nodes.append(node)
+        if skips:
+            self.inside_skipped += 1
+        self._note(node, tag, named)
+        self.places[tag].append(len(self.open))
         self.open.append(node)
         self.text_joins = False
         if tag in VOID:
             self._close_to(len(self.open) - 1)
 
+    def _note(self, node: dict, tag: str, named: dict[str, str]) -> None:
+        """Remember what checkboxes need to find their labels, and where videos are."""
+        if tag == "video":
+            self.videos.append(node["node_no"])
+        if named.get("id"):
+            self.ids.setdefault(named["id"], node)
+        if tag == "label":
+            self.labels.append(node)
+            if named.get("for"):
+                self.labels_for[named["for"]].append(node)
+        if tag == "input" and named.get("type", "").lower() == "checkbox":
+            self.boxes.append((node, named, self.labels[-1] if self.labels else None))
+
+    def _text_of(self, node: dict) -> str:
+        return "".join(self.pieces[node["piece_lo"]:node["piece_hi"]])
+
+    def _label_boxes(self) -> None:
+        """Labels tied by ``for`` or by enclosing, then the enclosing one, aria-label, the element that aria-labelledby names."""
+        for box, named, outer in self.boxes:
+            tied = list(self.labels_for.get(named.get("id") or None, ()))
+            if outer is not None and not outer["_named"].get("for"):
+                tied.append(outer)
+            tied = sorted({n["node_no"]: n for n in tied}.items())
+            if tied:
+                box["label_text"] = " ".join(self._text_of(n) for _, n in tied)
+            elif outer is not None:
+                box["label_text"] = self._text_of(outer)
+            else:
+                by = self.ids.get(named.get("aria-labelledby") or None)
+                box["label_text"] = named.get("aria-label") or (self._text_of(by) if by else "")
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
+    def _nearest(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at]["tag"] == tag:
-                self._close_to(at)
-                return
+        at = self._nearest(tag)
+        if at >= 0:
+            self._close_to(at)
 
     def handle_comment(self, data):
         """A comment is a child that is neither text nor an inline element."""
@@ -134,17 +247,19 @@ class _Tree(HTMLParser):
         self.text_joins = True
 
     def _close_open(self, tags, scope):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at]["tag"] in tags:
-                self._close_to(at)
-                return
-            if self.open[at]["tag"] in scope:
-                return
+        at = max(map(self._nearest, tags))
+        if at >= 0 and at >= max(map(self._nearest, scope)):
+            self._close_to(at)
 
     def _close_to(self, at):
         while len(self.open) > at:
             node = self.open.pop()
-            node["sub_end"] = len(self.nodes) - 1
+            self.places[node["tag"]].pop()
+            if node["tag"] == "label":
+                self.labels.pop()
+            if node["_skips"]:
+                self.inside_skipped -= 1
+            node["sub_end"] = self.count - 1
             node["piece_hi"] = len(self.pieces)
             node["text_len"] = self.chars - node.pop("_from")
             if self.open:
@@ -158,10 +273,11 @@ class _Tree(HTMLParser):
             self.close()
         finally:
             self._close_to(0)
+        self._label_boxes()
         same_tag, families = Counter(), defaultdict(list)
-        for node in self.nodes:
-            family = node["parent_no"], node["tag"]
-            tokens = frozenset(t for t in dict(node["attrs"]).get("class", "").split() if not _GENERATED.search(t))
+        for parent_no, tag, classes, node in self.all:
+            family = parent_no, tag
+            tokens = frozenset(t for t in classes.split() if not _GENERATED.search(t))
             same_tag[family] += 1
             families[family].append((node, tokens))
             node["sib_no"] = same_tag[family]
@@ -171,8 +287,8 @@ class _Tree(HTMLParser):
                 node["sib_n"], node["twin"] = same_tag[family], tokens in twins
 
 
-def _tree_of(html: str | None):
-    tree, failed = _Tree(), False
+def _tree_of(html: str | None, skipped: bool = True):
+    tree, failed = _Tree(skipped), False
     try:
         tree.feed(html or "")
         tree.finish()
@@ -193,33 +309,39 @@ _NODE_ARROW = pa.struct([
     *[(name, _INT) for name in ("piece_lo", "piece_hi", "text_len", "sib_no", "sib_n")],
     ("twin", pa.bool_()),
     ("kids", pa.list_(pa.struct([("no", _INT), ("tag", _TEXT), ("lo", _INT), ("hi", _INT)]))),
+    ("label_text", _TEXT),
 ])
 
 
-def _parse_batches(batches, html_col: str, page_chunk: int):
+def _parse_batches(batches, html_col: str, page_chunk: int, skipped: bool):
     for batch in batches:
         kept = [f for f in batch.schema if f.name != html_col]
         schema = pa.schema(kept + [
             pa.field("parse_error", pa.bool_()), pa.field("pieces", pa.list_(_TEXT)),
-            pa.field("nodes", pa.list_(_NODE_ARROW)),
+            pa.field("nodes", pa.list_(_NODE_ARROW)), pa.field("video_nos", pa.list_(_INT)),
         ])
         for start in range(0, batch.num_rows, page_chunk):
             part = batch.slice(start, page_chunk)
-            trees = [_tree_of(html) for html in part.column(html_col).to_pylist()]
-            made = ([failed for _, failed in trees], [t.pieces for t, _ in trees], [t.nodes for t, _ in trees])
+            trees = [_tree_of(html, skipped) for html in part.column(html_col).to_pylist()]
+            made = ([failed for _, failed in trees], [t.pieces for t, _ in trees], [t.nodes for t, _ in trees], [t.videos for t, _ in trees])
             arrays = [part.column(f.name) for f in kept]
             arrays += [pa.array(v, schema.field(len(kept) + i).type) for i, v in enumerate(made)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def parse_pages(pages: DataFrame, html_col: str = "html", page_chunk: int = 64) -> DataFrame:
-    """``pages`` without its HTML, plus ``parse_error``, ``pieces`` and ``nodes``."""
+def parse_pages(pages: DataFrame, html_col: str = "html", page_chunk: int = 64, skipped: bool = True) -> DataFrame:
+    """``pages`` without its HTML, plus ``parse_error``, ``pieces``, ``nodes`` and ``video_nos``.
+
+    ``skipped=False`` leaves out what lies in scripts, styles, templates and
+    the like; numbers of nodes and siblings stay the same.  ``anc`` holds
+    places in ``nodes``.
+    """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out = T.StructType([f for f in pages.schema.fields if f.name != html_col])
-    for name, ddl in (("parse_error", "boolean"), ("pieces", "array<string>"), ("nodes", f"array<{NODE_TYPE}>")):
+    for name, ddl in (("parse_error", "boolean"), ("pieces", "array<string>"), ("nodes", f"array<{NODE_TYPE}>"), ("video_nos", "array<int>")):
         out = out.add(name, T.DataType.fromDDL(ddl))
 
     def run(batches):
-        return _parse_batches(batches, html_col, page_chunk)
+        return _parse_batches(batches, html_col, page_chunk, skipped)
 
     return pages.mapInArrow(run, out)
