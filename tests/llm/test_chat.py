@@ -29,14 +29,15 @@ def test_branches_of_a_tree_are_ranked_and_read_back(spark):
     got = {(r["tree"], r["branch"]): ([tuple(t) for t in r["turns"]], r["told"], r["leaf"]) for r in out.collect()}
     assert got == {
         ("t", 1): ([("user", "q"), ("assistant", "b"), ("user", SAYS[3]), ("assistant", SAYS[4])], "b" + SAYS[4], 5),
-        ("t", 2): ([("user", "q"), ("assistant", SAYS[0])], SAYS[0], 2), ("u", 1): ([("", "")], "", 1)}
+        ("t", 2): ([("user", "q"), ("assistant", SAYS[0])], SAYS[0], 2), ("u", 1): ([("", "")], "", 1),
+        (None, 1): ([("user", "x")], "", 1)}
     assert [(r["tree"], r["leaf"]) for r in chat.format_trees(df, branches=1).collect() if r["tree"] == "t"] == [("t", 5)]
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
 def test_a_long_chain_and_repeated_turns(spark):
     rows = [(1, i // 2, "user" if i % 2 else "assistant", f"t{i}") for i in range(70)]
-    df = spark.createDataFrame(rows + rows[:1] + [(None, 0, "user", "x"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(rows + rows[:1] + [(None, 0, "user", "x"), (None, None, "user", "y"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
     got = {r["tree"]: r for r in chat.format_trees(chat.as_trees(df)).select("tree", "n_turns", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
-    assert set(got) == {1, 2} and got[1]["n_turns"] == 71
+    assert set(got) == {1, 2, None} and got[1]["n_turns"] == 71 and got[None]["n_turns"] == 2
     assert [t["text"] for t in got[1]["turns"]][:4] == ["t0", "t0", "t1", "t2"]

@@ -51,3 +51,15 @@ def test_rows_without_id_have_coins_of_their_own(spark):
     for r in corpus_pipeline.mix_sources(spark, df, "").collect():
         taken[r["source"]] = taken.get(r["source"], 0) + 10
     assert all(abs(taken.get(s, 0) - t) <= 0.1 * t for s, t in target.items()) and any(t % 3000 for t in target.values())
+
+
+def test_the_query_meets_its_targets_without_ids(spark, tmp_path):
+    from uipatterns.llm.queries import QUERIES
+
+    rows = [(None, f"a{i} " * 100, "en", "s0", 1) for i in range(3000)] + [(i, f"b{i} " * 100, "en", f"s{1 + i % 2}", 1) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    taken, target = {}, {}
+    for r in QUERIES["op3_mixing"](spark, str(tmp_path)).collect():
+        key = r["source_size"] if r["doc_id"] is None else -1
+        taken[key], target[key] = taken.get(key, 0) + r["taken"], r["target"]
+    assert abs(taken[300_000] - target[300_000]) < 0.02 * target[300_000] and target[300_000] % 300_000

@@ -4,10 +4,10 @@ from uipatterns.llm.topk import exact_top_k, search_block
 
 
 def brute(rows, k):
-    best = {}
-    for a, v in rows.items():
+    best, rows = {}, list(rows.items()) if isinstance(rows, dict) else rows
+    for a, v in rows:
         if a % 2 == 0:
-            found = sorted((-sum(x * y for x, y in zip(v, w)), b) for b, w in rows.items() if b != a and len(w) == len(v))[:k]
+            found = sorted((-sum(x * y for x, y in zip(v, w)), b) for b, w in rows if b != a and len(w) == len(v))[:k]
             best[a] = [(b, -s) for s, b in found]
     return best
 
@@ -35,7 +35,15 @@ def test_odd_rows_and_blocks(spark):
     got = {}
     for r in exact_top_k(df, "vec_id % 2 = 0", k=5, query_block=40, row_block=30, width=2).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    plain = {i: [int(np.floor(64 * x)) for x in v] for i, v, _ in rows[:120]}
-    want = brute(plain | {506: [0] * 6, 508: [64, 128], 509: [64, 128]}, 5)
+    plain = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in rows[:120] + rows[-1:]]  # the repeated row counts twice
+    want = brute([*plain, (506, [0] * 6), (508, [64, 128]), (509, [64, 128])], 5)
     assert {q: [x[r] for r in sorted(x)] for q, x in got.items()} == {q: w for q, w in want.items() if w}
     assert exact_top_k(df.limit(0), "vec_id % 2 = 0").count() == 0
+
+
+def test_rows_that_share_an_id_all_count(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 2.0]), (2, [3.0, 0.0]), (3, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"] // 4096) for r in exact_top_k(df, "vec_id % 2 = 0", k=3).collect())
+    one, two = [(3, 6), (1, 2), (1, 2)], [(3, 6), (1, 3), (1, 0)]  # of [1, 2] and of [3, 0]
+    assert got == sorted((2, i + 1, *x) for found in (one, two) for i, x in enumerate(found))

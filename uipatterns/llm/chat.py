@@ -69,15 +69,17 @@ def format_trees(
     formatted, loss (array of [start, stop) code points whose text the model
     learns: the escaped texts of role ``learn``).
 
-    Nulls: a null text or role is empty; rows without tree or node take no
-    part (nothing can refer to them).  Of rows that repeat (tree, node) the
+    Nulls: a null text or role is empty; null is a tree like any other; rows
+    without node take no part (nothing can refer to them).  Of rows that repeat (tree, node) the
     smallest (parent, role, text) counts.  Missing parents and cycles: no
     path.  Extra columns are ignored.  Empty table: empty result.
     """
     folder = folder or shared_folder(messages.sparkSession, "chat")
     score = F.col("score").cast("double") if "score" in messages.columns else F.lit(0.0)
-    rows = messages.filter("tree is not null and node is not null").select(
-        "tree", "node", F.struct("parent", F.coalesce("role", F.lit("")).alias("role"),
+    # Joins and groups see a struct, which is never null, so null is a tree of its own.
+    tree = F.struct(F.col("tree").isNull().alias("none"), F.col("tree").alias("id")).alias("tree")
+    rows = messages.filter("node is not null").select(
+        tree, "node", F.struct("parent", F.coalesce("role", F.lit("")).alias("role"),
                                  F.coalesce("text", F.lit("")).alias("text"), F.coalesce(score, F.lit(0.0)).alias("score")).alias("m"))
     rows = written(rows.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"), folder, "messages")
     paths = root_paths(rows, folder)
@@ -105,7 +107,7 @@ def format_trees(
         "tree", "leaf", "path_score", "n_turns", F.array_join(F.transform("turns", lambda x: x["t"]), "").alias("formatted"),
         F.aggregate("turns", zero, step)["spans"].alias("loss"))
     order = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("n_turns"), "leaf")
-    return out.select("tree", F.row_number().over(order).alias("branch"), "leaf", "path_score", "n_turns", "formatted", "loss")
+    return out.select(F.col("tree.id").alias("tree"), F.row_number().over(order).alias("branch"), "leaf", "path_score", "n_turns", "formatted", "loss")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -129,7 +131,7 @@ def as_trees(conversations: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as trees: each row answers the one before it.
 
     Rows of one turn number follow each other by role, then text; repeated
-    rows are separate turns.  A null conv_id takes no part.
+    rows are separate turns; a null turn comes first.  A null conv_id is a conversation.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))

@@ -54,6 +54,7 @@ def coin(seed: int, *key: Column) -> Column:
 def repetition_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, by_text: bool = False,
+    also: Column | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies of each row.
 
@@ -67,7 +68,7 @@ def repetition_plan(
     source of its own, last in order.  Null id: one coin for all such rows;
     rows that share an id are likewise taken or left together.  With
     ``by_text`` the text is part of the coin's key, so that only equal rows
-    (id and text) share one.  Repeated rows: each is a row of its own, with equal coins.  Empty table:
+    (id and text) share one; ``also`` is a part of the key of one's own.  Repeated rows: each is a row of its own, with equal coins.  Empty table:
     empty result.  New columns whose names are taken get an underscore.
     """
     size, source_size, target, rate, copies = spare(docs, "size", "source_size", "target", "rate", "copies")
@@ -78,7 +79,7 @@ def repetition_plan(
     targets = source_targets(sizes, weight, share, most).toDF("_source", source_size, target, rate)
     joined = sized.join(targets, sized[source_col].eqNullSafe(targets["_source"]), "left").drop("_source")
     whole = F.floor(F.col(rate))
-    more = coin(seed, F.col(id_col), *[text_key(text_col)] * by_text) < F.col(rate) - whole
+    more = coin(seed, F.col(id_col), *[text_key(text_col)] * by_text, *([] if also is None else [also])) < F.col(rate) - whole
     return joined.withColumn(copies, (whole + more.cast("long")).cast("long"))
 
 

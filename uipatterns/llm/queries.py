@@ -28,11 +28,11 @@ def query(name: str, sql: str | None = None):
 
 
 TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e, row_number() OVER () AS n FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
-  FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM p)
+q AS (SELECT vec_id, e, min(n) AS n FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, e),
+p AS (SELECT q.n, q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM q JOIN v ON q.vec_id <> v.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM p)
 SELECT * FROM r WHERE "rank" <= 20"""
 
 
@@ -61,7 +61,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS of_text FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, list_extract([5.0::DOUBLE, 2.0, 1.0], 1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3) AS weight,
   row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
@@ -72,16 +72,16 @@ c AS (SELECT *, row_number() OVER o AS need,
 l AS (SELECT min_by(before, need) AS level FROM c WHERE NOT 2.0 * source_size <= before * weight),
 t AS (SELECT source, source_size, CASE WHEN 2.0 * source_size <= before * weight OR level IS NULL
   THEN 2.0 * source_size ELSE level * weight END::DOUBLE AS target FROM c, l),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate
+r AS (SELECT doc_id, of_text, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT
-  + (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken
+  + (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || of_text), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken
 FROM r"""
 
 
 @query("op3_mixing", MIX_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.repetition_plan(table(spark, sf_dir, "documents"))
+    plan = mixing.repetition_plan(table(spark, sf_dir, "documents"), also=F.md5(F.coalesce("text", F.lit(""))))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -103,10 +103,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learned,
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learned,
   sum(23 + length(regexp_replace(role, '([\\<\[])', '\1\\', 'g')) + length(regexp_replace(text, '([\\<\[])', '\1\\', 'g'))) AS formatted_chars
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,

@@ -13,13 +13,21 @@ from uipatterns.llm.common import by_value
 
 by_value(__name__)
 
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_id long, qk long, vec_id long, score long, copies long"
 
 
 def search_block(
     q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, width: int = 16, batch: int = 64,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best rows of a block for each query: (query index, id, score).
+    """The ``k`` best rows of a block for each query: (query index, id, score)."""
+    qi, row, score = search_rows(q_ids, q, ids, v, k, width, batch)
+    return qi, ids[row], score
+
+
+def search_rows(
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, width: int = 16, batch: int = 64,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of a block for each query: (query index, row, score); rows of the query's id are its own.
 
     The block lies in vertical layout: one contiguous array for each block of
     ``width`` dimensions, those of most mass first.  Scores accumulate block
@@ -65,25 +73,26 @@ def search_block(
                 keep = np.lexsort((alive, -partial))[:k]
                 alive, partial = alive[keep], partial[keep]
             out_q.append(np.full(len(alive), qi))
-            out_id.append(ids[alive])
+            out_id.append(order[alive])
             out_s.append(partial.astype(np.int64))
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
 
 
 def _cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
     if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        return pd.DataFrame({c: [] for c in ("query_id", "qk", "vec_id", "score", "copies")}, dtype="int64")
     q_ids, ids = queries["id"].to_numpy("int64"), rows["id"].to_numpy("int64")
-    qi, vec, score = search_block(q_ids, np.stack(queries["v"].to_numpy()), ids, np.stack(rows["v"].to_numpy()), k, width)
-    return pd.DataFrame({"query_id": q_ids[qi], "vec_id": vec, "score": score})
+    qi, row, score = search_rows(q_ids, np.stack(queries["v"].to_numpy()), ids, np.stack(rows["v"].to_numpy()), k, width)
+    return pd.DataFrame({"query_id": q_ids[qi], "qk": queries["qk"].to_numpy()[qi], "vec_id": ids[row], "score": score,
+                         "copies": np.minimum(rows["copies"].to_numpy()[row], k)})
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v): floor(scale * x) of each component, in double precision; vectors with a null or non-finite component are left out."""
+    """(id, v, copies): floor(scale * x) of each component, in double precision, and how many rows are so; vectors with a null or non-finite component are left out."""
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     whole = F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double")))
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~bad).groupBy(
-        F.col(id_col).cast("long").alias("id")).agg(F.max(whole).alias("v"))
+        F.col(id_col).cast("long").alias("id"), whole.alias("v")).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def exact_top_k(
@@ -102,20 +111,21 @@ def exact_top_k(
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id.
     A query with fewer than ``k`` others gets all of them.  Null vectors, null
     ids, null or non-finite components: no part.  Vectors of different lengths
-    aren't compared.  Of rows that repeat an id the largest vector counts.
-    Zero vectors take part.  Empty table: empty result.
+    aren't compared.  Rows that repeat an id are candidates each; as queries,
+    each different vector of an id has its own ranks.  Zero vectors take part.  Empty table: empty result.
     """
     ints = integer_vectors(vectors, id_col, vector_col, scale)
     n_rows = vectors.count()
     n_queries = vectors.filter(f"`{id_col}` is not null").filter(F.expr(is_query)).count()
     slices, groups = max(1, math.ceil(n_rows / row_block)), max(1, math.ceil(n_queries / query_block))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     length = F.size("v").alias("d")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     named = ints.withColumnRenamed("id", id_col).filter(F.expr(is_query)).withColumnRenamed(id_col, "id")
-    queries = named.select(length, part(groups).alias("g"), spread(slices).alias("s"), "id", "v")
-    rows = ints.select(length, part(slices).alias("s"), spread(groups).alias("g"), "id", "v")
+    queries = named.select(length, part(groups).alias("g"), spread(slices).alias("s"), "id", "v", F.xxhash64("v").alias("qk"))
+    rows = ints.select(length, part(slices).alias("s"), spread(groups).alias("g"), "id", "v", "copies")
     key = ["d", "g", "s"]
     found = queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(lambda a, b: _cell(a, b, k, width), OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    order = Window.partitionBy("query_id", "qk").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
