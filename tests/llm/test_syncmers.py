@@ -20,7 +20,8 @@ def hash_of(*values):
 
 
 def sketch(text):
-    words = [hash_of(w) for w in re.findall(r"[぀-ヿ㐀-鿿]|[^\x20\x09-\x0D぀-ヿ㐀-鿿]{1,32}", text or "")]
+    words = [hash_of(s) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")
+             for s in ([w] if len(w.encode()) <= 32 else re.findall(r"[぀-ヿ㐀-鿿]|[^぀-ヿ㐀-鿿]{1,32}", w))]
     if not words:
         return []
     a = [PAD] * (K - 1) + words + [PAD] * (K - 1)

@@ -1,7 +1,7 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text's symbols are its words (ideographs and kana each by itself, long runs
-in pieces).  A k-mer of symbols is an anchor if the smallest of its inner
+A text's symbols are its words; a word of more than 32 bytes is cut, into
+ideographs and kana by themselves and runs of others.  A k-mer of symbols is an anchor if the smallest of its inner
 s-mers, by hash, is its first or its last.  That depends on nothing outside
 the k-mer, so an edit touches only the anchors that overlap it.  The text is
 padded, so its first and last words are in anchors too and a text of one word
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from uipatterns.llm.common import shared_folder, written
 
-#: A symbol: one ideograph or kana, or up to 32 other characters without white space.
-SYMBOL = r"[぀-ヿ㐀-鿿]|[^\x20\x09-\x0D぀-ヿ㐀-鿿]{1,32}"
+LONG_WORD = 32
+#: What a long word is cut into: one ideograph or kana, or up to 32 other characters.
+SYMBOL = r"[぀-ヿ㐀-鿿]|[^぀-ヿ㐀-鿿]{1,32}"
 #: Hash of the padding: above all others, so an s-mer that holds it is the smallest of none.
 PAD = 2 ** 63 - 1
 
@@ -30,7 +31,14 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def anchors(text: Column, k: int = 5, s: int = 2) -> Column:
     """The closed syncmers of a text: array of (hash of 48 bits, place of the first symbol)."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), lambda w: F.xxhash64(w))
+    def cut(found: Column) -> Column:
+        parts = F.flatten(F.transform(found, lambda w: F.when(
+            F.octet_length(w) > LONG_WORD, F.regexp_extract_all(w, F.lit(SYMBOL), F.lit(0))).otherwise(F.array(w))))
+        return F.when(F.exists(found, lambda w: F.octet_length(w) > LONG_WORD), parts).otherwise(found)
+
+    # No word is empty but for white space at either end.
+    found = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.octet_length(w) > 0)
+    words = F.transform(let(found, cut), lambda w: F.xxhash64(w))
     pad = F.array_repeat(F.lit(PAD), k - 1)
 
     def inner(a: Column, i: Column) -> Column:
@@ -79,22 +87,24 @@ def likeness(one: Column, other: Column, size: int = 64) -> Column:
     def hashes(a: Column) -> Column:
         return F.transform(a, lambda x: x["h"])
 
-    def compare(a: Column, b: Column) -> Column:
-        smallest = F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, size)
+    def share(m: Column, alone: Column, u: Column) -> Column:
+        agree = F.filter(m, lambda x, i: alone | F.coalesce(x["shift"] == F.get(m, i - 1)["shift"], F.lit(False))
+                         | F.coalesce(x["shift"] == F.get(m, i + 1)["shift"], F.lit(False)))
+        return F.size(agree).cast("double") / F.size(u)
 
-        def share(m: Column, u: Column) -> Column:
-            alone = F.least(F.size(a), F.size(b)) == 1
-            agree = F.filter(m, lambda x, i: alone | F.coalesce(x["shift"] == F.get(m, i - 1)["shift"], F.lit(False))
-                             | F.coalesce(x["shift"] == F.get(m, i + 1)["shift"], F.lit(False)))
-            return F.size(agree).cast("double") / F.size(u)
+    def matched(a: Column, b: Column, held: Column) -> Column:
+        both = [F.filter(x, lambda y: F.array_contains(held, y["h"])) for x in (a, b)]  # each in order of hash
+        return F.array_sort(F.zip_with(*both, lambda x, y: F.named_struct(F.lit("at"), x["at"], F.lit("shift"), x["at"] - y["at"])))
 
-        def matched(u: Column) -> Column:
-            held = F.array_intersect(F.array_intersect(hashes(a), hashes(b)), u)
-            there = F.filter(a, lambda x: F.array_contains(held, x["h"]))
-            here = F.filter(b, lambda x: F.array_contains(held, x["h"]))  # both in order of hash
-            return F.array_sort(F.zip_with(there, here, lambda x, y: F.named_struct(F.lit("at"), x["at"], F.lit("shift"), x["at"] - y["at"])))
+    def compare(a: Column, b: Column) -> Column:
+        def of(ha: Column, hb: Column) -> Column:
+            alone = F.least(F.size(a), F.size(b)) == 1
+            smallest = F.slice(F.array_sort(F.array_union(ha, hb)), 1, size)
+            return let(smallest, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
+                let(F.array_intersect(F.array_intersect(ha, hb), u), lambda held: let(
+                    matched(a, b, held), lambda m: share(m, alone, u)))))
 
-        return let(smallest, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(let(matched(u), lambda m: share(m, u))))
+        return let(hashes(a), lambda ha: let(hashes(b), lambda hb: of(ha, hb)))
 
     return let(parsed(one), lambda a: let(parsed(other), lambda b: compare(a, b)))
 
