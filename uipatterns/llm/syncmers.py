@@ -157,7 +157,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     given = given.withColumn("mark", F.xxhash64("text"))
     chain = order_chain(given.groupBy("key", "mark").agg(F.max("id").alias("id"), F.max(F.length("text")).alias("n")), folder)
     chain = written(chain, folder, "chain")
-    rows = given.groupBy("key", "mark").agg(F.max("id").alias("id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies")).join(chain, ["key", "mark"])
+    # One aggregate of all that both sides of the join below read: then they share its shuffle, and a text moves once.
+    rows = given.groupBy("key", "mark").agg(F.max(F.struct("id", "text")).alias("row"), F.count(F.lit(1)).alias("copies")).filter("copies > 0")
+    rows = rows.select("key", "mark", "copies", "row.id", "row.text").join(chain, ["key", "mark"])
     gives = rows.select(
         F.col("before.key").alias("key"), F.col("before.mark").alias("mark"),
         F.substring("text", F.lit(1), F.floor(F.col("before.n") / 3).cast("int")).alias("start"), fingerprint(F.col("text"), size, k, s).alias("next"))
