@@ -81,7 +81,9 @@ FROM r"""
 
 @query("op3_mixing", MIX_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.repetition_plan(table(spark, sf_dir, "documents"), also=F.md5(F.coalesce("text", F.lit(""))))
+    # The text's digest goes into the join with the sources, the text doesn't.
+    docs = table(spark, sf_dir, "documents").withColumn("of_text", F.md5(F.coalesce("text", F.lit(""))))
+    plan = mixing.repetition_plan(docs, also=F.col("of_text"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
