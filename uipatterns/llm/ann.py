@@ -164,11 +164,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def fitted_ratio(points: np.ndarray, centroids: np.ndarray, graph: np.ndarray, k: int, recall: float, replicate: float, copies: int, queries: int = 500) -> float:
     """The ratio at which the lists of a query held ``recall`` of its ``k`` best among the sample.
 
-    ``points`` are lifted rows, the first ``queries`` of them (in order of a
-    hash) ask.  Neighbours in a sample lie further away than those among all
+    ``points`` are lifted rows in order of a hash.  The last ``queries`` of
+    them ask: centroids start at the first ones, and lie too near to those.
+    Neighbours in a sample lie further away than those among all
     rows, so for a larger table the ratio is on the safe side.
     """
-    asked = np.concatenate([points[:queries, :-1], np.zeros((min(queries, len(points)), 1))], axis=1)
+    first = max(0, len(points) - queries)
+    asked = np.concatenate([points[first:, :-1], np.zeros((len(points) - first, 1))], axis=1)
     k = min(k, len(points) - 1)
     if k < 1:
         return 0.0
@@ -179,7 +181,7 @@ def fitted_ratio(points: np.ndarray, centroids: np.ndarray, graph: np.ndarray, k
     needed = []
     for i, q in enumerate(asked):
         score = points @ q
-        score[i] = -np.inf
+        score[first + i] = -np.inf
         best = np.argpartition(-score, k - 1)[:k]
         needed += [far[i, lists[start[b]:start[b + 1]]].min() for b in best]
     return float(np.quantile(needed, recall, method="higher"))
@@ -187,7 +189,7 @@ def fitted_ratio(points: np.ndarray, centroids: np.ndarray, graph: np.ndarray, k
 
 def build_index(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, sample_bytes: int = 32 << 20, most_lists: int = 4_096,
-    replicate: float = 0.05, copies: int = 2, group_rows: int = 16_384, recall: float = 0.95, k: int = 20, folder: str | None = None,
+    replicate: float = 0.05, copies: int = 2, group_rows: int = 16_384, recall: float = 0.94, k: int = 20, folder: str | None = None,
 ) -> Index | None:
     """Posting lists over all usable rows.
 
