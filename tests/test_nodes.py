@@ -203,3 +203,77 @@ def test_page_report_parses_once(spark, page):
     assert sorted((r.page_id, r.candidates, r.findings) for r in df.collect()) == [(1, 4, 2), (1, 4, 2), (2, 0, 0), (3, 3, 2)]
     plan = page_report(page(body))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+SCOPED = (
+    '<div id="h"><template shadowrootmode="open"><p class="a">in root</p><p>next one</p><my-tag><template shadowrootmode="open"><b>inner root</b>'
+    '</template>light text</my-tag></template><p class="a">in light</p></div><p>after it</p>'
+    '<iframe srcdoc="&lt;body&gt;&lt;p&gt;in frame&lt;/p&gt;&lt;label for=x&gt;Offers&lt;/label&gt;&lt;input type=checkbox id=x&gt;&lt;/body&gt;"></iframe>'
+)
+
+
+def test_shadow_roots_and_frames_are_scopes(page):
+    rows = N.explode_nodes(page(SCOPED)).filter("tag IN ('p', 'b', 'my-tag')").select(
+        "node_no", "leaf_text", "parent_no", N.stable_selector().alias("s"), "scope.no", "scope.kind", "scope.host_no").orderBy("node_no").collect()
+    # 0 html, 1 body, 2 div, 3 p, 4 p, 5 iframe; 6-8 the outer root; 9 the inner root; 10 body, 11 p ... of the frame
+    assert [tuple(r) for r in rows] == [
+        (3, "in light", 2, "div#h > p", 0, "document", None), (4, "after it", 1, "html > body > p", 0, "document", None),
+        (6, "in root", None, "p:nth-of-type(1)", 1, "shadow", 2), (7, "next one", None, "p:nth-of-type(2)", 1, "shadow", 2),
+        (8, "light text", None, "my-tag", 1, "shadow", 2), (9, "inner root", None, "b", 2, "shadow", 8),
+        (11, "in frame", 10, "body > p", 3, "frame", 5)]
+    box = N.explode_nodes(page(SCOPED), candidates_only=True, kinds=True).filter("kind = 'checkbox'").collect()
+    assert [(b.label_text, b.scope.no, b.node_no) for b in box] == [("Offers", 3, 13)]
+    host = N.explode_nodes(page(SCOPED), text_content=True).filter("node_no = 2").first()
+    assert host.text_content == "in light" and host.sub_end == 3
+
+
+def test_scopes_that_nobody_reaches(page):
+    """Closed roots, roots on elements that can't host one, second roots, frames from elsewhere, anything in skipped parts."""
+    root = '<template shadowrootmode="open"><p>in here</p></template>'
+    frame = '<iframe srcdoc="<p>in here</p>"{}></iframe>'
+    for body, n in ((f"<div>{root}</div>", 1), (f"<b>{root}</b>", 0), (f"<div>{root}{root}</div>", 1), (f"<noscript><div>{root}</div></noscript>", 0),
+                    (f"<div>{root.replace('open', 'closed')}</div>", 0), (f"<template><div>{root}</div></template>", 0), (frame.format(""), 1),
+                    (frame.format(" sandbox"), 0), (frame.format(' sandbox="allow-same-origin"'), 1), ('<iframe srcdoc=""></iframe>', 0)):
+        assert texts(page_candidates(page(body)).filter("scope_no > 0")) == ["in here"] * n, body
+
+
+def test_text_of_a_template_belongs_to_nothing(page):
+    rows = N.explode_nodes(page("<div><b>ab<template><i>no</i></template>cd</b></div>"), text_content=True).filter("tag IN ('div', 'b')")
+    # a template is no inline child, so only the outer element is a leaf
+    assert [(r.leaf_text, r.text_content) for r in rows.orderBy("node_no").collect()] == [("abcd", "abcd"), (None, "abcd")]
+
+
+def test_hidden_hosts_hide_their_scopes(page):
+    root, lit = '<template shadowrootmode="open"><p>in here</p></template>', '<template shadowrootmode="open"><p style="visibility:visible">in here</p></template>'
+    frame = '<iframe srcdoc="<p>in here</p>"></iframe>'
+    for body, shown in (
+        (f'<div hidden>{root}</div>', False), (f'<div style="display:none"><div>{root}</div></div>', False), (f'<div hidden>{frame}</div>', False),
+        (f'<div style="visibility:hidden">{root}</div>', False), (f'<div style="visibility:hidden">{lit}</div>', True),
+        (f'<div style="visibility:hidden">{frame}</div>', True), (f'<div hidden>{"<i>" * 40}<div>{root}</div></div>', False),
+        (f'<div hidden><div><template shadowrootmode="open"><div>{root}</div></template></div></div>', False),
+        (f'<div style="opacity:0"><div>{root}</div></div>', True), (f'<div aria-hidden="true"><div>{root}</div></div>', True),
+    ):
+        assert texts(page_candidates(page(body))) == ["in here"] * shown, body
+
+
+def test_steps_within_a_page_stay_in_their_scope(page):
+    """Equal texts of host and root are no nested duplicates; one id stands for one selector and text."""
+    twice = '<div><template shadowrootmode="open"><p>Only 3 left</p></template><span>Only 3 left</span></div>'
+    got = sorted(tuple(r) for r in page_candidates(page(twice + twice)).select("text", "tag", "scope_no").collect())
+    assert got == [("Only 3 left", "p", 1), ("Only 3 left", "span", 0), ("Only 3 left", "span", 0)]
+
+
+def test_many_and_deep_scopes_take_linear_time():
+    import time
+
+    from uipatterns.sources.html import _tree_of
+
+    def took(n):
+        start = time.process_time()
+        deep = '<div><template shadowrootmode="open">' * n + "<p>x</p>" + "</template></div>" * n
+        tree, failed = _tree_of(deep + '<iframe srcdoc="<p>x</p>"></iframe>' * n)
+        assert not failed and len(tree.scopes) == 2 * n + 1 and len(tree.nodes) == 3 * n + 1
+        return time.process_time() - start
+
+    took(500)
+    assert took(8_000) < 8 * took(2_000) + 0.5

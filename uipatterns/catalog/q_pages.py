@@ -44,6 +44,27 @@ def x01(spark, sf):
     return N.explode_nodes(I.pages(spark, sf)).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+_OPEN, _END = '<template shadowrootmode="open">', "</template>"
+_SCOPES = [
+    f"<div>{_OPEN}<p>#</p>{_END}</div>", '<iframe srcdoc="&lt;body&gt;&lt;p&gt;#&lt;/p&gt;&lt;b&gt;-&lt;/b&gt;&lt;/body&gt;"></iframe>',
+    f"<div hidden>{_OPEN}<p>#</p>{_END}</div>", f"<div>{_OPEN.replace('open', 'closed')}<p>#</p>{_END}</div>",
+    f"<div>{_OPEN}<my-card>{_OPEN}<i><b>#</b></i>{_END}</my-card>{_END}</div>", f"<b>{_OPEN}<p>#</p>{_END}</b>",
+    '<iframe sandbox srcdoc="<p>#</p>"></iframe>', f"<div>{_OPEN}<s>-</s><s>#</s>{_END}<p>#</p></div>"]
+
+
+@query("x01_scopes",
+       """SELECT page_id, scope_no::INT AS scope_no, selector, text FROM (
+          SELECT p_partkey // 32 AS page_id, p_partkey % 8 AS form, p_name || ' no ' || p_partkey AS text,
+          p_partkey % 32 + 1 AS k,
+          sum(CASE p_partkey % 8 WHEN 4 THEN 2 WHEN 3 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey // 32 ORDER BY p_partkey) AS n,
+          count(*) OVER (PARTITION BY p_partkey // 32) AS items FROM part) JOIN (VALUES
+          (0, 1, 'p'), (1, 1, 'body > p'), (4, 1, 'i > b'), (7, 1, 's:nth-of-type(2)'), (7, 0, '')) f(form, inner_scope, own) USING (form),
+          LATERAL (SELECT CASE inner_scope WHEN 1 THEN n ELSE 0 END AS scope_no,
+          CASE inner_scope WHEN 1 THEN own ELSE 'html > body > ul > li' || CASE WHEN items > 1 THEN ':nth-of-type(' || k || ')' ELSE '' END || ' > div > p' END AS selector)""")
+def x01_scopes(spark, sf):
+    return C.page_candidates(I.part_pages(spark, sf, _SCOPES)).select("page_id", "scope_no", "selector", "text")
+
+
 @query("x02_prune", f"SELECT page_id, tag, count(*) AS n FROM ({_KEPT}) GROUP BY ALL")
 def x02(spark, sf):
     return N.prune(N.explode_nodes(I.pages(spark, sf))).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))

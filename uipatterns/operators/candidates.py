@@ -68,7 +68,7 @@ def extract_candidates(
         "page_id", "url", "lang", infer_step(F.col("url")).alias("step"),
         "node_no", "parent_no", "sub_end", "depth", "tag", "attrs", only(F.col("text")).alias("text"), "run_text",
         *(["kind", "label_text"] if tagged else []),
-        stable_selector().alias("selector"),
+        stable_selector().alias("selector"), F.col("scope.no").alias("scope_no"),
         (F.exists("text_parts", lambda t: trim_space(t) != "") | ~plain).alias("own"),
         F.transform(ancestors(NEAR_SCOPES), lambda n: F.struct(n["node_no"].alias("no"), n["sub_end"].alias("end"))).alias("scopes"),
         F.coalesce(_last_above(lambda n: ~n["tag"].isin(GROUP_INLINE)), F.lit(-1)).alias("block_no"),

@@ -81,6 +81,14 @@ def explode_nodes(
     ``candidates_only=True`` also leaves out elements without a usable one
     before their paths are built, and skipped subtrees in the parser.
 
+    Open shadow roots (``<template shadowrootmode="open">``) and documents of
+    same-origin ``srcdoc`` frames are scopes of their own, numbered after the
+    document: their paths, selectors and siblings end at the scope's root.
+    ``scope`` tells the scope's number (0: the document), its kind
+    (``document``, ``shadow`` or ``frame``), the element that hosts it, and
+    whether that host is ``gone`` or ``dark`` (invisible).  Closed roots and
+    frames from elsewhere can't be reached, as in a browser.
+
     ``kinds=True`` (with ``candidates_only``) emits rows of several kinds from
     the one parse: ``candidate``, ``checkbox`` with its ``label_text``,
     ``button`` if ``buttons`` is set, and one ``page`` for each page, with or
@@ -127,10 +135,13 @@ def explode_nodes(
             named.append(F.when(is_button(x["n"]["tag"], x["n"]["attrs"]), "button"))
         return F.array_compact(F.array(*named))
 
-    def shape(pieces: Column, briefs: Column, x: Column) -> Column:
+    def shape(pieces: Column, briefs: Column, scopes: Column, x: Column) -> Column:
         n, t = x["n"], x["t"]
         run = F.when(n["text_len"] <= MAX_TEXT, joined(_slice_text(pieces, n["piece_lo"], n["piece_hi"])))
+        on = F.get(scopes, n["scope_no"])
         fields = [
+            F.struct(n["scope_no"].alias("no"), on["kind"].alias("kind"), on["host_no"].alias("host_no"),
+                     on["gone"].alias("gone"), on["dark"].alias("dark")).alias("scope"),
             *[n[c].alias(c) for c in ("node_no", "parent_no", "depth", "sub_end", "tag", "attrs")],
             n["twin"].alias("is_card"), F.transform(F.concat(n["anc"], F.array(x["i"])), lambda a: briefs[a]).alias("path"),
             t["text_parts"].alias("text_parts"), t["leaf_text"].alias("leaf_text"), run.alias("run_text"),
@@ -145,17 +156,17 @@ def explode_nodes(
         return F.struct(*fields)
 
     def spread(page: Column) -> Column:
-        nodes, pieces = page["nodes"], page["pieces"]
+        nodes, pieces, scopes = page["nodes"], page["pieces"], page["page_scopes"]
         briefs = F.transform(nodes, brief)
         rows = F.transform(nodes, lambda n, i: F.struct(n.alias("n"), texts(pieces, n).alias("t"), i.alias("i")))
         if kinds:
             rows = F.filter(rows, lambda x: F.size(row_kinds(x)) > 0)
         elif candidates_only:
             rows = F.filter(rows, usable)
-        return bind(briefs, lambda b: F.transform(rows, lambda x: shape(pieces, b, x)))
+        return bind(briefs, lambda b: F.transform(rows, lambda x: shape(pieces, b, scopes, x)))
 
-    kept = [c for c in parsed.columns if c not in ("pieces", "nodes")]
-    rows = bind(F.struct("nodes", "pieces"), spread)
+    kept = [c for c in parsed.columns if c not in ("pieces", "nodes", "page_scopes")]
+    rows = bind(F.struct("nodes", "pieces", "page_scopes"), spread)
     if not kinds:
         return parsed.select(*kept, F.inline(rows))
     spread_rows = parsed.select(*kept, F.posexplode_outer(rows).alias("_at", "_row")).select(*kept, "_at", "_row.*")
@@ -220,7 +231,7 @@ def style_value(style: Column, prop: str) -> Column:
 
 
 def visible_only(nodes: DataFrame) -> DataFrame:
-    """Drop what the page hides through inline style or the ``hidden`` attribute."""
+    """Drop what the page hides through inline style or the ``hidden`` attribute, on the element, above it or above its scope's host."""
     return nodes.filter(is_visible())
 
 
@@ -231,15 +242,15 @@ def is_visible() -> Column:
     def gone(n: Column) -> Column:
         return F.coalesce(style_value(n["style"], "display") == "none", F.lit(False)) | n["hidden"]
 
-    # Visibility is inherited: the nearest stated value counts.
+    # Visibility is inherited, also into a shadow root: the nearest stated value counts.
     stated = F.filter(
         F.transform(F.filter(path, lambda n: n["style"].isNotNull()), lambda n: style_value(n["style"], "visibility")),
         lambda v: v.isNotNull(),
     )
-    invisible = F.coalesce(F.try_element_at(stated, F.lit(-1)) == "hidden", F.lit(False))
+    invisible = F.coalesce(F.try_element_at(stated, F.lit(-1)) == "hidden", F.col("scope.dark"), F.lit(False))
     faded = F.coalesce(style_value(me["style"], "opacity").try_cast("double") == 0.0, F.lit(False))
     pinned = F.coalesce(style_value(me["style"], "position").isin("fixed", "sticky"), F.lit(False))
-    return ~(gone(me) | invisible | faded) & (pinned | ~F.exists(path, gone))
+    return ~(gone(me) | invisible | faded) & (pinned | ~(F.exists(path, gone) | F.coalesce("scope.gone", F.lit(False))))
 
 
 def drop_sticky_chrome(nodes: DataFrame) -> DataFrame:

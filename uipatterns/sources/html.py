@@ -5,6 +5,12 @@ without a shuffle.  The Python helper only rebuilds the tree: element numbers in
 document order, subtree ends, attributes and the text pieces.  Every text is
 stored once; a subtree is a slice of the page's pieces.  All meaning is added
 later by DataFrame expressions.
+
+A page is one or more scopes: its document, the open shadow roots that it
+declares and the documents of its ``srcdoc`` frames.  Each scope is a tree of
+its own, with roots without a parent, its own ids, labels and siblings.  The
+scopes' numbers follow each other, the document's first and then those of each
+host in document order, so ranges of numbers never cross a scope.
 """
 
 from __future__ import annotations
@@ -22,8 +28,9 @@ from pyspark.sql import types as T
 NODE_TYPE = (
     "struct<node_no:int,parent_no:int,depth:int,sub_end:int,tag:string,attrs:map<string,string>,"
     "anc:array<int>,piece_lo:int,piece_hi:int,text_len:int,sib_no:int,sib_n:int,twin:boolean,"
-    "kids:array<struct<no:int,tag:string,lo:int,hi:int>>,label_text:string>"
+    "kids:array<struct<no:int,tag:string,lo:int,hi:int>>,label_text:string,scope_no:int>"
 )
+SCOPE_TYPE = "struct<kind:string,host_no:int,gone:boolean,dark:boolean>"
 
 # --- fixed values: the HTML standard's void elements and implied end tags ---
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +52,8 @@ PARAGRAPH_SCOPE = {"button", "td", "th", "caption", "object", "template", "html"
 SKIP_TAGS = ["script", "style", "noscript", "svg", "head", "template"]
 CONTROL_TAGS = ["a", "button", "input", "select", "textarea"]
 CONTROL_ROLES = ["button", "link"]
+# Elements that may carry a shadow root, beside those with a hyphen in their name.
+SHADOW_HOSTS = set("article aside blockquote body div footer h1 h2 h3 h4 h5 h6 header main nav p section span".split())
 GROUP_INLINE = [
     "a", "abbr", "b", "bdo", "big", "br", "button", "cite", "code", "dfn", "em", "i", "img", "input", "kbd",
     "label", "mark", "output", "q", "s", "samp", "select", "small", "span", "strong", "sub", "sup",
@@ -121,8 +130,8 @@ def lasting_kinds(tag: str, attrs: dict[str, str]) -> list[str]:
     return found
 
 
-class _Tree(HTMLParser):
-    """A page's elements.
+class _Tree:
+    """The elements of one scope.
 
     ``anc`` of a node is what its path is made of: its nearest ancestors, and
     of those above them the nearest of each lasting kind.  That is carried
@@ -130,9 +139,11 @@ class _Tree(HTMLParser):
     deep its elements lie.
     """
 
-    def __init__(self, skipped: bool = True) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self, skipped: bool = True, kind: str = "document", markup: str | None = None, host: dict | None = None, outer=None) -> None:
         self.skipped = skipped
+        self.kind, self.markup, self.host, self.outer = kind, markup, host, outer
+        self.gone = self.dark = False
+        self.inner: list[_Tree] = []
         self.inside_skipped = 0
         self.count = 0
         self.videos: list[int] = []
@@ -148,15 +159,12 @@ class _Tree(HTMLParser):
         self.chars = 0
         self.text_joins = False
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, named: dict[str, str]) -> None:
         if tag in ENDS_PARAGRAPH:
             self._close_open({"p"}, PARAGRAPH_SCOPE)
         if tag in ENDS_SIBLING:
             self._close_open(*ENDS_SIBLING[tag])
         parent = self.open[-1] if self.open else None
-        named: dict[str, str] = {}
-        for name, value in attrs:
-            named.setdefault(name, value or "")
         depth = len(self.open)
         far = parent["_far"] if parent else {}
         if depth >= NEAR_STEPS:
@@ -181,9 +189,38 @@ class _Tree(HTMLParser):
         self.places[tag].append(len(self.open))
         self.open.append(node)
         self.text_joins = False
+        if tag == "iframe" and "srcdoc" in named and not skips and _same_origin(named):
+            self.attach("frame", named["srcdoc"])
         if tag in VOID:
             self._close_to(len(self.open) - 1)
 
+    def may_host(self, template: dict[str, str]) -> bool:
+        """Whether a template that starts here is the open shadow root of the element it stands in."""
+        if template.get("shadowrootmode", "").lower() != "open" or not self.open or self.inside_skipped:
+            return False
+        host = self.open[-1]
+        return "_shadow" not in host and (host["tag"] in SHADOW_HOSTS or "-" in host["tag"])
+
+    def attach(self, kind: str, markup: str | None = None):
+        """A scope of its own below the innermost open element."""
+        host = self.open[-1]
+        if kind == "shadow":
+            host["_shadow"] = True
+        self.inner.append(_Tree(self.skipped, kind, markup, host, self))
+        return self.inner[-1]
+
+    def _inherit(self) -> None:
+        """``gone``: the host isn't displayed.  ``dark``: a shadow root inherits that the host is invisible; a frame doesn't."""
+        if self.outer is None:
+            return
+        self.gone, self.dark = self.outer.gone, self.outer.dark
+        for step in [self.outer.nodes[at] for at in self.host["anc"]] + [self.host]:
+            kinds = lasting_kinds(step["tag"], step["_named"])
+            self.gone |= "gone" in kinds
+            if "visibility" in kinds:
+                self.dark = _STATED["visibility"].search(step["_named"]["style"].lower())[1].strip(" ") == "hidden"
+        self.dark &= self.kind == "shadow"
+
     def _note(self, node: dict, tag: str, named: dict[str, str]) -> None:
         """Remember what checkboxes need to find their labels, and where videos are."""
         if tag == "video":
@@ -215,27 +252,24 @@ class _Tree(HTMLParser):
                 by = self.ids.get(named.get("aria-labelledby") or None)
                 box["label_text"] = named.get("aria-label") or (self._text_of(by) if by else "")
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
     def _nearest(self, tag: str) -> int:
         places = self.places.get(tag)
         return places[-1] if places else -1
 
-    def handle_endtag(self, tag):
+    def end(self, tag):
         at = self._nearest(tag)
         if at >= 0:
             self._close_to(at)
 
-    def handle_comment(self, data):
+    def comment(self):
         """A comment is a child that is neither text nor an inline element."""
         self.text_joins = False
         if self.open:
             at = len(self.pieces)
             self.open[-1]["kids"].append({"no": None, "tag": COMMENT, "lo": at, "hi": at})
 
-    def handle_data(self, data):
-        if not self.open:
+    def text(self, data):
+        if not self.open or self.places["template"]:  # what a template holds is no text of the page
             return
         self.chars += len("".join(data.split()))
         if self.text_joins:
@@ -269,10 +303,7 @@ class _Tree(HTMLParser):
         self.text_joins = False
 
     def finish(self):
-        try:
-            self.close()
-        finally:
-            self._close_to(0)
+        self._inherit()
         self._label_boxes()
         same_tag, families = Counter(), defaultdict(list)
         for parent_no, tag, classes, node in self.all:
@@ -287,19 +318,97 @@ class _Tree(HTMLParser):
                 node["sib_n"], node["twin"] = same_tag[family], tokens in twins
 
 
+def _same_origin(frame: dict[str, str]) -> bool:
+    return "sandbox" not in frame or "allow-same-origin" in frame["sandbox"].lower().split()
+
+
+class _Source(HTMLParser):
+    """Deals a document's markup to the scopes it belongs to."""
+
+    def __init__(self, document: _Tree) -> None:
+        super().__init__(convert_charrefs=True)
+        self.trees = [document]  # and the shadow roots that are open in it
+
+    def handle_starttag(self, tag, attrs):
+        named: dict[str, str] = {}
+        for name, value in attrs:
+            named.setdefault(name, value or "")
+        tree = self.trees[-1]
+        if tag == "template" and tree.may_host(named):
+            self.trees.append(tree.attach("shadow"))
+        else:
+            tree.start(tag, named)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        tree = self.trees[-1]
+        if tag == "template" and len(self.trees) > 1 and tree._nearest("template") < 0:
+            self.trees.pop()._close_to(0)
+        else:
+            tree.end(tag)
+
+    def handle_comment(self, data):
+        self.trees[-1].comment()
+
+    def handle_data(self, data):
+        self.trees[-1].text(data)
+
+    def read(self) -> bool:
+        """False if the markup breaks the parser; what was read so far stays."""
+        try:
+            self.feed(self.trees[0].markup)
+            self.close()
+            return True
+        except Exception:
+            return False
+        finally:
+            for tree in reversed(self.trees):
+                tree._close_to(0)
+
+
+def _append(page: _Tree, scope: _Tree, scope_no: int) -> None:
+    """Put a scope's elements and texts behind those of the page, with numbers that go on."""
+    first, at, piece = page.count, len(page.nodes), len(page.pieces)
+    for node in scope.nodes:
+        node["scope_no"] = scope_no
+        node["node_no"] += first
+        node["sub_end"] += first
+        if node["parent_no"] is not None:
+            node["parent_no"] += first
+        node["anc"] = [a + at for a in node["anc"]]
+        node["piece_lo"] += piece
+        node["piece_hi"] += piece
+        for kid in node["kids"]:
+            kid["lo"] += piece
+            kid["hi"] += piece
+            if kid["no"] is not None:
+                kid["no"] += first
+    page.count += scope.count
+    page.nodes += scope.nodes
+    page.pieces += scope.pieces
+    page.videos += [v + first for v in scope.videos]
+
+
 def _tree_of(html: str | None, skipped: bool = True):
-    tree, failed = _Tree(skipped), False
-    try:
-        tree.feed(html or "")
-        tree.finish()
-    except Exception:  # a broken page keeps the nodes read so far
-        failed = True
-        tree._close_to(0)
-        for node in tree.nodes:
-            node.setdefault("sib_no", 1)
-            node.setdefault("sib_n", 1)
-            node.setdefault("twin", False)
-    return tree, failed
+    """All scopes of a page as one list of elements, in ``scopes`` what each hangs on."""
+    page, failed = _Tree(skipped, markup=html or ""), False
+    page.scopes, waiting = [], [page]
+    while waiting:
+        scope = waiting.pop()
+        if scope.markup is not None:
+            failed |= not _Source(scope).read()
+        scope.finish()
+        # The host has its final number by now: its scope was appended before.
+        page.scopes.append({"kind": scope.kind, "host_no": scope.host and scope.host["node_no"], "gone": scope.gone, "dark": scope.dark})
+        waiting += reversed(scope.inner)
+        if scope is page:
+            for node in page.nodes:
+                node["scope_no"] = 0
+        else:
+            _append(page, scope, len(page.scopes) - 1)
+    return page, failed
 
 
 _INT, _TEXT = pa.int32(), pa.string()
@@ -309,8 +418,9 @@ _NODE_ARROW = pa.struct([
     *[(name, _INT) for name in ("piece_lo", "piece_hi", "text_len", "sib_no", "sib_n")],
     ("twin", pa.bool_()),
     ("kids", pa.list_(pa.struct([("no", _INT), ("tag", _TEXT), ("lo", _INT), ("hi", _INT)]))),
-    ("label_text", _TEXT),
+    ("label_text", _TEXT), ("scope_no", _INT),
 ])
+_SCOPE_ARROW = pa.struct([("kind", _TEXT), ("host_no", _INT), ("gone", pa.bool_()), ("dark", pa.bool_())])
 
 
 def _parse_batches(batches, html_col: str, page_chunk: int, skipped: bool):
@@ -318,27 +428,29 @@ def _parse_batches(batches, html_col: str, page_chunk: int, skipped: bool):
         kept = [f for f in batch.schema if f.name != html_col]
         schema = pa.schema(kept + [
             pa.field("parse_error", pa.bool_()), pa.field("pieces", pa.list_(_TEXT)),
-            pa.field("nodes", pa.list_(_NODE_ARROW)), pa.field("video_nos", pa.list_(_INT)),
+            pa.field("nodes", pa.list_(_NODE_ARROW)), pa.field("video_nos", pa.list_(_INT)), pa.field("page_scopes", pa.list_(_SCOPE_ARROW)),
         ])
         for start in range(0, batch.num_rows, page_chunk):
             part = batch.slice(start, page_chunk)
             trees = [_tree_of(html, skipped) for html in part.column(html_col).to_pylist()]
-            made = ([failed for _, failed in trees], [t.pieces for t, _ in trees], [t.nodes for t, _ in trees], [t.videos for t, _ in trees])
+            made = ([failed for _, failed in trees], [t.pieces for t, _ in trees], [t.nodes for t, _ in trees], [t.videos for t, _ in trees],
+                    [t.scopes for t, _ in trees])
             arrays = [part.column(f.name) for f in kept]
             arrays += [pa.array(v, schema.field(len(kept) + i).type) for i, v in enumerate(made)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def parse_pages(pages: DataFrame, html_col: str = "html", page_chunk: int = 64, skipped: bool = True) -> DataFrame:
-    """``pages`` without its HTML, plus ``parse_error``, ``pieces``, ``nodes`` and ``video_nos``.
+    """``pages`` without its HTML, plus ``parse_error``, ``pieces``, ``nodes``, ``video_nos`` and ``page_scopes``.
 
     ``skipped=False`` leaves out what lies in scripts, styles, templates and
     the like; numbers of nodes and siblings stay the same.  ``anc`` holds
-    places in ``nodes``.
+    places in ``nodes`` and ``scope_no`` one in ``page_scopes``.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out = T.StructType([f for f in pages.schema.fields if f.name != html_col])
-    for name, ddl in (("parse_error", "boolean"), ("pieces", "array<string>"), ("nodes", f"array<{NODE_TYPE}>"), ("video_nos", "array<int>")):
+    for name, ddl in (("parse_error", "boolean"), ("pieces", "array<string>"), ("nodes", f"array<{NODE_TYPE}>"), ("video_nos", "array<int>"),
+                      ("page_scopes", f"array<{SCOPE_TYPE}>")):
         out = out.add(name, T.DataType.fromDDL(ddl))
 
     def run(batches):
