@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,55 +16,86 @@ from uipatterns.llm.common import by_value, n_words, spare
 by_value(__name__)
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: What a sequence costs besides its length, in words: its share of batching, masks and padding to the batch.
-OPENING = 64
+#: What a sequence costs besides its length, in words: its share of batching and masks.
+OPENING = 128
+#: The length at which attention, which grows with the square of a sequence, costs as much as the rest of its words.
+ATTENTION = 8192
 
 
-def bin_costs(capacities: tuple[int, ...], opening: int) -> dict[int, int]:
-    return {c: c + opening for c in sorted(capacities)}
+def bin_costs(capacities: tuple[int, ...], opening: int, attention: int) -> dict[int, float]:
+    return {c: c + opening + c * c / attention for c in sorted(capacities)}
 
 
-def cheapest_size(left: int, need: int, costs: dict[int, int]) -> int:
-    """The size to open for an item of ``need`` when ``left`` words (it included) are still to be placed.
+def fill_of(room: int, values: list[int], counts: list[int]) -> int:
+    """Words that go into ``room`` when the longest length that still fits is taken again and again.
 
-    Only sizes that hold the item count; the least cost per word that the bin
-    can still receive wins, ties go to the smaller size.
+    ``values`` are distinct lengths above 0, ascending, ``counts`` how many of
+    each are left.  Distinct lengths that fit together are few, so this takes
+    a number of steps in proportion to the root of ``room`` at most.
     """
-    return min((c for c in costs if c >= need), key=lambda c: (costs[c] / min(c, max(left, need, 1)), c))
+    taken, upto = 0, len(values)
+    while room > 0 and (upto := bisect_right(values, room, 0, upto)):
+        upto -= 1
+        words = min(counts[upto], room // values[upto]) * values[upto]
+        taken += words
+        room -= words
+    return taken
 
 
-def best_fit(lengths: list[int], costs: dict[int, int]) -> list[tuple[int, int, int]]:
+def cheapest_size(need: int, values: list[int], counts: list[int], costs: dict[int, float]) -> int:
+    """The size to open for an item of ``need`` when the lengths ``values`` (``counts`` of each) are still to be placed.
+
+    Each size that holds the item is filled up with those lengths in thought
+    and then shrunk to what it holds; the least cost per word wins, ties go to
+    the smaller size.
+    """
+    sizes = sorted(costs)
+
+    def rate(c: int) -> float:
+        words = need + fill_of(c - need, values, counts)
+        return costs[sizes[bisect_left(sizes, words)]] / max(words, 1)
+
+    return min((c for c in sizes if c >= need), key=lambda c: (rate(c), c))
+
+
+def best_fit(lengths: list[int], costs: dict[int, float]) -> list[tuple[int, int, int]]:
     """(bin, offset, capacity) of each item, in the order given.
 
     Items go in by falling length, each into the open bin that it leaves with
-    the least room; if none holds it, the least-cost size is opened.  At the
-    end each bin takes the smallest permitted size that holds its contents.
-    Items of length 0 share the first bin that is open or make one.
+    the least room; if none holds it, the least-cost size is opened, judged by
+    the lengths that are left.  At the end each bin takes the smallest
+    permitted size that holds its contents.  Items of length 0 share the first
+    bin that is open or make one.
     """
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    sizes, left = sorted(costs), sum(lengths)
+    sizes, tally = sorted(costs), Counter(lengths)
+    values = sorted(tally.keys() - {0})
+    counts = [tally[v] for v in values]
     rooms: list[tuple[int, int]] = []  # (room, bin), sorted
     filled: list[int] = []
-    limit: list[int] = []
     place: list[tuple[int, int]] = [(0, 0)] * len(lengths)
     for i in order:
         n = lengths[i]
+        # The longest are placed first, so what is left are the lengths up to this one.
+        while values and (values[-1] > n or not counts[-1]):
+            values.pop()
+            counts.pop()
+        if values and values[-1] == n:
+            counts[-1] -= 1
         at = bisect_left(rooms, (n, -1))
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            b, room = len(filled), cheapest_size(left, n, costs)
+            b, room = len(filled), cheapest_size(n, values, counts, costs)
             filled.append(0)
-            limit.append(room)
         place[i] = (b, filled[b])
         filled[b] += n
-        left -= n
         insort(rooms, (room - n, b))
     final = [sizes[bisect_left(sizes, f)] for f in filled]
     return [(b, at, final[b]) for b, at in place]
 
 
-def _pack_batches(batches, costs: dict[int, int], block: int, schema: pa.Schema, length: str, names: list[str]):
+def _pack_batches(batches, costs: dict[int, float], block: int, schema: pa.Schema, length: str, names: list[str]):
     """Pack the rows of one partition in blocks; full pieces of long rows are bins of their own."""
     part, bins, top = TaskContext.get().partitionId(), 0, max(costs)
     held: list[pa.RecordBatch] = []
@@ -107,7 +139,8 @@ def _pack_batches(batches, costs: dict[int, int], block: int, schema: pa.Schema,
 
 def pack(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
-    capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, block: int = 50_000, least: int = 5_000,
+    capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, attention: int = ATTENTION,
+    block: int = 50_000, least: int = 5_000, spread: int = 64,
 ) -> DataFrame:
     """Places of all words of ``docs`` in sequences of the permitted lengths.
 
@@ -118,15 +151,15 @@ def pack(
     packed by best fit in blocks of up to ``block`` rows.  The rows (kept
     columns and lengths, no text) are dealt in turn into blocks of even size,
     of ``least`` rows or more, so small partitions of the input are packed
-    together; there is no hot key, and a task holds one block of lengths.
-    Bins are not shared between blocks: a block wastes a few sequences of the
+    together: up to ``spread`` blocks, beyond that as few as blocks of
+    ``block`` rows allow.  Their number follows from the rows alone.  There is
+    no hot key, and a task holds one block of lengths.  Bins are not shared between blocks: a block wastes a few sequences of the
     thousands it fills.
 
-    Where each capacity is at most half of the next, two bins of one smaller
-    capacity fit into one of the next and save its opening, so the least total
-    cost has at most one bin of each smaller capacity in a block: the largest
-    is opened until the block's end.  For other capacities that is a rule of
-    thumb: sizes are not chosen from the lengths still to be placed.
+    A sequence of c words costs c + ``opening`` + c² / ``attention``.  So long
+    sequences are dear by their attention and short ones by their opening, and
+    each bin that has to be opened takes the size that the lengths still to be
+    placed fill at the least cost per word.
 
     A null or empty text is one piece of 0 words in some bin.  Repeated rows
     are packed each.  Nulls in kept columns stay.  An empty table gives none.
@@ -137,7 +170,7 @@ def pack(
     length = spare(narrow, "_length", *names)[0]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType()]
     out = T.StructType([*narrow.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
-    costs = bin_costs(capacities, opening)
+    costs = bin_costs(capacities, opening, attention)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -146,5 +179,5 @@ def pack(
 
     rows = docs.count()
     # A tenth of a block is left free, since dealing in turn is even to a row of each partition dealt from.
-    blocks = max(-(-rows * 10 // (block * 9)), min(rows // least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    blocks = max(-(-rows * 10 // (block * 9)), min(rows // least, spread), 1)
     return docs.select(*[F.col(c) for c in keep], n_words(text_col).alias(length)).repartition(blocks).mapInArrow(run, out)
