@@ -49,3 +49,18 @@ def test_held_out_accuracy_and_odd_rows(spark):
     tested = [(r["quality_score_"] >= 0.3) == truth[r["doc_id"]] for r in got if r["out"] and r["doc_id"] in truth]
     assert len(tested) > 50 and np.mean(tested) > 0.95
     assert quality.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_the_training_sample_is_bounded_in_rows_and_characters(spark):
+    ids = [i for i in range(200)]
+    docs = spark.createDataFrame(
+        [(i, f"text {i} " + "x" * 100, "n") for i in ids] + [(7, f"another {k}", "n") for k in range(300)] + [(3, None, "n"), (5, "y" * 5000, "n"), (None, "z", "n")],
+        "doc_id long, text string, _text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(2, 1), (4, None), (None, 1)], "doc_id long, quality int")
+    fold = {r["doc_id"] for r in docs.filter(~quality.held_out("doc_id")).collect()} - {None}
+    got = quality.training_sample(docs, labels, longest=1000).collect()
+    assert sorted(r["_id"] for r in got) == sorted(fold) and {r["_id"]: r["_quality"] for r in got} == {i: 1 if i == 2 else i % 2 for i in fold}
+    assert max(len(r["_text"]) for r in got) < 1000
+    some = quality.training_sample(docs, labels, sample=40, characters=2500).collect()
+    assert 10 < len(some) < 40 and sum(len(r["_text"]) for r in some) <= 2500 and {r["_id"] for r in some} <= fold
+    assert quality.training_sample(docs.limit(0), labels).count() == quality.training_sample(docs, labels.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,17 +194,35 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 6_000, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Train on a bounded sample: about ``sample`` labelled ids outside the held-out fold, those of smallest hash, texts of up to ``longest`` characters.
+def training_sample(
+    docs: DataFrame, labels: DataFrame, sample: int = 6_000, longest: int = 100_000, characters: int = 50_000_000,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """At most ``sample`` rows (_id, _text, _quality) with at most ``characters`` characters in all.
 
-    Null labels are left out; an id labelled twice gets its larger label.
-    The ids (at most ``sample``) are broadcast, so no text is shuffled.
+    Labelled ids outside the held-out fold, those of smallest hash, texts of
+    up to ``longest`` characters.  Null labels are left out; an id labelled
+    twice gets its larger label, and of an id's texts the one of smallest hash
+    counts, however many rows share the id.  The ids (at most ``sample``) are
+    broadcast, and only these texts are shuffled, one per id and task.
     """
     known = labels.filter("quality is not null").filter(f"`{id_col}` is not null").filter(~held_out(id_col)).groupBy(
         F.col(id_col).alias("_id")).agg(F.max(F.col("quality").cast("int")).alias("_quality"))
     chosen = hash_sample(known, sample, "_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).filter(F.coalesce(F.length(text_col), F.lit(0)) <= longest)
-    got = rows.select(F.col("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), "_quality").toPandas().sort_values(["_id", "_text"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).filter(F.length(text) <= longest)
+    one_each = rows.groupBy("_id", "_quality").agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("_text"))).alias("t"))
+    # One task sees the sample, which is bounded, in the order of its hashes.
+    upto = F.sum(F.length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    return one_each.select("_id", F.col("t._text").alias("_text"), "_quality").withColumn("_upto", upto).filter(F.col("_upto") <= characters).drop("_upto")
+
+
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, sample: int = 6_000, longest: int = 100_000, characters: int = 50_000_000,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> QualityModel:
+    """Train on ``training_sample``, which is all that the driver holds."""
+    got = training_sample(docs, labels, sample, longest, characters, id_col, text_col).toPandas().sort_values(["_id", "_text"])
     return train([t.encode("utf-8", "surrogatepass") for t in got["_text"]], got["_quality"].to_numpy())
 
 
