@@ -160,3 +160,24 @@ def test_resolve_snapshot(page):
     out = G.resolve_snapshot(found, nodes).join(found.select("cand_id", "text"), "cand_id")
     assert {r.text: r.outcome for r in out.collect()} == {
         "first": "selector", "moved text": "reresolved", "twice": "ambiguous", "gone": "not-found"}
+
+
+def test_fitting_nodes_against_containment(spark):
+    """Texts that lie in and across each other, repeated findings, rows without a text; compared with a test of every pair."""
+    import random
+
+    rng = random.Random(5)
+    words = ["ab", "abc", "bca", "ca b", "नेपाल", "😀a", "a"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    asked = [(p, f"c{p}_{i}", rng.choice(["b", "p", None]), text(rng.randint(1, 3))) for p in range(6) for i in range(30)]
+    asked += asked[:20] + [(1, "none", "p", None), (None, "lost", "p", "ab"), (9, "alone", "p", "ab")]
+    nodes = [(p, n, rng.choice(["b", "p", "i"]), text(rng.randint(0, 6))) for p in range(8) for n in range(25)] + [(1, 99, "p", None), (None, 1, "p", "ab")]
+    got = G._fitting_nodes(spark.createDataFrame(asked, "page_id long, cand_id string, tag string, target string"),
+                           spark.createDataFrame(nodes, "page_id long, node_no int, tag string, content string")).collect()
+    want = {}
+    for page, cand, tag, target in set(asked):
+        fits = sorted(n for p, n, t, content in nodes if p is not None and p == page and t == tag and None not in (tag, target, content) and target in content)
+        if fits:
+            want[page, cand] = (min(len(fits), 2), fits[0])
+    assert len(got) == len(want) > 50 and {(r.page_id, r.cand_id): (r.matches, r.node_no) for r in got} == want
+    assert {m for m, _ in want.values()} == {1, 2}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from uipatterns.functions.text import collapse_space, matches
 from uipatterns.operators.sweeps import groups_of_page
@@ -101,6 +103,70 @@ def neighbour_context(
     )
 
 
+def _fitting_nodes(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``page_id, cand_id, matches, node_no``: the first node of a finding's tag that holds its text, and how many do.
+
+    ``asked``: ``page_id, cand_id, tag, target``; ``nodes``: ``page_id, node_no,
+    tag, content``.  A page's findings come first and make one automaton per tag; its nodes
+    then pass by in order, each read once whatever the number of findings.  A
+    task holds the findings of one page and one batch of nodes.  Counting ends
+    at 2, which already says "ambiguous".  Findings no node fits have no row.
+    Rows without a page, tag or text fit nothing; repeated findings count once.
+    """
+    asked = asked.dropna(subset=["page_id", "tag", "target"])
+    wanted = nodes.dropna(subset=["content"]).join(asked.select("page_id", "tag").distinct(), ["page_id", "tag"], "left_semi")
+    stream = asked.select("page_id", F.lit(None).cast(nodes.schema["node_no"].dataType).alias("node_no"), "tag",
+                          F.col("target").alias("content"), "cand_id", F.lit(False).alias("is_node")).unionByName(
+        wanted.select("page_id", "node_no", "tag", "content", F.lit(None).cast(asked.schema["cand_id"].dataType).alias("cand_id"),
+                      F.lit(True).alias("is_node")))
+
+    def search(batches):
+        from ahocorasick import Automaton
+
+        page, machines, hits, fields = object(), {}, {}, None
+
+        def done():
+            return [(page, cand, len(places), places[0]) for cand, places in hits.items()]
+
+        for batch in batches:
+            fields = [batch.schema.field(c).type for c in ("page_id", "cand_id", "node_no")]
+            rows, out = batch.to_pydict(), []
+            for at, no, tag, text, cand, is_node in zip(*(rows[c] for c in ("page_id", "node_no", "tag", "content", "cand_id", "is_node"))):
+                if at != page:
+                    out += done()
+                    page, machines, hits = at, {}, {}
+                if not is_node:
+                    machine = machines.setdefault(tag, Automaton())
+                    machine.get(text, None) or machine.add_word(text, set())
+                    machine.get(text).add(cand)
+                    continue
+                machine = machines[tag]
+                machine.make_automaton()  # does nothing once made
+                met = set()
+                for _, cands in machine.iter(text):
+                    met |= cands
+                for one in met:
+                    places = hits.setdefault(one, [])
+                    if len(places) < 2:
+                        places.append(no)
+            yield _hit_batch(out, fields)
+        if fields:
+            yield _hit_batch(done(), fields)
+
+    ordered = stream.repartition("page_id").sortWithinPartitions("page_id", "is_node", "node_no", "cand_id")
+    kinds = {f.name: f.dataType for f in stream.schema}
+    return ordered.mapInArrow(search, T.StructType([
+        T.StructField("page_id", kinds["page_id"]), T.StructField("cand_id", kinds["cand_id"]),
+        T.StructField("matches", T.IntegerType()), T.StructField("node_no", kinds["node_no"])]))
+
+
+def _hit_batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    page, cand, node = kinds
+    columns = zip(*rows) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (page, cand, pa.int32(), node))],
+                                      names=["page_id", "cand_id", "matches", "node_no"])
+
+
 def resolve_snapshot(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     """Find stored findings again in a later snapshot of their page.
 
@@ -136,15 +202,8 @@ def resolve_snapshot(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     claimed = claimed.unionByName(by_selector.filter("outcome = 'selector'").select("page_id", "node_no"))
     rest = rest.join(by_selector.select("page_id", "cand_id"), ["page_id", "cand_id"], "left_anti")
 
-    # Each node tests the page's few open findings in place; only matches leave the row.
-    asked = rest.filter(F.length("target") >= MIN_TEXT).groupBy("page_id", "tag").agg(
-        F.collect_list(F.struct("cand_id", "target")).alias("asked"))
     unclaimed = nodes.join(claimed, ["page_id", "node_no"], "left_anti")
-    hits = unclaimed.join(asked, ["page_id", "tag"]).select(
-        "page_id", "node_no",
-        F.explode(F.filter("asked", lambda a: F.contains(F.col("content"), a["target"]))).alias("a"),
-    ).select("page_id", "node_no", F.col("a.cand_id").alias("cand_id"))
-    per = hits.groupBy("page_id", "cand_id").agg(F.count(F.lit(1)).alias("matches"), F.min("node_no").alias("node_no"))
+    per = _fitting_nodes(rest.filter(F.length("target") >= MIN_TEXT), unclaimed)
     owner = per.filter("matches = 1").groupBy("page_id", "node_no").agg(F.min("cand_id").alias("owner"))
     by_text = rest.select("page_id", "cand_id").join(per, ["page_id", "cand_id"], "left").join(
         owner, ["page_id", "node_no"], "left")
