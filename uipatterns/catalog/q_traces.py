@@ -17,6 +17,7 @@ from uipatterns.schema import DARK_LABELS, LABEL_DESCRIPTIONS
 from uipatterns.session import shared_folder
 from uipatterns.streaming import live
 from uipatterns.streaming.cadence import cadence_batch, value_trend
+from uipatterns.streaming.pace import paced_passes
 
 EN, CA, OB = I.SQL_ENTRIES, I.SQL_CAPTURES, I.SQL_OBSERVATIONS
 _TRIM = lambda c: collapse_sql(c)
@@ -263,6 +264,25 @@ def w04(spark, sf):
     return live.churn_rows(rows).groupBy("document").agg(F.countDistinct("churn").alias("elements"), F.count(F.lit(1)).alias("rows"))
 
 
+_QUIET, _FLOOR = 3 * 3_600_000, 12 * 3_600_000
+
+
+@query("w05_paced_passes",
+       f"""SELECT user_id, strftime(make_timestamp(due), '%Y-%m-%d %H:%M:%S.%f') AS pass_at, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, waiting AS signals
+          FROM walk WHERE following IS NULL OR following >= due""",
+       f"""RECURSIVE signals AS (SELECT user_id, epoch_us(ts) AS us, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS nth,
+              lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS following FROM events GROUP BY user_id, epoch_us(ts)),
+           walk AS (SELECT user_id, nth, us, following, n AS waiting, us + {_QUIET}000 AS due, -{_FLOOR}000 AS ran FROM signals WHERE nth = 1
+              UNION ALL SELECT user_id, nth, us, following, n + CASE WHEN us >= due THEN 0 ELSE waiting END,
+                greatest(us + {_QUIET}000, CASE WHEN us >= due THEN due ELSE ran END + {_FLOOR}000), CASE WHEN us >= due THEN due ELSE ran END
+              FROM (SELECT s.*, w.due, w.ran, w.waiting FROM walk w JOIN signals s ON s.user_id = w.user_id AND s.nth = w.nth + 1))""")
+def w05(spark, sf):
+    """The rule of passes at the pace of the events: three quiet hours, half a day between two passes."""
+    out = paced_passes(I.table(spark, sf, "events"), "user_id", "ts", _QUIET, _FLOOR, chunk_seconds=86_400)
+    as_text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select(F.col("key").alias("user_id"), as_text("pass_at"), as_text("last_seen"), "signals")
+
+
 @query("w06_seen_span",
        """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
           max_by(event_type, ts) FILTER (WHERE event_type <> 'view') AS outcome FROM events GROUP BY user_id""")
