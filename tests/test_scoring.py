@@ -129,6 +129,37 @@ def test_baseline_separates_two_classes(spark):
     assert got[1][0] > 0.8 > 0.2 > got[2][0] and len(got) == 3
 
 
+def test_baseline_reaches_the_optimum_of_each_label(spark):
+    """At the optimum of a convex loss its slope is zero; both from a dense table of the terms."""
+    import numpy as np
+
+    from uipatterns.operators import baseline as B
+
+    words = ["only", "left", "stock", "read", "about", "stores", "now", "sale"]
+    rows = [(i, " ".join(words[(i * k) % 8] for k in range(1, 5)), int(i % 8 < 3), int(i % 8 in (1, 6) or i % 5 == 0), 0) for i in range(80)] + [(99, "", 1, None, 0)]
+    df = spark.createDataFrame(rows, "row_id long, model_input string, y_a int, y_b int, y_none int")
+    model = B.fit_baseline(df, ["a", "b", "none"], max_iter=60, tol=1e-9)
+    assert model.offsets[2] is None
+    table = {r.gram: r for r in model.vocabulary.collect()}
+    dense = np.zeros((len(rows), len(table)))
+    for r in B.term_weights(df, model.vocabulary).select("row_id", "idx", "tfidf").collect():
+        dense[[x[0] for x in rows].index(r.row_id), r.idx] = r.tfidf
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    got = {r.row_id: r.probs for r in B.score_baseline(model, df).collect()}
+    assert len(got) == len(rows) and {p[2] for p in got.values()} == {0.0}
+    for j in (0, 1):
+        w = np.zeros(len(table))
+        for r in table.values():
+            w[r.idx] = r.weights[j]
+        p = 1 / (1 + np.exp(-(dense @ w + model.offsets[j])))
+        assert max(abs(p[i] - got[r[0]][j]) for i, r in enumerate(rows)) < 1e-9
+        y = np.array([r[2 + j] or 0 for r in rows])
+        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        slope = dense.T @ (weight * (p - y)) / len(y) + w / (4 * len(y))
+        start = np.abs(dense.T @ (weight * (0.5 - y)) / len(y)).max()
+        assert start > 1e-3 and np.abs(slope).max() < 0.01 * start and abs((weight * (p - y)).mean()) < 0.01 * start
+
+
 def test_labels_are_frozen():
     assert LABELS == ["confirmshaming", "false_urgency", "forced_action", "obstruction", "scarcity", "sneaking", "social_proof", "benign"]
     assert DARK_LABELS == LABELS[:7]

@@ -219,12 +219,10 @@ def m06(spark, sf):
 def m07(spark, sf):
     from uipatterns.operators.baseline import fit_baseline, score_baseline
 
-    names = ["scarcity", "social_proof", "benign"]
     rows = I.microcopy(spark, sf).select(
         "row_id", S.model_input(F.col("text"), F.col("tag"), F.col("role")).alias("model_input"),
-        *[(F.col("label") == n).cast("int").alias(f"y_{n}") for n in names])
-    model = fit_baseline(rows, names, max_iter=20)
-    return score_baseline(model, rows, names).select("row_id", "probs")
+        *[(F.col("label") == n).cast("int").alias(f"y_{n}") for n in LABELS])
+    return score_baseline(fit_baseline(rows), rows).select("row_id", "probs")
 
 
 @query("m07_vocabulary",

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from uipatterns.functions.text import WS
+from uipatterns.operators.scoring import sigmoid
 from uipatterns.schema import LABELS
 from uipatterns.session import cut_lineage
 
@@ -40,9 +40,9 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
 
 @dataclass
 class Baseline:
-    vocabulary: DataFrame  # gram, idx, idf: at most ``max_features`` rows
-    size: int
-    classifiers: dict[str, LogisticRegressionModel]
+    vocabulary: DataFrame  # gram, idx, idf, weights (one a label): at most ``max_features`` rows
+    labels: list[str]
+    offsets: list[float | None]  # None: one class only, nothing was fitted
 
 
 def fit_vocabulary(df: DataFrame, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
@@ -60,68 +60,132 @@ def fit_vocabulary(df: DataFrame, min_df: int = 2, max_features: int = 200_000)
     return numbered.withColumn("n_rows", total).select("gram", "idx", idf.alias("idf"))
 
 
-def features(df: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
-    """Rows with a unit-length sparse ``features`` vector; rows without a known gram get none."""
+def term_weights(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``row_id``, the vocabulary's columns and ``tfidf``, for each known gram of a row; not yet of unit length."""
     counts = (
         df.select("row_id", F.explode(char_ngrams(F.col("model_input"))).alias("gram"))
         .groupBy("row_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
     )
     # The vocabulary has a fixed upper size, which is what makes this broadcast safe.
-    weighted = counts.join(F.broadcast(vocabulary), "gram").select(
-        "row_id", F.struct("idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("t"))
-    terms = weighted.groupBy("row_id").agg(F.array_sort(F.collect_list("t")).alias("terms"))
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
-    wide = df.join(terms.withColumn("norm", norm), "row_id", "left").withColumns({
-        "indices": F.coalesce(F.transform("terms", lambda t: t["idx"].cast("int")), F.array().cast("array<int>")),
-        "values": F.coalesce(F.transform("terms", lambda t: t["w"] / F.col("norm")), F.array().cast("array<double>")),
-    }).drop("terms", "norm")
-    return _as_vectors(wide, size)
-
-
-def _as_vectors(df: DataFrame, size: int) -> DataFrame:
-    """Wrap the index and value arrays as ML vectors, column batch by column batch."""
-    kept = [f for f in df.schema.fields if f.name not in ("indices", "values")]
-
-    def wrap(batches):
+    return counts.join(F.broadcast(vocabulary), "gram").withColumn("tfidf", (1 + F.log("tf")) * F.col("idf"))
+
+
+def _training_rows(train: DataFrame, vocabulary: DataFrame, labels: list[str]) -> DataFrame:
+    """``y, indices, values``: the labels of a row and its terms, of unit length; rows without a known gram have none."""
+    terms = term_weights(train, vocabulary).groupBy("row_id").agg(F.collect_list(F.struct("idx", "tfidf")).alias("t"), F.sqrt(F.sum(F.col("tfidf") ** 2)).alias("norm"))
+    return train.select("row_id", F.array(*[F.coalesce(F.col(f"y_{x}") == 1, F.lit(False)) for x in labels]).alias("y")).join(terms, "row_id", "left").select(
+        "y", F.coalesce(F.col("t.idx"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.transform("t.tfidf", lambda x: x / F.col("norm")), F.array().cast("array<double>")).alias("values"))
+
+
+_BLOCK = 4096  # features summed as one vector
+
+
+def _loss_and_gradient(rows: DataFrame, at: dict[int, np.ndarray], class_weights: np.ndarray) -> dict[int, np.ndarray]:
+    """Per label in ``at``: the summed gradient, and as its last entry the summed loss, all from one pass over ``rows``.
+
+    A task holds one vector per label; its blocks are summed on the map side and then by (label, block).
+    """
+    width = len(next(iter(at.values())))
+
+    def parts(batches):
+        sums = {j: np.zeros(width + 1) for j in at}
         for batch in batches:
             n = batch.num_rows
-            vector = pa.StructArray.from_arrays(
-                [pa.array([0] * n, pa.int8()), pa.array([size] * n, pa.int32()),
-                 batch.column("indices"), batch.column("values")],
-                names=["type", "size", "indices", "values"],
-            )
-            names = [f.name for f in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [vector], names=names + ["features"])
-
-    return df.mapInArrow(wrap, T.StructType([*kept, T.StructField("features", VectorUDT())]))
+            index, value = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("indices", "values"))
+            row = np.repeat(np.arange(n), batch.column("indices").value_lengths().to_numpy(zero_copy_only=False))
+            y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            for j, w in at.items():
+                sign, weight = np.where(y[:, j], 1.0, -1.0), class_weights[j][y[:, j].astype(int)]
+                margin = sign * (np.bincount(row, value * w[index], n) + w[-1])
+                pull = -sign * weight * 0.5 * (1 - np.tanh(margin / 2))
+                np.add.at(sums[j], index, value * pull[row])
+                sums[j][-2] += pull.sum()
+                sums[j][-1] += (weight * np.logaddexp(0, -margin)).sum()
+        for j, vector in sums.items():
+            blocks = [(b, vector[b * _BLOCK:(b + 1) * _BLOCK]) for b in range(-(-len(vector) // _BLOCK))]
+            blocks = [(b, part) for b, part in blocks if part.any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([j] * len(blocks), pa.int32()), pa.array([b for b, _ in blocks], pa.int32()),
+                 pa.array([part for _, part in blocks], pa.list_(pa.float64()))], names=["label", "block", "part"])
+
+    summed = rows.mapInArrow(parts, "label int, block int, part array<double>").groupBy("label", "block").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    out = {j: np.zeros(width + 1) for j in at}
+    for label, block, part in summed.collect():  # at most one row per label and block of features
+        out[label][block * _BLOCK:block * _BLOCK + len(part)] = part
+    return out
+
+
+class _Descent:
+    """L-BFGS for one label, its steps halved until they lower the loss.  ``told`` takes loss and gradient at ``trial``."""
+
+    def __init__(self, width: int, memory: int = 5):
+        self.trial, self.value, self.steps, self.done = np.zeros(width), None, 0, False
+        self.pairs: deque = deque(maxlen=memory)
+
+    def told(self, value: float, gradient: np.ndarray, tol: float) -> None:
+        if self.value is not None and value > self.value + 1e-4 * self.step * self.slope:
+            self.step /= 2
+            self.done = self.step < 1e-9
+        else:
+            if self.value is not None:
+                moved, turned = self.trial - self.at, gradient - self.gradient
+                if moved @ turned > 1e-15:
+                    self.pairs.append((moved, turned))
+                self.steps += 1
+                self.done = self.value - value <= tol * max(abs(value), 1e-8)
+            self.at, self.value, self.gradient = self.trial, value, gradient
+            self.way = -self._curved(gradient)
+            self.slope = gradient @ self.way
+            self.step = 1.0 if self.pairs else 1.0 / max(1.0, float(np.linalg.norm(gradient)))
+        if not self.done:
+            self.trial = self.at + self.step * self.way
+
+    def _curved(self, gradient: np.ndarray) -> np.ndarray:
+        """The gradient times the approximate inverse of the second derivatives."""
+        out, shares = gradient.copy(), []
+        for moved, turned in reversed(self.pairs):
+            shares.append((moved @ out) / (moved @ turned))
+            out -= shares[-1] * turned
+        if self.pairs:
+            moved, turned = self.pairs[-1]
+            out *= (moved @ turned) / (turned @ turned)
+        for (moved, turned), share in zip(self.pairs, reversed(shares)):
+            out += (share - (turned @ out) / (moved @ turned)) * moved
+        return out
 
 
 def fit_baseline(train: DataFrame, labels: list[str] = LABELS, c: float = 4.0, min_df: int = 2,
-                 max_features: int = 200_000, max_iter: int = 100) -> Baseline:
-    """``train``: ``row_id, model_input`` and one ``y_<label>`` column per label."""
+                 max_features: int = 200_000, max_iter: int = 100, tol: float = 1e-6) -> Baseline:
+    """One logistic regression per label, all fitted in the same passes over the rows.
+
+    ``train``: ``row_id, model_input`` and one ``y_<label>`` column per label;
+    a null label is 0.  Classes weigh the same; the penalty is ``1 / (c n)``.  A pass is
+    one job that sums the gradients of all labels not yet done; the driver holds a dozen vectors
+    of ``max_features`` per label.  A label with one class only isn't fitted.
+    """
     vocabulary = cut_lineage(fit_vocabulary(train, min_df, max_features))
     size = vocabulary.count()
-    sums = train.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{x}").alias(x) for x in labels]).first()
-    rows = features(train, vocabulary, size).persist(StorageLevel.DISK_ONLY)
-    models = {}
-    for label in labels:
-        pos = sums[label] or 0
-        if pos in (0, sums["n"]):
-            continue  # one class only: nothing to fit
-        weight = F.when(F.col(f"y_{label}") == 1, sums["n"] / (2.0 * pos)).otherwise(sums["n"] / (2.0 * (sums["n"] - pos)))
-        fit = LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=max_iter,
-                                 regParam=1.0 / (c * sums["n"]), standardization=False)
-        models[label] = fit.fit(rows.select("features", F.col(f"y_{label}").cast("double").alias("target"),
-                                            weight.alias("weight")))
-    rows.unpersist()
-    return Baseline(vocabulary, size, models)
-
-
-def score_baseline(model: Baseline, df: DataFrame, labels: list[str] = LABELS) -> DataFrame:
-    """Add ``probs`` in label order; a label that could not be fitted scores 0."""
-    out = features(df, model.vocabulary, model.size)
-    for label, fitted in model.classifiers.items():
-        fitted = fitted.copy().setProbabilityCol(f"_p_{label}").setRawPredictionCol("").setPredictionCol("")
-        out = fitted.transform(out)
-    p = [vector_to_array(f"_p_{x}")[1] if x in model.classifiers else F.lit(0.0) for x in labels]
-    return out.withColumn("probs", F.array(*p)).drop("features", *[f"_p_{x}" for x in model.classifiers])
+    sums = train.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"y_{x}") == 1).alias(x) for x in labels]).first()
+    n, positive = sums["n"], [sums[x] for x in labels]
+    class_weights = np.array([[n / (2.0 * max(n - p, 1)), n / (2.0 * max(p, 1))] for p in positive])
+    runs = {j: _Descent(size + 1) for j, p in enumerate(positive) if 0 < p < n}
+    rows = cut_lineage(_training_rows(train, vocabulary, labels)) if runs else None
+    penalty = np.append(np.full(size, 1.0 / (c * max(n, 1))), 0.0)  # the offset pays none
+    while open_ := {j: r.trial for j, r in runs.items() if not r.done and r.steps < max_iter}:
+        for j, found in _loss_and_gradient(rows, open_, class_weights).items():
+            w = open_[j]
+            runs[j].told(found[-1] / n + 0.5 * float((penalty * w) @ w), found[:-1] / n + penalty * w, tol)
+    wide = np.stack([runs[j].at[:-1] if j in runs else np.zeros(size) for j in range(len(labels))], axis=1)
+    table = train.sparkSession.createDataFrame(pa.table({"idx": pa.array(np.arange(size), pa.int32()), "weights": pa.array(list(wide), pa.list_(pa.float64()))}))
+    return Baseline(cut_lineage(vocabulary.join(table, "idx")), list(labels), [float(runs[j].at[-1]) if j in runs else None for j in range(len(labels))])
+
+
+def score_baseline(model: Baseline, df: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Add ``probs`` in the order of ``labels`` (the model's); a label that could not be fitted scores 0."""
+    wanted = [model.labels.index(x) for x in labels or model.labels]
+    share = lambda j: F.sum(F.col("tfidf") * F.col("weights")[j]) / F.sqrt(F.sum(F.col("tfidf") ** 2))
+    shares = term_weights(df, model.vocabulary).groupBy("row_id").agg(F.array(*[share(j) for j in wanted]).alias("_s"))
+    probs = [F.lit(0.0) if model.offsets[j] is None else sigmoid(F.coalesce(F.col("_s")[at], F.lit(0.0)) + model.offsets[j]) for at, j in enumerate(wanted)]
+    return df.join(shares, "row_id", "left").withColumn("probs", F.array(*probs)).drop("_s")
