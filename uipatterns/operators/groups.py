@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +88,9 @@ def neighbour_context(
     ends = climbs.select("page_id", F.explode(F.array("no", "end")).alias("at")).distinct().withColumn("one", F.lit(0))
     points = ends.unionByName(numbered.select("page_id", F.col("node_no").alias("at"), F.lit(1).alias("one")))
     upto = points.withColumn("upto", F.sum("one").over(Window.partitionBy("page_id").orderBy("at"))).filter("one = 0")
-    sized = (climbs.join(upto.select("page_id", F.col("at").alias("no"), F.col("upto").alias("lo")), ["page_id", "no"])
-             .join(upto.select("page_id", F.col("at").alias("end"), F.col("upto").alias("hi")), ["page_id", "end"]))
+    # Several rows per candidate, whatever size the planner takes them for: nothing here is broadcast.
+    sized = (climbs.join(upto.select("page_id", F.col("at").alias("no"), F.col("upto").alias("lo")).hint("merge"), ["page_id", "no"])
+             .join(upto.select("page_id", F.col("at").alias("end"), F.col("upto").alias("hi")).hint("merge"), ["page_id", "end"]))
     # The target itself lies in every scope, hence one less.
     met = (F.col("hi") - F.col("lo") - 1) >= enough
     scope = F.struct("lo", "hi")
@@ -94,7 +98,7 @@ def neighbour_context(
         F.coalesce(F.min_by(F.when(met, scope), F.when(met, F.col("level"))), F.max_by(scope, "level")).alias("s"))
     first = chosen.select("page_id", "target_id", "target_no", F.explode(
         F.sequence((F.col("s.lo") + 1).cast("int"), F.least(F.col("s.hi"), F.col("s.lo") + take + 1).cast("int"))).alias("place"))
-    near = first.join(numbered, ["page_id", "place"]).filter("node_no <> target_no")
+    near = first.join(numbered.hint("merge"), ["page_id", "place"]).filter("node_no <> target_no")
     lines = F.slice(F.array_sort(F.collect_list(F.struct("node_no", F.substring("text", 1, chars).alias("text"),
                                                          "tag", "role"))), 1, take)
     return near.groupBy("page_id", "target_id").agg(
@@ -114,12 +118,14 @@ def _fitting_nodes(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     Rows without a page, tag or text fit nothing; repeated findings count once.
     """
     asked = asked.dropna(subset=["page_id", "tag", "target"])
-    wanted = nodes.dropna(subset=["content"]).join(asked.select("page_id", "tag").distinct(), ["page_id", "tag"], "left_semi")
+    wanted = nodes.dropna(subset=["content"]).join(asked.select("page_id", "tag").distinct().hint("merge"), ["page_id", "tag"], "left_semi")
     stream = asked.select("page_id", F.lit(None).cast(nodes.schema["node_no"].dataType).alias("node_no"), "tag",
                           F.col("target").alias("content"), "cand_id", F.lit(False).alias("is_node")).unionByName(
         wanted.select("page_id", "node_no", "tag", "content", F.lit(None).cast(asked.schema["cand_id"].dataType).alias("cand_id"),
                       F.lit(True).alias("is_node")))
 
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
     def search(batches):
         from ahocorasick import Automaton
 
@@ -174,39 +180,43 @@ def resolve_snapshot(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     ``page_id, node_no, cand_id, tag, selector, text_content``.  By id first,
     then by selector with tag and text, then by tag and text if exactly one
     unclaimed node fits.  Where two findings want one node the smaller id wins.
+    Both sides hold several rows for every element of every page, far more than
+    the size of the pages tells the planner, so no side is ever broadcast.
     """
+    def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        return left.join(right.hint("merge"), keys, how)
+
     # A step without a position means the first fitting element.
     place = F.regexp_replace("selector", r"(^| > )([a-z][a-z0-9-]*)(?= > |$)", "$1$2:nth-of-type(1)").alias("selector")
     nodes = nodes.select("page_id", "node_no", "cand_id", "tag", place,
                          collapse_space(F.col("text_content")).alias("content"))
     wanted = findings.select("page_id", "cand_id", "tag", place, collapse_space(F.col("text")).alias("target"))
     by_id = (
-        wanted.join(nodes.select("page_id", "cand_id", "tag", "node_no"), ["page_id", "cand_id", "tag"])
+        meet(wanted, nodes.select("page_id", "cand_id", "tag", "node_no"), ["page_id", "cand_id", "tag"])
         .groupBy("page_id", "cand_id").agg(F.min("node_no").alias("node_no"))
         .withColumn("outcome", F.lit("registry"))
     )
     claimed = by_id.select("page_id", "node_no")
-    rest = wanted.join(by_id.select("page_id", "cand_id"), ["page_id", "cand_id"], "left_anti")
+    rest = meet(wanted, by_id.select("page_id", "cand_id"), ["page_id", "cand_id"], "left_anti")
 
     spot = nodes.groupBy("page_id", "selector").agg(F.min_by(F.struct("node_no", "tag", "content"), "node_no").alias("s"))
-    fits = rest.join(spot, ["page_id", "selector"]).filter(
+    fits = meet(rest, spot, ["page_id", "selector"]).filter(
         (F.col("target") != "") & (F.col("s.tag") == F.col("tag")) & F.contains("s.content", "target")
     ).select("page_id", "cand_id", F.col("s.node_no").alias("node_no"))
-    free = fits.join(claimed, ["page_id", "node_no"], "left_anti").groupBy("page_id", "node_no").agg(
+    free = meet(fits, claimed, ["page_id", "node_no"], "left_anti").groupBy("page_id", "node_no").agg(
         F.min("cand_id").alias("winner"))
     by_selector = (
-        fits.join(free, ["page_id", "node_no"], "left")
+        meet(fits, free, ["page_id", "node_no"], "left")
         .withColumn("outcome", F.when(F.col("winner").eqNullSafe(F.col("cand_id")), "selector").otherwise("claimed"))
         .select("page_id", "cand_id", F.when(F.col("outcome") == "selector", F.col("node_no")).alias("node_no"), "outcome")
     )
     claimed = claimed.unionByName(by_selector.filter("outcome = 'selector'").select("page_id", "node_no"))
-    rest = rest.join(by_selector.select("page_id", "cand_id"), ["page_id", "cand_id"], "left_anti")
+    rest = meet(rest, by_selector.select("page_id", "cand_id"), ["page_id", "cand_id"], "left_anti")
 
-    unclaimed = nodes.join(claimed, ["page_id", "node_no"], "left_anti")
+    unclaimed = meet(nodes, claimed, ["page_id", "node_no"], "left_anti")
     per = _fitting_nodes(rest.filter(F.length("target") >= MIN_TEXT), unclaimed)
     owner = per.filter("matches = 1").groupBy("page_id", "node_no").agg(F.min("cand_id").alias("owner"))
-    by_text = rest.select("page_id", "cand_id").join(per, ["page_id", "cand_id"], "left").join(
-        owner, ["page_id", "node_no"], "left")
+    by_text = meet(meet(rest.select("page_id", "cand_id"), per, ["page_id", "cand_id"], "left"), owner, ["page_id", "node_no"], "left")
     found = (F.col("matches") == 1) & (F.col("owner") == F.col("cand_id"))
     by_text = by_text.select(
         "page_id", "cand_id", F.when(found, F.col("node_no")).alias("node_no"),
