@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uipatterns.session import work_tasks
 from uipatterns.sources.tables import read_spread
 
 # Template bank: i, template, lang, tag, role, field, step, label.
@@ -82,6 +83,13 @@ microcopy AS (SELECT p_partkey * 100 + i AS row_id, i AS template_id, label, lan
   template, p_partkey, p_size, p_retailprice, p_name, p_type
   FROM part JOIN bank ON p_partkey % 32 = i)"""
 
+
+def _page_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Pages are few bytes and much work each, so the number of partitions is set instead of left to
+    their size, and grows with ``part``: a task parses at most about 200 pages of 32 parts."""
+    return max(work_tasks(spark), -(-table(spark, sf_dir, "part").count() // 6_400))
+
+
 def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` as product listings: one HTML page per 32 parts, one card per part."""
     rows = microcopy(spark, sf_dir)
@@ -92,10 +100,8 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('</b></a><s>Rs. '), F.floor("p_retailprice").cast("string"), F.lit('</s><div class="'), F.translate("role", "_", "-"),
         F.lit('"><span>'), "text", F.lit("</span></div><time>Ends in<span>"), clock, F.lit("</span></time></li>"))
     page = F.floor(F.col("p_partkey") / 32)
-    # At most 32 cards make a page.  Pages are few bytes and much work each, so
-    # the number of partitions is set instead of left to their size.
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.withColumn("page_id", page).repartition(tasks, "page_id").groupBy("page_id").agg(
+    # At most 32 cards make a page.
+    return rows.withColumn("page_id", page).repartition(_page_tasks(spark, sf_dir), "page_id").groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("card")))), lambda x: x["card"]), "")
         .alias("cards")
     ).select(
@@ -109,7 +115,7 @@ def part_pages(spark: SparkSession, sf_dir: str, forms: list[str], depth: int =
     p = table(spark, sf_dir, "part")
     shape = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("p_partkey") % len(forms)).cast("int"))
     item = F.concat(F.lit("<li>" + "<div>" * depth), F.replace(shape, F.lit("#"), F.concat("p_name", F.lit(" no "), F.col("p_partkey").cast("string"))), F.lit("</div>" * depth + "</li>"))
-    return p.withColumn("page_id", F.floor(F.col("p_partkey") / 32)).groupBy("page_id").agg(
+    return p.withColumn("page_id", F.floor(F.col("p_partkey") / 32)).repartition(_page_tasks(spark, sf_dir), "page_id").groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), "").alias("items")
     ).select("page_id", F.lit("https://shop.example/list").alias("url"),
              F.concat(F.lit('<html lang="en"><body><ul>'), "items", F.lit("</ul></body></html>")).alias("html"))

@@ -19,6 +19,8 @@ from uipatterns.sources.html import CONTROL_ROLES, CONTROL_TAGS, GROUP_INLINE
 
 #: So many nearest ancestors of a candidate are kept as scopes.
 NEAR_SCOPES = 16
+#: Characters of HTML whose candidates one task works on.
+PART_CHARS = 2_000_000
 
 
 def _nearest(test) -> Column:
@@ -93,7 +95,7 @@ def extract_candidates(
     if layout is not None:
         measured = [c for c in ("font_px", "contrast", "opacity", "area") if c in layout.columns]
         side = layout.select("page_id", "node_no", *[F.col(c).cast("double").alias(f"_{c}") for c in measured])
-        rows = rows.join(side, ["page_id", "node_no"], "left")
+        rows = rows.join(side.hint("merge"), ["page_id", "node_no"], "left")  # a row per element: too many to broadcast
         rows = rows.withColumns({c: F.coalesce(f"_{c}", c) for c in measured}).drop(*[f"_{c}" for c in measured])
     if animated is not None:
         ticking = animated.select("page_id", "selector").distinct().withColumn("is_animated", F.lit(True))
@@ -171,6 +173,8 @@ def page_candidates(
     """
     areas = layout is not None and "area" in layout.columns
     cands = extract_candidates(explode_nodes(pages, candidates_only=True, kinds=kinds, buttons=kinds and areas), layout, animated)
-    # One exchange: every later step works within a page and reuses it.
-    by_page = cands.repartition("page_id")
+    # One exchange: every later step works within a page and reuses it.  Those steps sort the rows several times in one
+    # task, and rows are far larger there than in the exchange, by whose bytes partitions would be put together.
+    parts = -(-(pages.agg(F.sum(F.length("html"))).first()[0] or 0) // PART_CHARS)
+    by_page = cands.repartition(parts, "page_id") if parts > pages.sparkSession.sparkContext.defaultParallelism else cands.repartition("page_id")
     return refine_titles(collapse_nested(dedupe_occurrences(by_page)))

@@ -190,7 +190,7 @@ def add_accept_area(cands: DataFrame, buttons: DataFrame) -> DataFrame:
     found = buttons.select("page_id", "node_no", F.coalesce(F.col("area").cast("double"), F.lit(0.0)).alias("b_area"))
     near = found.unionByName(asks, allowMissingColumns=True).groupBy("page_id").applyInPandas(
         accept_areas, f"page_id {kind}, node_no int, accept_area double")
-    return cands.join(near, ["page_id", "node_no"], "left")
+    return cands.join(near.hint("merge"), ["page_id", "node_no"], "left")  # a row per decline control: too many to broadcast
 
 
 __all__ = ["RULES", "class_and_id", "run_rules", "rule_hits_long", "rule_allowed", "new_fee_lines",
