@@ -91,7 +91,7 @@ def scan_pages(
         model_input(F.col("text"), F.col("tag"), F.col("role")).alias("model_input")))
     asked = to_score(cands).select("page_id", "cand_id", "model_input")
     scored = decide(score_distinct(asked, scorer, row_id=["page_id", "cand_id"]), thresholds)
-    both = cands.join(scored.select("page_id", "cand_id", F.col("findings").alias("model")), ["page_id", "cand_id"], "left")
+    both = cands.join(scored.select("page_id", "cand_id", F.col("findings").alias("model")).hint("merge"), ["page_id", "cand_id"], "left")
     rules = F.transform("rule_hits", lambda h, i: F.struct(h["label"].alias("label"), h["rule"].alias("rule"), i.alias("seq"),
                                                            F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold")))
     model = F.transform(F.coalesce("model", F.array().cast("array<struct<label:string,score:double,threshold:double>>")),
