@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from uipatterns.functions.text import archive_host, host_of, safe_segment, utc_day
 from uipatterns.operators.traces import latest_per_scan
 from uipatterns.schema import TRACE_ENTRY
+from uipatterns.session import cut_lineage, work_tasks
+from uipatterns.streaming.ledger import Files
+
+BUSY_DAY = 5_000  # scans of a host and day that make one file
 
 _ENTRIES = f"array<{TRACE_ENTRY.simpleString()}>"
 
@@ -51,24 +55,28 @@ def write_archive(traces: DataFrame, path: str) -> None:
     })
     day = ["host", "year", "month", "day"]
     merged = keyed
-    if _exists(spark, path):
+    if Files(spark, path).exists(path):
         archive = read_archive(spark, path)
+        keyed = cut_lineage(keyed)  # read for its scans, its days and its captures
         known = archive.select("scan_id", F.struct(*day).alias("_at")).join(keyed.select("scan_id").distinct(), "scan_id", "left_semi").groupBy(
             "scan_id").agg(F.min("_at").alias("_at"))
-        placed = keyed.join(known, "scan_id", "left").withColumns({c: F.coalesce(F.col("_at")[c], F.col(c)) for c in day}).drop("_at")
-        # One row per host and day of this batch.
-        days = [tuple(r) for r in placed.select(*day).distinct().collect()]
-        touched = F.struct(*day).isin([F.struct(*[F.lit(v) for v in d]) for d in days]) if len(days) <= 200 else None
-        old = archive.filter(touched) if touched is not None else archive.join(
-            spark.createDataFrame(days, "host string, year string, month string, day string"), day, "left_semi")
+        placed = cut_lineage(keyed.join(known, "scan_id", "left").withColumns({c: F.coalesce(F.col("_at")[c], F.col(c)) for c in day}).drop("_at"))
+        # One row per host and day of this batch; few are a filter on names, many a join.
+        touched = placed.select(*day).distinct()
+        few = [tuple(r) for r in touched.limit(201).collect()]
+        old = archive.filter(F.struct(*day).isin([F.struct(*[F.lit(v) for v in d]) for d in few])) if len(few) <= 200 else archive.join(
+            touched, day, "left_semi")
         merged = latest_per_scan(placed.unionByName(old, allowMissingColumns=True).select(keyed.columns))
     # The read above must be finished before its files are replaced.
     stage = f"{path.rstrip('/')}_stage/{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(stage)
     staged = spark.read.parquet(stage)
-    # Rows of one day stay together but a busy day is cut by scan.
-    (staged.repartition(*day, F.pmod(F.xxhash64("scan_id"), F.lit(16)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*day).parquet(path))
+    # Rows of one day stay together, in one file: only busy days, of which there can't be many, are cut by scan.
+    busy = staged.groupBy(*day).agg(F.ceil(F.count(F.lit(1)) / BUSY_DAY).cast("int").alias("_n")).filter("_n > 1")
+    cut = staged.join(F.broadcast(busy), day, "left").withColumn("_cut", F.pmod(F.xxhash64("scan_id"), F.coalesce("_n", F.lit(1)))).drop("_n")
+    # The executors put their files into place, else the driver would move them one by one.
+    (cut.repartition(work_tasks(spark), *day, "_cut").drop("_cut").write.mode("overwrite")
+     .options(**{"partitionOverwriteMode": "dynamic", "mapreduce.fileoutputcommitter.algorithm.version": "2"}).partitionBy(*day).parquet(path))
 
 
 def read_archive(spark: SparkSession, path: str, host: str | None = None) -> DataFrame:
@@ -81,13 +89,3 @@ ARCHIVE = (
     f"scan_id string, captured_at timestamp, url string, page_score int, entries {_ENTRIES}, "
     "host string, year string, month string, day string"
 )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema(ARCHIVE).parquet(path)
-        return True
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
