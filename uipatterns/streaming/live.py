@@ -95,9 +95,13 @@ def finding_changes(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
             yield pd.DataFrame({"document": [document], "cand_id": [cand], "at": [at], "found": ["[]"], "kind": ["expired"]})
             return
         at, found = state.get if state.exists else (None, "[]")
-        rows = pd.concat(list(frames)).sort_values(["at", "found"], kind="stable")
+        # Plain lists: most keys have a few rows, and frames of their own cost more than the rows.
+        rows, newest = [], None
+        for frame in frames:
+            rows += zip(frame["at"].tolist(), frame["found"].tolist())
+            newest = frame["arrived"].max() if newest is None else max(newest, frame["arrived"].max())
         out = []
-        for now, said in zip(rows["at"], rows["found"]):
+        for now, said in sorted(rows):
             if at is not None and now < at:
                 out.append((int(now), said, "stale"))
                 continue
@@ -105,10 +109,11 @@ def finding_changes(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
                 out.append((int(now), said, "upsert" if json.loads(said) else "delete"))
             at, found = int(now), said
         state.update((at, found))
-        arrived = max(int(rows["arrived"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
+        arrived = max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(arrived + wait)
-        yield pd.DataFrame({"document": [document] * len(out), "cand_id": [cand] * len(out), "at": [x[0] for x in out],
-                            "found": [x[1] for x in out], "kind": [x[2] for x in out]})
+        if out:
+            yield pd.DataFrame({"document": [document] * len(out), "cand_id": [cand] * len(out), "at": [x[0] for x in out],
+                                "found": [x[1] for x in out], "kind": [x[2] for x in out]})
 
     rows = stream.select(strip_fragment(F.col("url")).alias("document"), "cand_id", F.unix_micros("seen_at").alias("at"),
                          F.to_json(F.coalesce("findings", F.array().cast("array<struct<label:string,confidence:string>>"))).alias("found"),
