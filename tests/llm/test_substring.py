@@ -76,6 +76,19 @@ def test_rows_of_one_id_have_candidates_of_their_own(spark, tmp_path):
     assert got == {(rows[0][1], 0)} | {(" ".join(t.split()[:-30]), 30) for _, t in rows[1:39]}
 
 
+def test_windows_within_a_shared_passage_are_not_named(spark, tmp_path):
+    shared = " ".join(f"p{i}" for i in range(400))
+    rows = [(d, " ".join(f"d{d}w{i}" for i in range(5)) + " " + shared + f" end{d}") for d in range(1, 41)]
+    rows += [(100 + d, " ".join(f"p{i}" for i in range(150 + d, 250))) for d in range(4)] + [(None, rows[0][1]), (200, rows[3][1]), (200, rows[3][1])]
+    for parts in (1, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = [(r["doc_id"], (r["text"] or "").split()) for r in remove_repeats(df, window=20, folder=f"{tmp_path}/{parts}").collect()]
+        want = brute(rows, 20)
+        assert len(got) == len(rows) and all(w == want[d] for d, w in got)
+        # 381 windows of each of the 40 texts lie in the passage; only those at its ends differ between the texts.
+        assert spark.read.parquet(f"{tmp_path}/{parts}/windows").count() < 40 * 381 / 4
+
+
 def test_a_passage_at_one_place_of_two_texts_of_one_id_stays_once(spark):
     shared = " ".join(f"p{i}" for i in range(30))
     for spread in (1, 4):

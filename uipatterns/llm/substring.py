@@ -164,42 +164,58 @@ def _slices(batch, limit: int = 4_000_000):
         yield batch.slice(begin)
 
 
-SEGMENTS = pa.schema([("key", pa.int64()), ("owner", pa.int32()), ("p0", pa.int32()), ("p1", pa.int32()), ("known", pa.int8())])
+SEGMENTS = pa.schema([
+    ("key", pa.int64()), ("name", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("state", pa.int8())])
+# What a batch knows of a segment.  Its words are the only ones under its key, or the first or the next of several, or they start earlier here.
+ALONE, FIRST, NEXT, LATER = range(4)
+
+
+def _rank(ids: list) -> np.ndarray:
+    """Place of each id among the batch's ids, null first."""
+    rank = {d: i for i, d in enumerate(sorted(set(ids), key=lambda d: (d is not None, d)))}
+    return np.array([rank[d] for d in ids], np.int64)
 
 
 def _emit_segments(batches, window: int, rounds: int):
-    """Segments of a task's documents.  known: 0 seen once so far, 1 seen before here, 2 the first of several here."""
+    """Segments of a task's documents, with the name of all their words and what the batch knows of them.
+
+    ALONE and FIRST, at most one row of a key and batch, have to meet those of
+    other batches; of NEXT and LATER all is known here.
+    """
     for batch in batches:
         for part in _slices(batch):
-            ids = part.column("doc_id").to_pylist()
+            ids, keys = part.column("doc_id").to_pylist(), part.column("tk").to_pylist()
             first: dict = {}
-            for row, (d, t) in enumerate(zip(ids, part.column("tk").to_pylist())):
+            for row, (d, t) in enumerate(zip(ids, keys)):
                 best = first.get(t)
                 if best is None or (ids[best] is not None and (d is None or d < ids[best])):
                     first[t] = row
-            rows = sorted(first.values())
-            words, edges = _batch_words(_texts(part.column("text").take(pa.array(rows, pa.int64()))))
+            rows = np.array(sorted(first.values()), np.int64)
+            words, edges = _batch_words(_texts(part.column("text").take(pa.array(rows))))
             key, a, b = anchor_windows(Ranges(words), edges, window, rounds) if edges[-1] else (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 2
             if not len(key):
                 continue
+            name = Ranges(words, 1).names(a, b + window - 1)
             doc = np.searchsorted(edges, a, side="right") - 1
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            several = np.concatenate([ordered[1:] == ordered[:-1], [False]])
-            known = np.empty(len(key), np.int8)
-            known[order] = np.where(~new, 1, np.where(several, 2, 0))
-            owner = part.column("owner").take(pa.array(np.asarray(rows)[doc], pa.int64()))
+            place, by_text = a - edges[doc], np.array(keys, np.int64)[rows][doc]
+            order = np.lexsort((by_text, place, _rank(ids)[rows][doc], name, key))
+            new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            new = new_key | np.concatenate([[True], name[order][1:] != name[order][:-1]])
+            of_key = np.cumsum(new_key) - 1
+            several = np.bincount(of_key, weights=new)[of_key] > 1
+            state = np.empty(len(key), np.int8)
+            state[order] = np.where(~new, LATER, np.where(~several, ALONE, np.where(new_key, FIRST, NEXT)))
+            owner = pa.array(rows[doc])
             yield pa.RecordBatch.from_arrays([
-                pa.array(key.view(np.int64)), owner, pa.array((a - edges[doc]).astype(np.int32)),
-                pa.array((b - edges[doc]).astype(np.int32)), pa.array(known)], schema=SEGMENTS)
+                pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), part.column("doc_id").take(owner).cast(pa.int64()),
+                pa.array(by_text), pa.array(place.astype(np.int32)), pa.array((b - edges[doc]).astype(np.int32)), pa.array(state)], schema=SEGMENTS)
 
 
 WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("p", pa.int32()), ("later", pa.bool_())])
 
 
 def _emit_windows(batches, window: int):
-    """128-bit names of the windows of the listed segments; ``later`` marks those that start earlier within the batch."""
+    """128-bit names of the windows of the listed segments; those that start earlier within the batch are ``later`` and need no name."""
     for batch in batches:
         for part in _slices(batch):
             words, edges = _batch_words(_texts(part.column("text")))
@@ -216,9 +232,7 @@ def _emit_windows(batches, window: int):
             w1, w2 = Ranges(words, 0).names(at, at + window), Ranges(words, 1).names(at, at + window)
             doc = np.searchsorted(edges, at, side="right") - 1
             place = at - edges[doc]
-            ids = part.column("doc_id").to_pylist()
-            rank = {d: i for i, d in enumerate(sorted(set(ids), key=lambda d: (d is not None, d)))}
-            by_id = np.array([rank[d] for d in ids])[doc]
+            by_id = _rank(part.column("doc_id").to_pylist())[doc]
             by_text = np.array(part.column("tk").to_pylist(), np.int64)[doc]
             order = np.lexsort((by_text, place, by_id, w2, w1))
             new = np.concatenate([[True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])])
@@ -227,7 +241,7 @@ def _emit_windows(batches, window: int):
             later[order] = (by_id[order] != by_id[lead]) | (place[order] != place[lead]) | (by_text[order] != by_text[lead])
             owner = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), part.column("doc_id").take(owner).cast(pa.int64()),
+                pa.array(w1.view(np.int64), mask=later), pa.array(w2.view(np.int64), mask=later), part.column("doc_id").take(owner).cast(pa.int64()),
                 part.column("tk").take(owner), pa.array(place.astype(np.int32)), pa.array(later)], schema=WINDOWS)
 
 
@@ -247,13 +261,15 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _spans(starts: list[int], window: int) -> list[tuple[int, int]]:
+def _spans(starts: list[dict], window: int) -> list[tuple[int, int]]:
+    """Word ranges that the windows starting in [p0, p1) cover."""
     out: list[list[int]] = []
-    for p in sorted(starts):
-        if out and p <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], p + window)
+    for p0, p1 in sorted((s["p0"], s["p1"]) for s in starts):
+        stop = p1 - 1 + window
+        if out and p0 <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
         else:
-            out.append([p, p + window])
+            out.append([p0, stop])
     return [(a, b) for a, b in out]
 
 
@@ -285,11 +301,13 @@ def remove_repeats(
        hold, so names agree across tasks without a dictionary.  Each window is
        anchored at its highest symbol boundary that depends on nothing outside
        it; neighbouring windows share an anchor, which is one row.
-    2. Rows of one key are brought together; keys seen once are done.  Repeats
-       within a batch of rows are known there already and send one row, so a
-       passage shared by a third of all rows sends one row per batch.
-    3. Only for what is left, windows get 128-bit names and the first of each
-       name is found; the rest are removals.
+    2. Segments of one key are brought together; keys seen once are done.  Of
+       segments whose words are all equal, every one but the first goes whole,
+       and no window of it is named.  Within a batch of rows that is known
+       already: a key sends one row per batch.
+    3. Only keys whose segments differ are left, as at the ends of a passage.
+       The first segments of each wording get 128-bit names for their windows
+       and the first of each name is found; the rest are removals.
     Rows of equal text are settled first: all but the smallest id go whole.
 
     Odd rows: null text: 0 words, stays null; fewer than ``window`` words: as
@@ -302,31 +320,38 @@ def remove_repeats(
     folder = folder or shared_folder(spark, "substring")
     rounds = rounds or rounds_for(window)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tk"), F.col(text_col).cast("string").alias("text"))
-    # The owner is a short name of (id, text): rows that share an id have lists of their own, and two rows that share
-    # a name only look at each other's candidates too.
-    sized = keyed.filter("text is not null").withColumn("bytes", F.octet_length("text")).withColumn("owner", F.hash("doc_id", "tk"))
-    segments = written(sized.mapInArrow(
-        lambda b: _emit_segments(b, window, rounds), "key long, owner int, p0 int, p1 int, known byte"), folder, "segments")
-    seen = segments.filter("known <> 1").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1 and known = 0")
-    of_doc = seen.select("owner", "p0", "p1").unionByName(segments.filter("known > 0").select("owner", "p0", "p1")).groupBy(
-        F.col("owner").alias("d")).agg(F.collect_set(F.struct("p0", "p1")).alias("segments"))
+    sized = keyed.filter("text is not null").withColumn("bytes", F.octet_length("text"))
+    same_row = lambda first: F.col("doc_id").eqNullSafe(F.col(f"{first}.doc_id")) & (F.col("tk") == F.col(f"{first}.tk"))
 
     # Rows of equal texts: text key, length and a second hash.
     narrow = keyed.filter("text is not null").select("doc_id", "tk", F.struct("tk", F.octet_length("text"), F.crc32(F.encode("text", "UTF-8"))).alias("same"))
     first = narrow.groupBy("same").agg(F.min(F.struct("doc_id")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", F.col("m.doc_id").alias("first"))
     copies = written(narrow.join(first, "same").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "tk").distinct(), folder, "copies")
 
-    wanted = written(of_doc, folder, "wanted")
-    found = sized.join(wanted.hint("shuffle_hash"), sized["owner"] == wanted["d"])
-    named = found.select("doc_id", "tk", "text", "bytes", "segments").mapInArrow(
-        lambda b: _emit_windows(b, window), "w1 long, w2 long, doc_id long, tk long, p int, later boolean")
-    named = written(named.join(copies.withColumn("copy", F.lit(True)), (named["doc_id"].eqNullSafe(copies["doc_id"])) & (named["tk"] == copies["tk"]), "left_anti"), folder, "windows")
-    whole = Window.partitionBy("w1", "w2")
-    other = named.filter("not later").withColumn("first", F.min(F.struct("doc_id", "p", "tk")).over(whole)).filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("p") == F.col("first.p")) & (F.col("tk") == F.col("first.tk"))))
-    gone = named.filter("later").select("doc_id", "tk", "p").unionByName(other.select("doc_id", "tk", "p")).groupBy("doc_id", "tk").agg(
-        F.collect_set("p").alias("starts"), F.lit(False).alias("copy"))
-    info = written(gone.unionByName(copies.select("doc_id", "tk", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))), folder, "gone")
+    segments = written(sized.select("doc_id", "tk", "text", "bytes").mapInArrow(
+        lambda b: _emit_segments(b, window, rounds), "key long, name long, doc_id long, tk long, p0 int, p1 int, state byte"), folder, "segments")
+    of_key, of_words = Window.partitionBy("key"), Window.partitionBy("key", "name")
+    seen = segments.filter(F.col("state") < NEXT).withColumns({
+        "n": F.count(F.lit(1)).over(of_key),
+        "several": (F.min("name").over(of_key) != F.max("name").over(of_key)) | (F.max("state").over(of_key) == FIRST),
+    }).filter((F.col("n") > 1) | F.col("several")).withColumn("first", F.min(F.struct("doc_id", "p0", "tk")).over(of_words)).withColumn(
+        "later", ~(same_row("first") & (F.col("p0") == F.col("first.p0")))).filter("later or several")
+    place = ["doc_id", "tk", "p0", "p1"]
+    met = seen.select(*place, "later").unionByName(segments.filter(F.col("state") >= NEXT).select(*place, (F.col("state") == LATER).alias("later")))
+    met = written(met.join(copies, met["doc_id"].eqNullSafe(copies["doc_id"]) & (met["tk"] == copies["tk"]), "left_anti"), folder, "met")
+    asked = met.filter("not later").groupBy(F.col("doc_id").alias("d"), F.col("tk").alias("k")).agg(F.collect_set(F.struct("p0", "p1")).alias("segments"))
+
+    wanted = written(asked, folder, "wanted")
+    found = sized.join(wanted.hint("shuffle_hash"), sized["doc_id"].eqNullSafe(wanted["d"]) & (sized["tk"] == wanted["k"]))
+    named = written(found.select("doc_id", "tk", "text", "bytes", "segments").mapInArrow(
+        lambda b: _emit_windows(b, window), "w1 long, w2 long, doc_id long, tk long, p int, later boolean"), folder, "windows")
+    of_name = Window.partitionBy("w1", "w2")
+    other = named.filter("not later").withColumn("first", F.min(F.struct("doc_id", "p", "tk")).over(of_name)).filter(
+        ~(same_row("first") & (F.col("p") == F.col("first.p"))))
+    one = ["doc_id", "tk", F.col("p").alias("p0"), (F.col("p") + 1).alias("p1")]
+    gone = met.filter("later").select(place).unionByName(named.filter("later").select(one)).unionByName(other.select(one)).groupBy("doc_id", "tk").agg(
+        F.collect_set(F.struct("p0", "p1")).alias("starts"), F.lit(False).alias("copy"))
+    info = written(gone.unionByName(copies.select("doc_id", "tk", F.array().cast("array<struct<p0:int,p1:int>>").alias("starts"), F.lit(True).alias("copy"))), folder, "gone")
 
     count, removed, spans = spare(docs, "n_words", "n_removed", "removed_spans")
     ps, copy, i_id, i_tk, tk = spare(docs, "_starts", "_copy", "_i_id", "_i_tk", "_tk")
