@@ -10,7 +10,9 @@ from uipatterns.catalog import inputs as I
 from uipatterns.operators import baseline as B
 from uipatterns.operators import candidates as C
 from uipatterns.operators import groups as G
+from uipatterns.operators import nodes as N
 from uipatterns.sources import archive as A
+from uipatterns.sources import html as H
 
 
 def plan_of(df):
@@ -66,3 +68,36 @@ def test_a_quiet_day_is_one_file(spark, tmp_path):
     A.write_archive(rows.withColumn("entries", F.lit(None).cast(A._ENTRIES)), path)
     assert len(glob.glob(f"{path}/**/*.parquet", recursive=True)) == 1
     assert A.read_archive(spark, path).count() == 40
+
+
+def test_marks_say_what_the_steps_of_a_path_say(page):
+    deep = "<i>" * 30
+    df = N.explode_nodes(page(
+        '<label><a href="/x">one <b hidden>two</b></a></label><form role="dialog"><s>three</s><div style="color:red"><p>four</p></div></form>'
+        f'<svg><p>five</p></svg><p aria-hidden="true"><b>six</b></p><button><em id="e">seven</em></button><a>eight</a>'
+        f'<div class="VJS-x"><del>{deep}nine</del></div><section role="button"><template shadowrootmode="open"><b>ten</b></template></section>'))
+    has = lambda test: F.exists("path", lambda n: F.coalesce(test(n), F.lit(False)))
+    last = lambda steps, test: F.try_element_at(F.transform(F.filter(steps, lambda n: F.coalesce(test(n), F.lit(False))), lambda n: n["node_no"]), F.lit(-1))
+    checks = {
+        "skipped": N.marked(H.SKIPPED) == has(lambda n: n["tag"].isin(H.SKIP_TAGS) | n["aria_hidden"]),
+        "label": N.marked(H.LABEL) == has(lambda n: n["tag"] == "label"),
+        "form": N.marked(H.FORM) == has(lambda n: n["tag"] == "form"),
+        "dialog": N.marked(H.DIALOG) == has(lambda n: n["role"] == "dialog"),
+        "struck": N.marked(H.STRUCK) == has(lambda n: n["tag"].isin("s", "del")),
+        "hidden": N.marked(H.HIDDEN) == has(lambda n: n["hidden"]),
+        "styled": N.marked(H.STYLED) == has(lambda n: n["style"].isNotNull()),
+        "block": F.col("block_no").eqNullSafe(last(N.ancestors(), lambda n: ~n["tag"].isin(H.GROUP_INLINE))),
+        "link": F.col("link_no").eqNullSafe(last("path", lambda n: (n["tag"] == "a") & n["href"])),
+        "control": F.col("control_no").eqNullSafe(last("path", lambda n: n["tag"].isin(H.CONTROL_TAGS) | n["role"].isin(H.CONTROL_ROLES))),
+        "video": ~(has(lambda n: n["cls"] == "VJS-x") & ~N.marked(H.VIDEO)),
+    }
+    rows = df.select("tag", *[c.alias(n) for n, c in checks.items()]).collect()
+    assert len(rows) >= 50 and [(r.tag, n) for r in rows for n in checks if r[n] is not True] == []
+
+
+def test_groups_are_swept_without_a_frame_per_page(page):
+    cands = C.page_candidates(page("<time>Ends in<span>09:52</span></time><div>Rs. 10 and<b>Rs. 20</b></div><a>no group</a>", "<p>none</p>"))
+    groups = G.propose_groups(cands)
+    assert "FlatMapGroupsInArrow" in plan_of(groups)
+    assert sorted((r.page_id, r.text, r.type, len(r.member_ids)) for r in groups.collect()) == [
+        (1, "Ends in 09:52", "timer_label_value", 2), (1, "Rs. 10 and Rs. 20", "price_comparison", 2)]

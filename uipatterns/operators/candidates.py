@@ -9,12 +9,12 @@ from uipatterns.functions.ids import occurrence_id
 from uipatterns.functions.text import contrast_ratio, infer_step, parse_rgb, text_gate, trim_space
 from uipatterns.operators.fields import card_root, infer_field, refine_titles
 from uipatterns.operators.nodes import (
-    ancestors, attr, bind, explode_nodes, in_sticky_chrome, in_video_player, is_skipped, is_visible, near, stable_selector,
-    style_value,
+    ancestors, attr, bind, explode_nodes, in_sticky_chrome, in_video_player, is_skipped, is_visible, marked,
+    stable_selector, style_value,
 )
 from uipatterns.operators.roles import infer_role
 from uipatterns.schema import DEFAULT_ROLE, MAX_TEXT, MIN_TEXT
-from uipatterns.sources.html import CONTROL_ROLES, CONTROL_TAGS, GROUP_INLINE
+from uipatterns.sources.html import DIALOG, FORM, LABEL, STRUCK, STYLED
 
 
 #: So many nearest ancestors of a candidate are kept as scopes.
@@ -23,18 +23,6 @@ NEAR_SCOPES = 16
 PART_CHARS = 2_000_000
 
 
-def _nearest(test) -> Column:
-    """Number of the innermost step of the path that passes ``test``."""
-    hits = F.transform(F.filter("path", lambda n: F.coalesce(test(n), F.lit(False))), lambda n: n["node_no"])
-    return F.try_element_at(hits, F.lit(-1))
-
-
-def _last_above(test) -> Column:
-    """Number of the innermost ancestor that passes ``test``."""
-    hits = F.transform(F.filter(ancestors(), test), lambda n: n["node_no"])
-    return F.try_element_at(hits, F.lit(-1))
-
-
 def _stated(prop: str) -> Column:
     """The nearest value an inline style on the path states for ``prop``."""
     styled = F.filter("path", lambda n: n["style"].isNotNull())
@@ -73,20 +61,16 @@ def extract_candidates(
         stable_selector().alias("selector"), F.col("scope.no").alias("scope_no"),
         (F.exists("text_parts", lambda t: trim_space(t) != "") | ~plain).alias("own"),
         F.transform(ancestors(NEAR_SCOPES), lambda n: F.struct(n["node_no"].alias("no"), n["sub_end"].alias("end"))).alias("scopes"),
-        F.coalesce(_last_above(lambda n: ~n["tag"].isin(GROUP_INLINE)), F.lit(-1)).alias("block_no"),
+        F.coalesce("block_no", F.lit(-1)).alias("block_no"),
         only(card_root()).alias("card_no"),
-        _nearest(lambda n: (n["tag"] == "a") & n["href"]).alias("link_no"),
-        _nearest(lambda n: n["tag"].isin(CONTROL_TAGS) | n["role"].isin(CONTROL_ROLES)).alias("control_no"),
-        near(lambda n: n["tag"] == "label").alias("in_label"),
-        near(lambda n: n["role"] == "dialog").alias("in_dialog"),
-        near(lambda n: n["tag"] == "form").alias("in_form"),
-        (near(lambda n: n["tag"].isin("s", "del"))
-         | F.coalesce(_stated("text-decoration(?:-line)?").contains("line-through"), F.lit(False))).alias("struck"),
+        "link_no", "control_no", marked(LABEL).alias("in_label"), marked(DIALOG).alias("in_dialog"), marked(FORM).alias("in_form"),
+        (marked(STRUCK) | F.when(
+            marked(STYLED), F.coalesce(_stated("text-decoration(?:-line)?").contains("line-through"), F.lit(False))).otherwise(False)).alias("struck"),
         in_video_player().alias("in_video"),
         number(style_value(style, "font-size")).alias("font_px"),
         number(style_value(style, "opacity")).alias("opacity"),
         F.when(
-            near(lambda n: n["style"].isNotNull()),
+            marked(STYLED),
             bind(F.struct(parse_rgb(_stated("color")).alias("fg"), parse_rgb(_stated("background-color")).alias("bg")),
                  lambda c: contrast_ratio(c["fg"], c["bg"])),
         ).alias("contrast"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uipatterns.functions.text import collapse_space, matches
-from uipatterns.operators.sweeps import groups_of_page
+from uipatterns.operators.sweeps import group_table
 from uipatterns.schema import MAX_TEXT, MIN_TEXT
 from uipatterns.sources.html import GROUP_INLINE
 
@@ -46,7 +46,7 @@ def group_type(text: Column, fragments: Column, in_video: Column) -> Column:
 def propose_groups(cands: DataFrame) -> DataFrame:
     """One group per candidate that contains others through inline elements only.
 
-    A sweep over the page's candidates in document order (``groups_of_page``)
+    A sweep over the page's candidates in document order (``group_table``)
     finds the members: no join, and no exchange beyond the one by page that
     candidates already have.
     """
@@ -54,7 +54,7 @@ def propose_groups(cands: DataFrame) -> DataFrame:
     grouped = cands.select(
         "page_id", "node_no", "sub_end", "cand_id", "text", "run_text", "control_no", "block_no", F.col("tag").isin(GROUP_INLINE).alias("may_join"),
         F.coalesce(F.length("run_text").between(MIN_TEXT, MAX_TEXT), F.lit(False)).alias("may_hold"), "is_animated", "in_video",
-    ).groupBy("page_id").applyInPandas(groups_of_page, f"""page_id {kind}, node_no int, cand_id string, text string, run_text string,
+    ).groupBy("page_id").applyInArrow(group_table, f"""page_id {kind}, node_no int, cand_id string, text string, run_text string,
         is_animated boolean, in_video boolean, members array<struct<node_no:int,cand_id:string,text:string,is_animated:boolean>>""")
     fragments = F.concat(F.array("text"), F.transform("members", lambda m: m["text"]))
     rows = grouped.select(

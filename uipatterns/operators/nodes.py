@@ -15,7 +15,7 @@ from uipatterns.functions.text import (
     ascii_regex, collapse_self_dup, collapse_space, own_text, page_lang, text_gate, trim_space,
 )
 from uipatterns.schema import MAX_TEXT, MIN_TEXT
-from uipatterns.sources.html import NEAR_STEPS, SKIP_TAGS, parse_pages
+from uipatterns.sources.html import HIDDEN, NAMED, NEAR_STEPS, SKIPPED, STYLED, VIDEO, parse_pages
 
 # --- fixed values: element names and patterns --------------------------------
 INLINE_TAGS = [
@@ -73,7 +73,11 @@ def explode_nodes(
 
     ``path`` lists steps from the root down to the element itself with what
     questions about ancestors need: the last 24, and of those above them the
-    nearest of each kind that a question asks about at any distance.  ``leaf_text`` is the joined text of an
+    nearest of each kind that a question asks about at any distance.  ``marks``
+    has a bit for each thing that some step of the whole path is, so that steps
+    are only looked at one by one where one of them can answer; ``block_no``,
+    ``link_no`` and ``control_no`` are the innermost non-inline ancestor, link
+    and control.  ``leaf_text`` is the joined text of an
     element whose children are all text or inline; ``run_text`` is the text of
     the whole subtree.  Both are null where they would be longer than a
     candidate may be.  ``text_content=True`` adds the unbounded text of every
@@ -144,6 +148,7 @@ def explode_nodes(
                      on["gone"].alias("gone"), on["dark"].alias("dark")).alias("scope"),
             *[n[c].alias(c) for c in ("node_no", "parent_no", "depth", "sub_end", "tag", "attrs")],
             n["twin"].alias("is_card"), F.transform(F.concat(n["anc"], F.array(x["i"])), lambda a: briefs[a]).alias("path"),
+            *[n[c].alias(c) for c in ("marks", "block_no", "link_no", "control_no")],
             t["text_parts"].alias("text_parts"), t["leaf_text"].alias("leaf_text"), run.alias("run_text"),
         ]
         if candidate_texts or candidates_only:
@@ -185,6 +190,11 @@ def attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
 
+def marked(bits: int) -> Column:
+    """True if the node or one of its ancestors is one of ``bits`` (see ``uipatterns.sources.html``)."""
+    return F.col("marks").bitwiseAND(F.lit(bits)) != 0
+
+
 def near(test: Callable[[Column], Column], limit: int | None = None) -> Column:
     """True if the node or one of its ancestors passes ``test``."""
     return F.exists(path_end(limit), lambda n: F.coalesce(test(n), F.lit(False)))
@@ -216,7 +226,7 @@ def class_and_id(attrs: Column) -> Column:
 
 
 def is_skipped() -> Column:
-    return near(lambda n: n["tag"].isin(SKIP_TAGS) | n["aria_hidden"])
+    return marked(SKIPPED)
 
 
 def prune(nodes: DataFrame) -> DataFrame:
@@ -250,7 +260,9 @@ def is_visible() -> Column:
     invisible = F.coalesce(F.try_element_at(stated, F.lit(-1)) == "hidden", F.col("scope.dark"), F.lit(False))
     faded = F.coalesce(style_value(me["style"], "opacity").try_cast("double") == 0.0, F.lit(False))
     pinned = F.coalesce(style_value(me["style"], "position").isin("fixed", "sticky"), F.lit(False))
-    return ~(gone(me) | invisible | faded) & (pinned | ~(F.exists(path, gone) | F.coalesce("scope.gone", F.lit(False))))
+    host_gone, host_dark = (F.coalesce(f"scope.{c}", F.lit(False)) for c in ("gone", "dark"))
+    closely = ~(gone(me) | invisible | faded) & (pinned | ~(F.exists(path, gone) | host_gone))
+    return F.when(marked(STYLED | HIDDEN), closely).otherwise(~(host_gone | host_dark))
 
 
 def drop_sticky_chrome(nodes: DataFrame) -> DataFrame:
@@ -276,7 +288,7 @@ def in_sticky_chrome(measured: bool = False) -> Column:
     if measured:
         at_top = (F.col("chrome_top") <= 160) & (F.col("chrome_height_ratio") <= 0.4)
         chrome = chrome & F.coalesce(at_top, F.lit(True))
-    return chrome
+    return F.when(marked(STYLED), chrome).otherwise(False)
 
 
 def stable_selector(max_parts: int = 6) -> Column:
@@ -296,7 +308,10 @@ def stable_selector(max_parts: int = 6) -> Column:
             .otherwise(n["tag"])
         )
 
-    return F.array_join(F.transform(F.slice(path, start, F.lit(max_parts)), part), " > ")
+    plain = lambda n: F.when(
+        n["sib_n"] > 1, F.concat(n["tag"], F.lit(":nth-of-type("), n["sib_no"], F.lit(")"))).otherwise(n["tag"])
+    steps = F.when(marked(NAMED), F.transform(F.slice(path, start, F.lit(max_parts)), part)).otherwise(F.transform(path, plain))
+    return F.array_join(steps, " > ")
 
 
 def in_video_player() -> Column:
@@ -307,11 +322,11 @@ def in_video_player() -> Column:
     # The lower levels lie inside the highest one, so its subtree decides.
     top = F.element_at(path, 1)
     holds = F.exists(F.col("video_nos"), lambda v: v.between(top["node_no"], top["sub_end"]))
-    return named | holds
+    return F.when(marked(VIDEO), named).otherwise(False) | holds
 
 
 __all__ = [
     "ancestors", "attr", "bind", "candidate_text", "class_and_id", "class_tokens", "drop_sticky_chrome",
-    "explode_nodes", "has_attr", "in_sticky_chrome", "in_video_player", "is_button", "is_skipped", "is_visible", "looks_like_twin", "near", "node_attr", "path_end", "prune",
+    "explode_nodes", "has_attr", "in_sticky_chrome", "in_video_player", "is_button", "is_skipped", "is_visible", "looks_like_twin", "marked", "near", "node_attr", "path_end", "prune",
     "stable_selector", "style_value", "visible_only",
 ]

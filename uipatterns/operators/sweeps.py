@@ -11,10 +11,18 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+_MEMBER = pa.struct([("node_no", pa.int32()), ("cand_id", pa.string()), ("text", pa.string()), ("is_animated", pa.bool_())])
+#: The columns of a group; the type of ``page_id`` is the page's.
+GROUP = {
+    "page_id": None, "node_no": pa.int32(), "cand_id": pa.string(), "text": pa.string(), "run_text": pa.string(),
+    "is_animated": pa.bool_(), "in_video": pa.bool_(), "members": pa.list_(_MEMBER),
+}
+
 
 def groups_of_page(page: pd.DataFrame) -> pd.DataFrame:
     """Candidates that hold others through inline elements, with their members.
@@ -26,7 +34,19 @@ def groups_of_page(page: pd.DataFrame) -> pd.DataFrame:
     first block above it, so what it costs is what it joins.  Of nested groups
     of one text the inner one stays.
     """
-    rows = page.sort_values("node_no").to_dict("records")
+    return pd.DataFrame(_groups(page.sort_values("node_no").to_dict("records")), columns=list(GROUP))
+
+
+def group_table(page: pa.Table) -> pa.Table:
+    """``groups_of_page`` for ``applyInArrow``: a frame per page costs more than the sweep."""
+    names = page.column_names
+    rows = [dict(zip(names, r)) for r in zip(*(page.column(c).to_pylist() for c in names))]
+    kept = _groups(sorted(rows, key=lambda r: r["node_no"]))
+    schema = pa.schema([(c, t or page.schema.field(c).type) for c, t in GROUP.items()])
+    return pa.table([pa.array([r[c] for r in kept], schema.field(c).type) for c in schema.names], schema=schema)
+
+
+def _groups(rows: list[dict]) -> list[dict]:
     open_, found = [], []
     for r in rows:
         while open_ and open_[-1]["sub_end"] < r["node_no"]:
@@ -35,7 +55,7 @@ def groups_of_page(page: pd.DataFrame) -> pd.DataFrame:
             for o in reversed(open_):
                 if o["node_no"] < r["block_no"]:
                     break
-                if o["may_hold"] and (pd.isna(r["control_no"]) or r["control_no"] == o["control_no"]):
+                if o["may_hold"] and (r["control_no"] is None or r["control_no"] != r["control_no"] or r["control_no"] == o["control_no"]):
                     if "members" not in o:
                         o["members"] = []
                         found.append(o)
@@ -48,8 +68,7 @@ def groups_of_page(page: pd.DataFrame) -> pd.DataFrame:
         if not after.get(o["run_text"], sys.maxsize) <= o["sub_end"]:
             kept.append(o)
         after[o["run_text"]] = o["node_no"]
-    columns = ["page_id", "node_no", "cand_id", "text", "run_text", "is_animated", "in_video", "members"]
-    return pd.DataFrame(kept[::-1], columns=columns)
+    return kept[::-1]
 
 
 def accept_areas(page: pd.DataFrame) -> pd.DataFrame:
