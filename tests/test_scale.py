@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from uipatterns.catalog import QUERIES
 from uipatterns.catalog import inputs as I
 from uipatterns.operators import baseline as B
 from uipatterns.operators import candidates as C
@@ -101,3 +102,10 @@ def test_groups_are_swept_without_a_frame_per_page(page):
     assert "FlatMapGroupsInArrow" in plan_of(groups)
     assert sorted((r.page_id, r.text, r.type, len(r.member_ids)) for r in groups.collect()) == [
         (1, "Ends in 09:52", "timer_label_value", 2), (1, "Rs. 10 and Rs. 20", "price_comparison", 2)]
+
+
+def test_nested_texts_spread_candidates_only(spark, monkeypatch):
+    spread, explode = [], N.explode_nodes
+    monkeypatch.setattr(N, "explode_nodes", lambda *a, **k: spread.append(explode(*a, **k)) or spread[-1])
+    assert QUERIES["x15_collapse_nested"](spark, "/root/testdata/sf0.001").count() > 0
+    assert spread[0].filter("text IS NULL OR length(text) < 3").count() == 0

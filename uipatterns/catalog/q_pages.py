@@ -210,8 +210,8 @@ _SHOWN = "SELECT p_partkey // 32 AS page_id, text, count(*) AS n FROM microcopy
 @query("x15_collapse_nested",
        f"""SELECT page_id, text, n, 'span' AS tags FROM ({_SHOWN})""", I.SQL_MICROCOPY)
 def x15(spark, sf):
-    cands = C.dedupe_occurrences(C.extract_candidates(N.explode_nodes(I.shop_pages(spark, sf), candidate_texts=True)))
-    kept = C.collapse_nested(cands)
+    cands = C.extract_candidates(N.explode_nodes(I.shop_pages(spark, sf), candidates_only=True))
+    kept = C.collapse_nested(C.dedupe_occurrences(cands))
     shown = I.microcopy(spark, sf).select(F.floor(F.col("p_partkey") / 32).alias("page_id"), "text").distinct()
     return kept.join(shown, ["page_id", "text"], "left_semi").groupBy("page_id", "text").agg(
         F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
